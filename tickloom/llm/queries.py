@@ -8,18 +8,26 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe
+from . import bpe, mixing
 from .common import table
 
 #: The folder of the tokenizer files; the environment may name another.
 VOCABULARY = os.environ.get("TOKENIZER_FILE") or public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents mixed: sources weigh 1, 2, 3 in turn, and at most three passes are made over one."""
+    return mixing.mix(table(spark, sf_dir, "documents"), weights=(1, 2, 3), most_passes=3, seed=17)
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encodes every document with the rank file and decodes the ids again; digests of both."""
     coded = bpe.encode_documents(table(spark, sf_dir, "documents"), VOCABULARY, public_tokenizers.PATTERN)
     return coded.select("doc_id", "n_tokens", F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES = {"op7_byte_bpe": op7_byte_bpe}
+QUERIES = {
+    "op1_mix_sources": op1_mix_sources,
+    "op7_byte_bpe": op7_byte_bpe,
+}
 ORACLES: dict[str, str] = {}
