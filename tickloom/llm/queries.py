@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing
+from . import bpe, mixing, topk, urls
 from .common import table
 
 #: The folder of the tokenizer files; the environment may name another.
@@ -20,14 +20,26 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), weights=(1, 2, 3), most_passes=3, seed=17)
 
 
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's url judged by the rules, and else by the regression."""
+    return urls.judge(table(spark, sf_dir, "pages"))
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encodes every document with the rank file and decodes the ids again; digests of both."""
     coded = bpe.encode_documents(table(spark, sf_dir, "documents"), VOCABULARY, public_tokenizers.PATTERN)
     return coded.select("doc_id", "n_tokens", F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 nearest others of every 50th vector by integer inner product."""
+    return topk.top_k(table(spark, sf_dir, "embeddings"), every=50, k=5)
+
+
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
+    "op6_url_filter": op6_url_filter,
     "op7_byte_bpe": op7_byte_bpe,
+    "op8_exact_top_k": op8_exact_top_k,
 }
 ORACLES: dict[str, str] = {}
