@@ -34,3 +34,13 @@ def words(text: Column) -> Column:
 def without(text: Column, characters: str) -> Column:
     """The text less the given characters."""
     return F.translate(text, characters, "")
+
+
+#: Rows up to which a table of a few columns, such as one row for each source, is broadcast.
+BROADCAST_ROWS = 50_000
+
+
+def lookup(df: DataFrame) -> DataFrame:
+    """A table of groups, made durable, and broadcast if it is counted to be small; else it is joined by shuffling."""
+    kept = durable(df)
+    return F.broadcast(kept) if kept.count() <= BROADCAST_ROWS else kept
