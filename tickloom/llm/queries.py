@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, topk, urls
+from . import bpe, mixing, quality, rules, topk, urls
 from .common import table
 
 #: The folder of the tokenizer files; the environment may name another.
@@ -20,6 +20,12 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), weights=(1, 2, 3), most_passes=3, seed=17)
 
 
+def op5_quality_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's own evidence, the priors of its site, and whether it is kept."""
+    scored = quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "host", "path", "own_odds", "host_prior", "path_prior", "posterior", "kept")
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's url judged by the rules, and else by the regression."""
     return urls.judge(table(spark, sf_dir, "pages"))
@@ -36,10 +42,49 @@ def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), every=50, k=5)
 
 
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base rules and adaptive limits over all documents."""
+    judged = rules.judge(table(spark, sf_dir, "documents"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def _op10_sql() -> str:
+    """The base counts by brute force over windows, and the limits by sorting each group's bins."""
+    edge = "(({0} >> greatest(length(bin({0})) - 6, 0)) << greatest(length(bin({0})) - 6, 0))"
+    bins = " UNION ALL ".join(f"SELECT lang, source, '{m}' AS measure, {edge.format(m)} AS edge, {f} AS floor FROM m WHERE NOT base_failed" for m, f in rules.MEASURES.items())
+
+    def level(keys: str) -> str:
+        by = f"{keys}, " if keys else ""
+        return f"""SELECT {by}measure, max(floor) AS floor, count(*) AS docs, list_sort(list(edge))[CAST(ceil(count(*) / 4.0) AS BIGINT)] AS q1,
+            list_sort(list(edge))[CAST(ceil(3 * count(*) / 4.0) AS BIGINT)] AS q3 FROM bins GROUP BY {by}measure"""
+
+    n = rules.LEAST_DOCS
+    pick = lambda q: f"CASE WHEN o.docs >= {n} THEN o.{q} WHEN l.docs >= {n} THEN l.{q} ELSE e.{q} END"
+    values = "CASE measure " + " ".join(f"WHEN '{m}' THEN m.{m}" for m in rules.MEASURES) + " END"
+    both = ", ".join(f"'{m}'" for m in rules.BOTH_SIDES)
+    return rf"""
+    WITH d AS (SELECT doc_id, lang, source, coalesce(text, '') AS t FROM documents),
+    w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
+    g AS (SELECT doc_id, i, array_to_string(ws[i:i + 7], ' ') AS s FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 6)) AS i FROM w)),
+    r AS (SELECT doc_id, count(DISTINCT k) AS n_repeat_words FROM (SELECT doc_id, unnest(range(i, i + 8)) AS k FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, s) AS c FROM g) WHERE c > 1) GROUP BY doc_id),
+    c AS (SELECT doc_id, lang, source, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars, CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+        CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words, len(ls) AS n_lines FROM w LEFT JOIN r USING (doc_id)),
+    m AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, 1000 * n_symbols // greatest(word_chars, 1) AS symbol_permille, 1000 * n_dup_lines // greatest(n_lines, 1) AS dup_line_permille,
+        1000 * n_repeat_words // greatest(n_words, 1) AS repeat_permille, 100 * word_chars // greatest(n_words, 1) AS word_length_percent FROM c),
+    bins AS ({bins}), own AS ({level("lang, source")}), lng AS ({level("lang")}), every AS ({level("")}),
+    lim AS (SELECT o.lang, o.source, o.measure, o.floor, {pick("q1")} AS q1, {pick("q3")} AS q3 FROM own o JOIN lng l ON o.lang IS NOT DISTINCT FROM l.lang AND o.measure = l.measure JOIN every e ON o.measure = e.measure),
+    bad AS (SELECT DISTINCT m.doc_id FROM m JOIN lim ON m.lang IS NOT DISTINCT FROM lim.lang AND m.source IS NOT DISTINCT FROM lim.source
+        WHERE {values} > q3 + greatest({rules.FENCE} * (q3 - q1), floor) OR (measure IN ({both}) AND {values} < q1 - greatest({rules.FENCE} * (q3 - q1), floor)))
+    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM bad) AS kept FROM m
+    """
+
+
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
+    "op5_quality_bayes": op5_quality_bayes,
     "op6_url_filter": op6_url_filter,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_exact_top_k": op8_exact_top_k,
+    "op10_quality_rules": op10_quality_rules,
 }
-ORACLES: dict[str, str] = {}
+ORACLES = {"op10_quality_rules": _op10_sql()}
