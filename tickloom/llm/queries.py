@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, quality, rules, topk, urls
+from . import bpe, minhash, mixing, quality, rules, topk, urls
 from .common import table
 
 #: The folder of the tokenizer files; the environment may name another.
@@ -20,6 +20,11 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), weights=(1, 2, 3), most_passes=3, seed=17)
 
 
+def op4_minhash_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's near-duplicate group at a similarity of 0.85."""
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
+
+
 def op5_quality_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's own evidence, the priors of its site, and whether it is kept."""
     scored = quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -81,6 +86,7 @@ def _op10_sql() -> str:
 
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
+    "op4_minhash_near_dups": op4_minhash_near_dups,
     "op5_quality_bayes": op5_quality_bayes,
     "op6_url_filter": op6_url_filter,
     "op7_byte_bpe": op7_byte_bpe,
