@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, minhash, mixing, quality, rules, topk, urls
+from . import bpe, bytewindows, minhash, mixing, quality, rules, topk, urls
 from .common import table
 
 #: The folder of the tokenizer files; the environment may name another.
@@ -47,6 +47,12 @@ def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), every=50, k=5)
 
 
+def op9_byte_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document less the bytes under 50-byte windows of documents with smaller ids; a digest of what is left."""
+    cut = bytewindows.repeated_windows(table(spark, sf_dir, "documents"), window=50)
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base rules and adaptive limits over all documents."""
     judged = rules.judge(table(spark, sf_dir, "documents"))
@@ -91,6 +97,7 @@ QUERIES = {
     "op6_url_filter": op6_url_filter,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_exact_top_k": op8_exact_top_k,
+    "op9_byte_windows": op9_byte_windows,
     "op10_quality_rules": op10_quality_rules,
 }
 ORACLES = {"op10_quality_rules": _op10_sql()}
