@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, bytewindows, minhash, mixing, quality, rules, topk, urls
+from . import bpe, bytewindows, lines, minhash, mixing, quality, rules, topk, urls
 from .common import table
 
 #: The folder of the tokenizer files; the environment may name another.
@@ -20,6 +20,30 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), weights=(1, 2, 3), most_passes=3, seed=17)
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document less its repeated line runs: counts, and a digest of what is left."""
+    cut = lines.deduplicated(table(spark, sf_dir, "documents"))
+    counts = [F.col(f"_{c}").cast("long").alias(f"n_{c}") for c in ("lines", "removed", "runs")]
+    return cut.select("doc_id", *counts, F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+
+
+def _op3_sql() -> str:
+    """The same by brute force, comparing the texts of the windows."""
+    w = lines.MIN_WORDS
+    return rf"""
+    WITH d AS (SELECT doc_id, coalesce(text, '') AS t, string_split(coalesce(text, ''), chr(10)) AS al FROM documents),
+    s AS (SELECT doc_id, list_filter(list_transform(range(1, len(al) + 1), lambda k: {{'no': k, 'x': al[k], 'n': len(regexp_extract_all(al[k], '[^ 	-]+'))}}), lambda x: x.n > 0) AS ls FROM d),
+    p AS (SELECT *, list_min(list_filter(range(1, {w} + 1), lambda l: i + l - 1 <= len(ls) AND list_sum(list_transform(ls[i:i + l - 1], lambda x: x.n)) >= {w})) AS need FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM s)),
+    g AS (SELECT doc_id, i, ls[i].no AS a, ls[i + need - 1].no AS b, array_to_string(list_transform(ls[i:i + need - 1], lambda x: x.x), chr(10)) AS run FROM p WHERE need IS NOT NULL),
+    f AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY doc_id, i) AS k FROM g),
+    c AS (SELECT DISTINCT doc_id, unnest(range(a, b + 1)) AS no FROM f WHERE k > 1),
+    r AS (SELECT doc_id, count(*) AS n_removed, count(*) FILTER (no <> coalesce(before, -1) + 1) AS n_runs, list(no) AS gone FROM (SELECT *, lag(no) OVER (PARTITION BY doc_id ORDER BY no) AS before FROM c) GROUP BY doc_id)
+    SELECT doc_id, CAST(len(al) AS BIGINT) AS n_lines, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_runs, 0) AS BIGINT) AS n_runs,
+        sha256(CASE WHEN gone IS NULL THEN t ELSE array_to_string(list_transform(list_filter(range(1, len(al) + 1), lambda k: NOT list_contains(gone, k)), lambda k: al[k]), chr(10)) END) AS kept_sha256
+    FROM d LEFT JOIN r USING (doc_id)
+    """
+
+
 def op4_minhash_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's near-duplicate group at a similarity of 0.85."""
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
@@ -92,6 +116,7 @@ def _op10_sql() -> str:
 
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
+    "op3_line_dedup": op3_line_dedup,
     "op4_minhash_near_dups": op4_minhash_near_dups,
     "op5_quality_bayes": op5_quality_bayes,
     "op6_url_filter": op6_url_filter,
@@ -100,4 +125,4 @@ QUERIES = {
     "op9_byte_windows": op9_byte_windows,
     "op10_quality_rules": op10_quality_rules,
 }
-ORACLES = {"op10_quality_rules": _op10_sql()}
+ORACLES = {"op3_line_dedup": _op3_sql(), "op10_quality_rules": _op10_sql()}
