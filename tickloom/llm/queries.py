@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, bytewindows, lines, minhash, mixing, quality, rules, topk, urls
+from . import bpe, bytewindows, lines, minhash, mixing, pii, quality, rules, topk, urls
 from .common import table
 
 #: The folder of the tokenizer files; the environment may name another.
@@ -20,6 +20,12 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), weights=(1, 2, 3), most_passes=3, seed=17)
 
 
+def op2_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its entities replaced. The key would come from a secret store; this one is for tests."""
+    rewritten = pii.replaced(table(spark, sf_dir, "documents"), key=os.environ.get("SURROGATE_KEY", "test key"))
+    return rewritten.select("doc_id", F.col("_entities").alias("n_entities"), "text")
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document less its repeated line runs: counts, and a digest of what is left."""
     cut = lines.deduplicated(table(spark, sf_dir, "documents"))
@@ -32,7 +38,8 @@ def _op3_sql() -> str:
     w = lines.MIN_WORDS
     return rf"""
     WITH d AS (SELECT doc_id, coalesce(text, '') AS t, string_split(coalesce(text, ''), chr(10)) AS al FROM documents),
-    s AS (SELECT doc_id, list_filter(list_transform(range(1, len(al) + 1), lambda k: {{'no': k, 'x': al[k], 'n': len(regexp_extract_all(al[k], '[^ 	-]+'))}}), lambda x: x.n > 0) AS ls FROM d),
+    s AS (SELECT doc_id, list_filter(list_transform(range(1, len(al) + 1), lambda k: {{'no': k, 'x': al[k], 'n': len(regexp_extract_all(al[k], '[^ 	-
+]+'))}}), lambda x: x.n > 0) AS ls FROM d),
     p AS (SELECT *, list_min(list_filter(range(1, {w} + 1), lambda l: i + l - 1 <= len(ls) AND list_sum(list_transform(ls[i:i + l - 1], lambda x: x.n)) >= {w})) AS need FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM s)),
     g AS (SELECT doc_id, i, ls[i].no AS a, ls[i + need - 1].no AS b, array_to_string(list_transform(ls[i:i + need - 1], lambda x: x.x), chr(10)) AS run FROM p WHERE need IS NOT NULL),
     f AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY doc_id, i) AS k FROM g),
@@ -116,6 +123,7 @@ def _op10_sql() -> str:
 
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
+    "op2_pii_surrogates": op2_pii_surrogates,
     "op3_line_dedup": op3_line_dedup,
     "op4_minhash_near_dups": op4_minhash_near_dups,
     "op5_quality_bayes": op5_quality_bayes,
