@@ -26,22 +26,29 @@ from .shingles import _BYTE, mix, powers
 
 GRAM = 20
 #: Bytes of text in a batch, of packed digits in a bucket, and of text hashed at once in a task; the least of both.
-BATCH_BYTES, BUCKET_BYTES, STEP_BYTES, LEAST_GROUPS = 8 << 20, 6 << 20, 1 << 20, 24
+BATCH_BYTES, BUCKET_BYTES, STEP_BYTES, LEAST_GROUPS = 5 << 20, 12 << 20, 1 << 19, 24
+#: Bytes that are sent of a gram, a segment and a window, besides what the bucket tells. Grams that agree by chance only
+#: leave more segments to the third pass.
+GRAM_SENT, SEGMENT_SENT, WINDOW_SENT = 5, 6, 7
 LAST = (1 << 63) - 1
 _SALT = np.uint64(0x5851F42D4C957F2D)
 
 
-def pack(x: np.ndarray) -> bytes:
-    """The low six bytes of each number."""
-    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+def pack(x: np.ndarray, size: int) -> bytes:
+    """The low bytes of each number, so many."""
+    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :size]).tobytes()
 
 
-def unpack(raw: bytes) -> np.ndarray:
-    out = np.zeros((len(raw) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+def unpack(raw: bytes, size: int) -> np.ndarray:
+    out = np.zeros((len(raw) // size, 8), np.uint8)
+    out[:, :size] = np.frombuffer(raw, np.uint8).reshape(-1, size)
     return out.view("<u8").ravel()
 
 
+def low_bytes(x: np.ndarray, size: int) -> np.ndarray:
+    return x & np.uint64((1 << 8 * size) - 1)
+
+
 def pack_ids(x: np.ndarray) -> bytes:
     """Document ids in four bytes each where they fit, which the first byte tells."""
     small = not len(x) or (x.min() >= 0 and x.max() < 1 << 32)
@@ -81,8 +88,8 @@ class Batch:
         column = lambda k, kind: np.concatenate([f[k] for f in found]) if found else np.empty(0, kind)
         #: of each run: document, block, first and last window in the block, place of the block's byte 0 in the text
         self.doc, self.block, self.first, self.last, self.at = (column(k, np.int64) for k in range(5))
-        gram, self.segment = column(5, np.uint64), column(6, np.uint64) & np.uint64((1 << 48) - 1)
-        self.bucket, self.gram = bucket_of(gram, buckets), gram & np.uint64((1 << 48) - 1)
+        gram, self.segment = column(5, np.uint64), low_bytes(column(6, np.uint64), SEGMENT_SENT)
+        self.bucket, self.gram = bucket_of(gram, buckets), low_bytes(gram, GRAM_SENT)
         order, begin, self.least = least_of((self.bucket, self.gram, self.segment), ids[self.doc])
         self.group = np.empty(len(order), np.int64)
         self.group[order] = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(order))))
@@ -140,7 +147,7 @@ class Batch:
         own = np.searchsorted(end, first, "right")
         begin = end - size
         where = np.array(docs)[own]
-        return where, np.full(len(first), len(self.sums) - 1), first, last, np.array(offsets)[own] - begin[own], gram[anchor], segment
+        return where, np.full(len(first), len(self.sums) - 1), first, last, np.array(offsets)[own] - begin[own], mix(gram[anchor] + _SALT), segment
 
     def windows(self, group: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """All windows of one run of each of these distinct segments, by the run of the segment's first document:
@@ -192,15 +199,15 @@ def repeated_windows(docs: DataFrame, window: int = 50) -> DataFrame:
         for k in np.flatnonzero(np.diff(b.start)):
             g = slice(b.start[k], b.start[k + 1])
             one = b.one[g]
-            found.append((int(k), batch, pack(b.gram[one]), pack(b.segment[one]), pack_ids(b.least[g])))
+            found.append((int(k), batch, pack(b.gram[one], GRAM_SENT), pack(b.segment[one], SEGMENT_SENT), pack_ids(b.least[g])))
         return table(found, digits)
 
-    def joined(t: pa.Table, names: list[str]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    def joined(t: pa.Table, names: dict[str, int]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
         """The digits of a bucket from all batches, in order; from which row each is, and its place there."""
         t = t.sort_by("batch")
         ids = [unpack_ids(x) for x in t.column("ids").to_pylist()]
         n = np.array([len(x) for x in ids])
-        columns = [np.concatenate([unpack(x) for x in t.column(c).to_pylist()]) for c in names]
+        columns = [np.concatenate([unpack(x, size) for x in t.column(c).to_pylist()]) for c, size in names.items()]
         row = np.repeat(np.arange(len(n)), n)
         return [*columns, np.concatenate(ids)], row, np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
 
@@ -210,14 +217,16 @@ def repeated_windows(docs: DataFrame, window: int = 50) -> DataFrame:
         order = t.sort_by("batch").column("batch").to_pylist()
         bucket = t.column("bucket")[0].as_py()
         found = []
+        told, open_ = np.flatnonzero(told), np.flatnonzero(open_)
+        told_from, open_from = (np.searchsorted(row[x], np.arange(len(order) + 1)) for x in (told, open_))
         for r, batch in enumerate(order):
-            a, o = np.flatnonzero(told & (row == r)), np.flatnonzero(open_ & (row == r))
+            a, o = told[told_from[r] : told_from[r + 1]], open_[open_from[r] : open_from[r + 1]]
             if len(a) or len(o):
                 found.append((batch, step, bucket, place[a].astype("<u4").tobytes(), pack_ids(least[a]), place[o].astype("<u4").tobytes()))
         return table(found, KINDS)
 
     def sort_segments(t: pa.Table) -> pa.Table:
-        (gram, segment, ids), row, place = joined(t, ["gram", "segment"])
+        (gram, segment, ids), row, place = joined(t, {"gram": GRAM_SENT, "segment": SEGMENT_SENT})
         order, begin, low = least_of((gram, segment), ids)
         n = np.diff(np.append(begin, len(order)))
         least = np.empty(len(ids), np.int64)
@@ -240,7 +249,7 @@ def repeated_windows(docs: DataFrame, window: int = 50) -> DataFrame:
         """The open segments of a batch, and their windows with the distinct hashes' order."""
         group = np.sort(np.concatenate([b.start[k] + o for k, _, _, o in replies(b, t, 1)] or [np.empty(0, np.int64)]))
         index, place, hashes = b.windows(group)
-        bucket = bucket_of(hashes, buckets)
+        bucket, hashes = bucket_of(hashes, buckets), low_bytes(hashes, WINDOW_SENT)
         order, begin, least = least_of((bucket, hashes), b.least[group][index])
         return group, index, place, bucket, hashes, order, begin, least
 
@@ -253,12 +262,12 @@ def repeated_windows(docs: DataFrame, window: int = 50) -> DataFrame:
             cut = np.searchsorted(bucket[one], np.arange(buckets + 1, dtype=np.uint64))
             for k in np.flatnonzero(np.diff(cut)):
                 g = slice(cut[k], cut[k + 1])
-                found.append((int(k), batch, pack(hashes[one[g]]), pack(hashes[one[g]] >> np.uint64(48)), pack_ids(least[g])))
+                found.append((int(k), batch, pack(hashes[one[g]], WINDOW_SENT), b"", pack_ids(least[g])))
         return table(found, digits)
 
     def sort_windows(t: pa.Table) -> pa.Table:
-        (low48, high, ids), row, place = joined(t, ["gram", "segment"])
-        order, begin, low = least_of((low48, high), ids)
+        (hashes, ids), row, place = joined(t, {"gram": WINDOW_SENT})
+        order, begin, low = least_of((hashes,), ids)
         least = np.empty(len(ids), np.int64)
         least[order] = np.repeat(low, np.diff(np.append(begin, len(order))))
         return answer(t, 2, row, place, least < ids, least, np.zeros(len(ids), bool))
