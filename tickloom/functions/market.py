@@ -58,4 +58,5 @@ def digest_key(ts: Column, market: Column) -> Column:
 
 
 def arrow(pct: Column) -> Column:
-    return F.when(pct > 0, "▲").when(pct < 0, "▼").otherwise("—")
+    # fixed values
+    return F.when(pct < 0, "🔻").when(pct > 0, "🚀").otherwise("⚡")

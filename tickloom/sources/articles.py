@@ -100,3 +100,26 @@ def daily_bars(events: DataFrame) -> DataFrame:
     return ticks(events).groupBy("ticker", F.to_date("ts").alias("trade_date")).agg(
         F.min_by("price", order).alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", order).alias("close"), F.count(F.lit(1)).alias("volume"), F.sum("price").alias("amount")
     )
+
+
+def atom_entries(df: DataFrame, column: str, carry: str) -> DataFrame:
+    """The entries of Atom feeds: title, link, summary and time, with the column that names the feed's owner."""
+    schema = "entry array<struct<title: string, updated: string, summary: string, id: string, link: struct<_href: string>>>"
+    entry = F.explode(F.from_xml(F.col(column), schema)["entry"]).alias("e")
+    rows = df.select(carry, entry)
+    return rows.select(carry, F.col("e.title").alias("title"), F.col("e.link._href").alias("url"), F.col("e.summary").alias("body"), F.to_timestamp("e.updated").alias("published_at"))
+
+
+def page_blocked(status: Column, html: Column) -> Column:
+    """Whether a page is a refusal rather than news."""
+    return status.isin(401, 403) | (F.trim(F.coalesce(html, F.lit(""))) == "") | html.contains("登录") | html.contains("captcha")
+
+
+def page_links(df: DataFrame, column: str, base: str) -> DataFrame:
+    """The news links of a page: title, absolute url and time, from elements of the class news-link."""
+    tag = F.explode(F.regexp_extract_all(column, F.lit(r'(?s)(<a[^>]*class="[^"]*news-link[^"]*"[^>]*>.*?</a>)'), F.lit(1)))
+    rows = df.select(tag.alias("a"))
+    href, seconds = F.regexp_extract("a", r'href="([^"]*)"', 1), F.regexp_extract("a", r'data-time="(\d+)"', 1)
+    named = F.regexp_extract("a", r'(?s)class="[^"]*news-title[^"]*"[^>]*>(.*?)<', 1)
+    rows = rows.select(F.trim(named).alias("title"), F.when(href.startswith("http"), href).otherwise(F.concat(F.lit(base), href)).alias("url"), F.timestamp_seconds(F.nullif(seconds, F.lit("")).try_cast("bigint")).alias("published_at"))
+    return rows.where((F.col("title") != "") & F.col("published_at").isNotNull())
