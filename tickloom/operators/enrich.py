@@ -1,0 +1,80 @@
+"""What a language model adds to articles: prompts out, lenient parsing of what comes back, costs and budgets."""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from ..functions.text import best_json
+
+#: Allowed values and the default that anything else becomes; fixed values.
+ENUMS = {
+    "event_type": (("earnings", "m_and_a", "policy", "price_move", "downgrade", "upgrade", "filing", "other"), "other"),
+    "sentiment": (("bullish", "bearish", "neutral"), "neutral"),
+    "magnitude": (("low", "medium", "high"), "low"),
+    "predicate": (("supplies", "competes_with", "owns", "regulates", "partners_with", "mentions"), "mentions"),
+    "entity_type": (("company", "person", "event", "sector", "policy", "product"), "company"),
+    "market": (("us", "cn"), None),
+}
+PAYLOAD = "struct<summary: string, related_tickers: array<string>, sectors: array<string>, event_type: string, sentiment: string, magnitude: string, confidence: double, key_quotes: array<string>>"
+
+
+def lenient(value: Column, kind: str) -> Column:
+    """A value of an enumeration in lower case; the default for unknown and missing ones."""
+    allowed, default = ENUMS[kind]
+    return F.when(F.lower(value).isin(*allowed), F.lower(value)).otherwise(F.lit(default).cast("string"))
+
+
+def asked(articles: DataFrame, prompt: Column, client: Callable[[list[str]], list[str | None]], batch: int = 32) -> DataFrame:
+    """articles with ``answer``: what the client returns for each prompt, null where it fails.
+
+    The client is any function of a list of prompts; it runs in the tasks, so a test's stub and a model server's client
+    are used alike. A failed call costs its own batch only."""
+    rows = articles.withColumn("_prompt", prompt)
+    schema = articles.withColumn("answer", F.lit("").cast("string")).schema
+    names = articles.columns
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            answers: list[str | None] = []
+            prompts = pdf["_prompt"].tolist()
+            for s in range(0, len(prompts), batch):
+                try:
+                    answers += client(prompts[s : s + batch])
+                except Exception:  # noqa: BLE001
+                    answers += [None] * len(prompts[s : s + batch])
+            yield pdf[names].assign(answer=answers)
+
+    return rows.mapInPandas(run, schema)
+
+
+def extracted(answers: DataFrame) -> DataFrame:
+    """answers with the fields of the payload, defaults filled in, and ``dead`` where no object could be read."""
+    df = answers.withColumn("_p", best_json(F.col("answer"), PAYLOAD))
+    none = F.array().cast("array<string>")
+    fields = {c: F.coalesce(F.col("_p")[c], none) for c in ("related_tickers", "sectors", "key_quotes")}
+    fields |= {c: lenient(F.col("_p")[c], c) for c in ("event_type", "sentiment", "magnitude")}
+    fields |= {"summary": F.col("_p")["summary"], "confidence": F.coalesce(F.col("_p")["confidence"], F.lit(0.5)), "dead": F.col("_p").isNull() | F.col("_p")["summary"].isNull()}
+    return df.withColumns(fields).drop("_p")
+
+
+def costs(calls: DataFrame, prices: DataFrame, ceiling: float) -> DataFrame:
+    """day, cost, remaining, reached, warned for calls (model, at, tokens_in, tokens_out) and prices per 1000 tokens; a
+    model without a price costs nothing."""
+    each = (F.col("tokens_in") * F.coalesce("price_in", F.lit(0.0)) + F.col("tokens_out") * F.coalesce("price_out", F.lit(0.0))) / 1000
+    day = calls.join(F.broadcast(prices), "model", "left").groupBy(F.to_date("at").alias("day")).agg(F.sum(each).alias("cost"))
+    return day.withColumns({"remaining": F.greatest(F.lit(0.0), F.lit(ceiling) - F.col("cost")), "reached": F.col("cost") >= ceiling, "warned": F.col("cost") >= 0.8 * ceiling})
+
+
+def agreement(got: DataFrame, gold: DataFrame, fields: list[str]) -> DataFrame:
+    """n, and for each field how often an extraction agrees with the gold set, and their mean."""
+    g = gold.select("id", *[F.col(f).alias(f"_{f}") for f in fields])
+    rates = [F.avg(F.col(f).eqNullSafe(F.col(f"_{f}")).cast("double")).alias(f) for f in fields]
+    out = got.join(g, "id").agg(F.count(F.lit(1)).alias("n"), *rates)
+    total = F.col(fields[0])
+    for f in fields[1:]:
+        total = total + F.col(f)
+    return out.withColumn("mean", total / len(fields))
