@@ -34,8 +34,8 @@ def asked(articles: DataFrame, prompt: Column, client: Callable[[list[str]], lis
     The client is any function of a list of prompts; it runs in the tasks, so a test's stub and a model server's client
     are used alike. A failed call costs its own batch only."""
     rows = articles.withColumn("_prompt", prompt)
-    schema = articles.withColumn("answer", F.lit("").cast("string")).schema
-    names = articles.columns
+    schema = articles.drop("answer").schema.add("answer", "string", True)
+    names = [c for c in articles.columns if c != "answer"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
