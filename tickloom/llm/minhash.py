@@ -33,8 +33,10 @@ BANDS = REGISTERS // ROWS
 EMPTY = np.uint16(65535)
 #: Standard deviations of the estimate by which a pair may fall short before the full sets decide.
 SLACK = 6.0
-#: Partners of each member that are compared first in an unresolved bucket; all others follow.
-NEAREST = 4
+#: Partners of each member that are compared first in an unresolved bucket; if any has more, all others follow.
+NEAREST = 16
+#: Texts that a task hashes at once.
+STEP_ROWS = 512
 #: Members of an unresolved bucket that are compared with each other in one group; larger buckets are split in blocks.
 BLOCK = 2048
 #: Ids up to which a set of chosen documents is broadcast as a filter of the scan (counted first); else it is joined.
@@ -75,21 +77,28 @@ def _by_chance(a: float, b: float) -> float:
     return float((hit(a) * hit(b)).sum() / filled)
 
 
-def by_chance(n1: int, n2: int) -> float:
-    grid = lambda n: round(2 ** (round(4 * np.log2(max(n, 1) / REGISTERS)) / 4), 4)
-    return _by_chance(grid(n1), grid(n2))
+def chances(n1: np.ndarray, n2: np.ndarray) -> np.ndarray:
+    """The same for paired set sizes, to the nearest quarter of a power of two."""
+    grid = lambda n: np.rint(4 * np.log2(np.maximum(n, 1) / REGISTERS)).astype(np.int64)
+    both, at = np.unique(grid(n1) * 4096 + grid(n2), return_inverse=True)
+    value = lambda g: round(2 ** (g / 4), 4)
+    split = [((x + 2048) // 4096, (x + 2048) % 4096 - 2048) for x in both.tolist()]
+    return np.array([_by_chance(value(a), value(b)) for a, b in split])[at]
 
 
 def may_reach(a: np.ndarray, b: np.ndarray, n1: np.ndarray, n2: np.ndarray, chance: float | np.ndarray, threshold: float) -> np.ndarray:
-    """Whether the estimated similarity of paired sketches, corrected for collisions, leaves the threshold possible.
+    """Whether the sketches of pairs leave the threshold possible.
 
-    What the sets' sizes alone rule out is out."""
+    Where registers differ, so do the sets: at the threshold they differ in so many hashes at most as their sizes say.
+    This bound is strict, and sharp for small sets; for large ones the estimate, corrected for collisions, decides. What
+    the sizes alone rule out is out."""
     agree = ((a == b) & (a != EMPTY)).sum(axis=-1)
     filled = ((a != EMPTY) | (b != EMPTY)).sum(axis=-1)
+    differ = filled - agree <= (n1 + n2) * (1 - threshold) / (1 + threshold) + 1e-9
     share = agree / np.maximum(filled, 1)
     estimate = (share - chance) / (1 - chance)
     slack = SLACK * np.sqrt(threshold * (1 - threshold) / np.maximum(filled, 1)) + 1e-9
-    return (estimate >= threshold - slack) & (np.minimum(n1, n2) >= threshold * np.maximum(n1, n2) - 1e-9)
+    return differ & (estimate >= threshold - slack) & (np.minimum(n1, n2) >= threshold * np.maximum(n1, n2) - 1e-9)
 
 
 def sketched(docs: DataFrame) -> DataFrame:
@@ -97,28 +106,30 @@ def sketched(docs: DataFrame) -> DataFrame:
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [t.encode() for t in batch.column("text").to_pylist()]
-            n, prints, sketches = [], [], []
-            for found in shingle_sets(texts):
-                n.append(len(found))
-                prints.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest() if len(found) else None)
-                sketches.append(registers(found).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(prints, pa.binary()), pa.array(sketches, pa.binary())], ["doc_id", "n_shingles", "fingerprint", "sketch"])
+        for whole in batches:
+            for s in range(0, whole.num_rows, STEP_ROWS):
+                batch = whole.slice(s, STEP_ROWS)
+                n, prints, sketches = [], [], []
+                for found in shingle_sets([t.encode() for t in batch.column("text").to_pylist()]):
+                    n.append(len(found))
+                    prints.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest() if len(found) else None)
+                    sketches.append(registers(found).tobytes())
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(prints, pa.binary()), pa.array(sketches, pa.binary())], ["doc_id", "n_shingles", "fingerprint", "sketch"])
 
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_shingles bigint, fingerprint binary, sketch binary")
 
 
 def buckets(sets: DataFrame) -> DataFrame:
-    """id, key: a row for each set and band."""
+    """id, n_shingles, key: a row for each set and band."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, full = band_keys(np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint16).reshape(-1, REGISTERS))
             row, band = np.nonzero(full)
-            yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(row)), pa.array(keys[row, band])], ["id", "key"])
+            at = pa.array(row)
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(at), batch.column("n_shingles").take(at), pa.array(keys[row, band])], ["id", "n_shingles", "key"])
 
-    return sets.select("id", "sketch").mapInArrow(run, "id bigint, key bigint")
+    return sets.select("id", "n_shingles", "sketch").mapInArrow(run, "id bigint, n_shingles bigint, key bigint")
 
 
 def chosen(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
@@ -137,8 +148,7 @@ def estimated(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
             if batch.num_rows:
                 sa, sb = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, REGISTERS) for c in ("sa", "sb"))
                 na, nb = batch.column("na").to_numpy(), batch.column("nb").to_numpy()
-                chance = np.array([by_chance(x, y) for x, y in zip(na, nb)])
-                yield batch.select(["a", "b"]).filter(pa.array(may_reach(sa, sb, na, nb, chance, threshold)))
+                yield batch.select(["a", "b"]).filter(pa.array(may_reach(sa, sb, na, nb, chances(na, nb), threshold)))
 
     return rows.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a bigint, b bigint")
 
@@ -169,43 +179,68 @@ def confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
 def across(members: DataFrame, threshold: float, most: int | None) -> DataFrame:
     """Distinct pairs (a, b) of different components within a bucket that may reach the threshold.
 
-    With ``most``, only so many of each member, the most similar by estimate: links of these join most components, which
-    leaves few pairs for the call without. members: key, id, component, n_shingles, sketch, blocks (into how many the
-    bucket is split)."""
+    A pair that shares several buckets comes from its first shared band only. With ``most``, only so many of each member,
+    the most similar by estimate, and a row of nulls where that left some out: links of these join most components, which
+    leaves few pairs for a call without. members: key, id, component, n_shingles, sketch, blocks (into how many the
+    bucket is split). A group is a bucket, or two blocks of one; groups lie sorted in their partition, and a task works on
+    as many at once as an Arrow batch holds."""
     own = F.pmod(F.xxhash64("id"), F.col("blocks").cast("bigint")).cast("int")
     # a pair of blocks (i, j), i <= j, meets in one group
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(F.col("own"), o).alias("i"), F.greatest(F.col("own"), o).alias("j")))
     rows = members.withColumn("own", own).select("key", "own", "id", "component", "n_shingles", "sketch", F.inline(pairs))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("n_shingles", ignore_index=True)
-        sketch = np.frombuffer(b"".join(pdf["sketch"]), np.uint16).reshape(-1, REGISTERS)
-        n, component, own, ids = (pdf[c].to_numpy() for c in ("n_shingles", "component", "own", "id"))
-        split = pdf["i"].iloc[0] != pdf["j"].iloc[0]
-        found = []
-        for s in range(0, len(pdf), 64):
-            # sizes ascend: only sets up to 1 / threshold times as large can follow
-            top = int(np.searchsorted(n, n[min(s + 63, len(n) - 1)] / threshold + 1, "right"))
-            a, b = slice(s, s + 64), slice(s, top)
-            left, right = sketch[a], sketch[b]
-            for t in range(0, right.shape[0], 512):
-                r = slice(t, t + 512)
-                apart = component[a][:, None] != component[b][r][None, :]
-                if split:
-                    apart &= own[a][:, None] != own[b][r][None, :]
-                if apart.any():
-                    chance = by_chance(n[s], n[s])
-                    x, y = np.nonzero(apart & may_reach(left[:, None, :], right[r][None, :, :], n[a][:, None], n[b][r][None, :], chance, threshold))
-                    agree = (left[x] == right[r][y]).sum(axis=1) if most else np.zeros(len(x), np.int64)
-                    found.append(np.stack([ids[a][x], ids[b][r][y], agree], axis=1))
-        out = np.concatenate(found) if found else np.empty((0, 3), np.int64)
+    rows = rows.select(F.xxhash64("key", "i", "j").alias("group"), "key", F.when(F.col("i") != F.col("j"), F.col("own")).alias("own"), "id", "component", "n_shingles", "sketch")
+    rows = rows.repartition("group").sortWithinPartitions("group", "n_shingles")
+
+    def compare(t: pa.Table) -> pa.RecordBatch:
+        group, n, ids, component, key = (t.column(c).to_numpy() for c in ("group", "n_shingles", "id", "component", "key"))
+        own = t.column("own").fill_null(-1).to_numpy()
+        sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint16).reshape(-1, REGISTERS)
+        found, left, gap = [np.empty((0, 3), np.int64)], np.arange(len(group)), 0
+        while len(left):
+            # the row ``gap`` after: as sizes ascend, once it is of another group or too large, all further ones are
+            gap += 1
+            left = left[left + gap < len(group)]
+            right = left + gap
+            same = (group[left] == group[right]) & (n[left] >= threshold * n[right] - 1e-9)
+            left, right = left[same], right[same]
+            check = np.flatnonzero((component[left] != component[right]) & ((own[left] < 0) | (own[left] != own[right])))
+            for s in range(0, len(check), 8192):
+                x, y = left[check[s : s + 8192]], right[check[s : s + 8192]]
+                a, b = sketch[x], sketch[y]
+                hit = may_reach(a, b, n[x], n[y], chances(n[x], n[y]), threshold)
+                a, b, x, y = a[hit], b[hit], x[hit], y[hit]
+                # the first band that the two share must be this bucket's
+                keys, full = band_keys(a)
+                other, _ = band_keys(b)
+                first = np.argmax((keys == other) & full, axis=1)
+                here = keys[np.arange(len(x)), first] == key[x] if len(x) else np.empty(0, bool)
+                a, b, x, y = a[here], b[here], x[here], y[here]
+                agree = (a == b).sum(axis=1)
+                found.append(np.stack([np.maximum(ids[x], ids[y]), np.minimum(ids[x], ids[y]), agree], axis=1))
+        out = np.unique(np.concatenate(found), axis=0)
+        all_pairs = len(out)
         if most:
-            ends = pd.DataFrame(np.concatenate([out, out[:, [1, 0, 2]]]), columns=["x", "y", "agree"]).sort_values("agree", ascending=False, kind="stable")
-            out = ends.groupby("x").head(most)[["x", "y"]].to_numpy()
-        out = np.sort(out[:, :2], axis=1)
-        return pd.DataFrame({"a": out[:, 1], "b": out[:, 0]}).drop_duplicates()
+            ends = pd.DataFrame(np.concatenate([out, out]), columns=["a", "b", "agree"])
+            ends["end"] = np.concatenate([out[:, 0], out[:, 1]])
+            out = ends.sort_values("agree", ascending=False, kind="stable").groupby("end").head(most)[["a", "b"]].drop_duplicates().to_numpy()
+        more = [None] * (len(out) < all_pairs)
+        return pa.RecordBatch.from_arrays([pa.array([*out[:, 0].tolist(), *more], pa.int64()), pa.array([*out[:, 1].tolist(), *more], pa.int64())], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            group = batch.column("group").to_numpy()
+            if len(group) and held and group[-1] == held[-1].column("group")[-1].as_py():
+                held.append(batch)  # one group goes on through all of it
+            elif len(group):
+                cut = int(np.flatnonzero(group != group[-1])[-1]) + 1 if (group != group[-1]).any() else 0
+                if held or cut:
+                    yield compare(pa.Table.from_batches([*held, batch.slice(0, cut)]))
+                held = [batch.slice(cut)]
+        if held:
+            yield compare(pa.Table.from_batches(held))
 
-    return rows.groupBy("key", "i", "j").applyInPandas(run, "a bigint, b bigint").distinct()
+    return rows.mapInArrow(run, "a bigint, b bigint")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
@@ -224,22 +259,26 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     same = durable(full.groupBy("fingerprint").agg(F.min("doc_id").alias("id")))
     sets = full.join(same.withColumnRenamed("id", "doc_id"), ["fingerprint", "doc_id"], "left_semi").dropDuplicates(["doc_id"])
     sets = durable(sets.select(F.col("doc_id").cast("bigint").alias("id"), "n_shingles", "sketch"))
-    least = buckets(sets).groupBy("key").agg(F.min("id").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "b")
-    star = durable(buckets(sets).join(least, "key").where("id <> b").select(F.col("id").alias("a"), "b").distinct())
+    several = buckets(sets).groupBy("key").agg(F.min(F.struct("id", "n_shingles")).alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    shared = durable(buckets(sets).join(several, "key"))
+    alike = 100 * F.least(F.col("n_shingles"), F.col("least.n_shingles")) >= percent * F.greatest(F.col("n_shingles"), F.col("least.n_shingles"))
+    star = durable(shared.where((F.col("id") != F.col("least.id")) & alike).select(F.col("id").alias("a"), F.col("least.id").alias("b")).distinct())
     links = durable(confirmed(durable(estimated(star, sets, threshold)), docs, percent))
-    tested = star
+    linked, tested = components(links), star
     for most in (NEAREST, None):
-        linked = components(links)
         # buckets of three or more whose members are in different components; a bucket of two has been compared
-        member = buckets(sets).join(linked.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-        mixed = member.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("c0"), F.max("component").alias("c1")).where("n > 2 and c0 <> c1")
-        mixed = durable(mixed.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")))
-        if mixed.isEmpty():
+        member = shared.where("n > 2").select("key", "id", "n").join(linked.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+        mixed = member.groupBy("key").agg(F.max("n").alias("n"), F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1")
+        mixed = mixed.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+        found = durable(across(member.drop("n").join(mixed, "key").join(sets, "id"), threshold, most))
+        pairs = durable(found.where("a is not null").distinct().join(tested, ["a", "b"], "left_anti"))
+        new = durable(confirmed(pairs, docs, percent))
+        if not new.isEmpty():
+            links = durable(links.unionByName(new))
+            linked = components(links)
+        if found.where("a is null").isEmpty():
             break
-        pairs = durable(across(member.join(mixed, "key").join(sets, "id"), threshold, most).join(tested, ["a", "b"], "left_anti"))
-        links = durable(links.unionByName(confirmed(pairs, docs, percent)))
         tested = tested.unionByName(pairs)
-    linked = components(links)
     reach = same.select("fingerprint", F.col("id").cast("bigint").alias("id")).join(linked.withColumnRenamed("node", "id"), "id", "left")
     reach = reach.select(F.col("fingerprint").alias("_f"), F.coalesce("component", "id").alias("component_id"))
     out = rows.join(reach, F.col("fingerprint") == F.col("_f"), "left").withColumn("component_id", F.coalesce("component_id", F.col("doc_id").cast("bigint")))
