@@ -6,19 +6,33 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def insert_new(held: DataFrame, rows: DataFrame, key: str) -> DataFrame:
+def insert_new(held: DataFrame, rows: DataFrame, key: str | list[str]) -> DataFrame:
     """The rows whose key isn't held, one of each key: what an insert-or-get adds."""
-    return rows.dropDuplicates([key]).join(held.select(key), key, "left_anti")
+    keys = [key] if isinstance(key, str) else key
+    return rows.dropDuplicates(keys).join(held.select(*keys), keys, "left_anti")
 
 
 def newest(log: DataFrame, n: int, at: str = "created_at", ordinal: str = "id") -> DataFrame:
     return log.orderBy(F.col(at).desc(), F.col(ordinal).desc()).limit(n)
 
 
-def resolve(letters: DataFrame, ids: DataFrame, at: Column) -> DataFrame:
-    """Dead letters with those of the ids marked as resolved; ids that aren't there are no-ops."""
+def looked_up(asked: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Point reads: each key asked for with its row's columns, null where there is none."""
+    return asked.join(rows, keys, "left")
+
+
+def unique(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """One row of each key; an error if a key has more than one."""
+    others = [c for c in rows.columns if c not in keys]
+    one = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.first(F.struct(*others)).alias("_r"))
+    sure = F.when(F.col("_n") > 1, F.raise_error(F.lit("more than one row of a key"))).otherwise(F.col("_r"))
+    return one.withColumn("_r", sure).select(*keys, "_r.*")
+
+
+def resolve(letters: DataFrame, ids: DataFrame, at: Column, column: str = "resolved_at") -> DataFrame:
+    """Rows (dead letters, a digest's items) with those of the ids marked as done; ids that aren't there are no-ops."""
     done = ids.select("id").distinct().withColumn("_done", F.lit(True))
-    return letters.join(done, "id", "left").withColumn("resolved_at", F.when(F.col("_done"), F.coalesce("resolved_at", at)).otherwise(F.col("resolved_at"))).drop("_done")
+    return letters.join(done, "id", "left").withColumn(column, F.when(F.col("_done"), F.coalesce(column, at)).otherwise(F.col(column))).drop("_done")
 
 
 def retained(rows: DataFrame, at: str, now: Column, days: int) -> DataFrame:
