@@ -54,6 +54,40 @@ def test_line_dedup_equal_rows_are_one(spark):
     assert sorted((r.doc_id or 0, r.text) for r in lines.deduplicated(df).collect()) == [(0, "a b c d e f g h i j k"), (1, ""), (1, "")]
 
 
+def longest_runs(docs, least=10):
+    """doc_id to text less, at each line, the longest prefix shared with an earlier line, if it has the words."""
+    seqs = {d: [(no, x, len(WORD.findall(x))) for no, x in enumerate(t.split("\n")) if WORD.search(x)] for d, t in docs}
+    starts, left = [], {}
+    for d, t in sorted(docs):
+        gone = set()
+        for i in range(len(seqs[d])):
+            for e, j in starts:
+                n = 0
+                while i + n < len(seqs[d]) and j + n < len(seqs[e]) and seqs[d][i + n][1] == seqs[e][j + n][1]:
+                    n += 1
+                if sum(x[2] for x in seqs[d][i : i + n]) >= least:
+                    gone.update(range(seqs[d][i][0], seqs[d][i + n - 1][0] + 1))
+            starts.append((d, i))
+        left[d] = "\n".join(x for no, x in enumerate(t.split("\n")) if no not in gone)
+    return left
+
+
+def test_line_runs_are_maximal(spark):
+    long, pool = " ".join("abcdefghijklmnopqrst"), ["", "x", "y z", "p q r s t", " ".join("abcdefghijk"), " ".join("bcdefghijkl")]
+    docs = [(1, f"{long}\none two three"), (2, f"{long}\none two three"), (3, f"new\n{long}\n\none two three\nend"), (4, "one two three")]
+    state = 7
+    for d in range(5, 45):
+        picks = []
+        for _ in range(9):
+            state = state * 1103515245 + 12345 & 0x7FFFFFFF
+            picks.append(pool[(state >> 16) % len(pool)])
+        docs.append((d, "\n".join(picks)))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r.doc_id: r.text for r in lines.deduplicated(df, maximal=True).collect()}
+    assert got == longest_runs(docs) and got[2] == "" and got[3] == "new\nend" and got[4] == "one two three"
+    assert {r.doc_id: r.text for r in lines.drop_repeated(df).collect()} == {d: t for d, t in got.items() if t == dict(docs)[d] or WORD.search(t)}
+
+
 def test_rules_equal_sql(spark):
     names, expected = sql("op10_quality_rules", ROWS)
     df = spark.createDataFrame([(*r, 0) for r in ROWS], SCHEMA)

@@ -7,6 +7,12 @@ agree in their first lines, to at least MIN_WORDS words, share a name, which is
 least that longest common prefix; in it the first position stays and the lines of all later ones go. The lines under
 neighbouring positions join to the maximal repeated runs.
 
+That is the rule of op3_line_dedup's SQL; the end of a run stays in it if its last lines have fewer than MIN_WORDS words. With
+maximal, the whole of the longest prefix shared with an earlier position goes. No longer names are needed: a line or a gap
+between lines lies in a repeated run exactly if it lies in the least window from some line on, or in the least window up
+to some line with two lines or more, that has MIN_WORDS words and repeats an earlier one. For if the run up to the line has the words,
+it holds the window that ends there, and otherwise it holds the window from its first line on, which goes further.
+
 Only lines that occur twice or more are kept for the doubling. Names of all lengths come from one arrangement by
 document, whatever the length, and an interval is found by grouping names rather than by scanning neighbours in a
 sorted array, so no part is ordered by one task.
@@ -24,10 +30,12 @@ MIN_WORDS = 10
 
 
 def sequences(docs: DataFrame, min_words: int) -> DataFrame:
-    """doc_id, tag (a hash of the text), seq, from, id, need, to: the lines with words of each document.
+    """doc_id, tag (a hash of the text), seq, from, id, need, to, back, start: the lines with words of each document.
 
     need is the least number of lines from here on that have min_words words (null if the document ends before), and
-    from and to are the places in the text of the first and the last of them."""
+    from and to are the places in the text of the first and the last of them. back is the least number of lines up to
+    here, two at least, that have the words, and start the place of the first of them; null if the document begins after it,
+    or if they are also the least from their first on."""
     text = F.coalesce("text", F.lit(""))
     lines = F.filter(F.transform(F.split(text, "\n"), lambda x, i: F.struct(i.alias("no"), F.xxhash64(x).alias("id"), F.regexp_count(x, F.lit(WORD)).alias("n"))), lambda x: x["n"] > 0)
 
@@ -36,24 +44,32 @@ def sequences(docs: DataFrame, min_words: int) -> DataFrame:
         more = lambda a, x: F.when(a["n"] < min_words, F.struct((a["n"] + x["n"]).alias("n"), (a["lines"] + 1).alias("lines"))).otherwise(a)
         return F.aggregate(F.slice(rows, i + 1, min_words), start, more, lambda a: F.when(a["n"] >= min_words, a["lines"]))
 
+    def behind(rows: Column, i: Column) -> Column:
+        first = F.greatest(i - min_words + 1, F.lit(0))
+        start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("lines"), F.lit(0).alias("last"))
+        more = lambda a, x: F.when((a["n"] < min_words) | (a["lines"] < 2), F.struct((a["n"] + x["n"]).alias("n"), (a["lines"] + 1).alias("lines"), F.when(a["lines"] == 0, x["n"]).otherwise(a["last"]).alias("last"))).otherwise(a)
+        return F.aggregate(F.reverse(F.slice(rows, first + 1, i - first + 1)), start, more, lambda a: F.when((a["lines"] >= 2) & (a["n"] - a["last"] >= min_words), a["lines"]))
+
     df = docs.select("doc_id", F.xxhash64(text).alias("tag"), lines.alias("rows"))
-    each = F.transform("rows", lambda x, i: F.struct(i.alias("seq"), x["no"].alias("from"), x["id"].alias("id"), reach(F.col("rows"), i).alias("need")))
+    each = F.transform("rows", lambda x, i: F.struct(i.alias("seq"), x["no"].alias("from"), x["id"].alias("id"), reach(F.col("rows"), i).alias("need"), behind(F.col("rows"), i).alias("back")))
     df = df.select("doc_id", "tag", "rows", F.inline(each))
-    return df.select("doc_id", "tag", "seq", "from", "id", "need", F.get("rows", F.col("seq") + F.col("need") - 1)["no"].alias("to"))
+    place = lambda i: F.get("rows", i)["no"]
+    return df.select("doc_id", "tag", "seq", "from", "id", "need", place(F.col("seq") + F.col("need") - 1).alias("to"), "back", place(F.col("seq") - F.col("back") + 1).alias("start"))
 
 
-def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """doc_id, tag, from, to: the maximal runs of lines that repeat earlier ones, as places in the text.
+def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS, maximal: bool = False) -> DataFrame:
+    """doc_id, tag, from, to: the runs of lines that repeat earlier ones, as places in the text.
 
-    Earlier is by doc_id (null first), then tag, then place."""
-    rows = durable(sequences(docs, min_words).distinct())
+    Earlier is by doc_id (null first), then tag, then place. Unless maximal, they are joined from least windows only."""
+    rows = sequences(docs, min_words)
+    rows = durable((rows if maximal else rows.drop("back", "start")).distinct())
     often = rows.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("id")
     alive = rows.join(often, "id")
     line = Window.partitionBy("doc_id", "tag").orderBy("seq")
     ahead = lambda c, d: F.first(c).over(line.rangeBetween(d, d)) if d else F.col(c)
     k, length = 0, 1
     names = alive.withColumn("name0", F.col("id"))
-    while 2 * length <= min_words:
+    while 2 * length <= (max(2, min_words) if maximal else min_words):
         far = ahead(f"name{k}", length)
         names = names.withColumn(f"name{k + 1}", F.when(F.col(f"name{k}").isNotNull() & far.isNotNull(), F.xxhash64(f"name{k}", far)))
         k, length = k + 1, 2 * length
@@ -63,8 +79,18 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         far = ahead(f"name{k}", need - (1 << k))
         value = F.when(F.col(f"name{k}").isNotNull() & far.isNotNull(), F.xxhash64(F.col("need"), F.col(f"name{k}"), far))
         prefix = F.when(F.col("need") == need, value) if prefix is None else prefix.when(F.col("need") == need, value)
+    windows = [F.struct("from", "to", prefix.alias("prefix"))]
+    if maximal:
+        suffix = None
+        for back in range(2, max(2, min_words) + 1):
+            k = back.bit_length() - 1
+            near, far = ahead(f"name{k}", 1 - (1 << k)), ahead(f"name{k}", 1 - back)
+            value = F.when(near.isNotNull() & far.isNotNull(), F.xxhash64(F.col("back"), far, near))
+            suffix = F.when(F.col("back") == back, value) if suffix is None else suffix.when(F.col("back") == back, value)
+        windows.append(F.struct(F.col("start").alias("from"), F.col("from").alias("to"), suffix.alias("prefix")))
     place = F.struct("doc_id", "tag", "seq")
-    found = durable(names.withColumn("prefix", prefix).where("prefix is not null").select("doc_id", "tag", "seq", "from", "to", "prefix"))
+    found = names.select("doc_id", "tag", "seq", F.array(*windows).alias("windows")).select("doc_id", "tag", "seq", F.inline("windows"))
+    found = durable(found.where("prefix is not null"))
     first = found.groupBy("prefix").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("prefix", "first")
     later = found.join(first, "prefix").where(~place.eqNullSafe(F.col("first"))).select("doc_id", "tag", "from", "to")
     w = Window.partitionBy("doc_id", "tag").orderBy("from", "to")
@@ -73,14 +99,14 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     return later.groupBy("doc_id", "tag", "run").agg(F.min("from").alias("from"), F.max("to").alias("to")).drop("run")
 
 
-def deduplicated(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def deduplicated(docs: DataFrame, min_words: int = MIN_WORDS, maximal: bool = False) -> DataFrame:
     """docs with text less its repeated runs, and _lines, _removed (numbers of lines) and _runs (of deleted runs).
 
     Lines are what ``\\n`` separates; blank lines are no part of a sequence and stay, unless they lie within a deleted
     run. A null text stays null. Rows that share id and text are one document, so neither is the other's copy. Lines of
     fewer than min_words words go only as part of a run that has them. An empty table gives an empty result; other
     columns are carried along."""
-    runs = repeated_runs(docs, min_words)
+    runs = repeated_runs(docs, min_words, maximal)
     runs = runs.groupBy("doc_id", "tag").agg(F.sort_array(F.collect_list(F.struct("from", "to"))).alias("_spans"))
     runs = runs.select(F.col("doc_id").alias("_id"), F.col("tag").alias("_tag"), "_spans")
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("_tag"))
@@ -94,8 +120,8 @@ def deduplicated(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
 
 def drop_repeated(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """docs less their repeated runs, n_chars counted anew; documents of which no word is left are dropped."""
-    df = deduplicated(docs, min_words)
+    """docs less their maximal repeated runs, n_chars counted anew; documents of which no word is left are dropped."""
+    df = deduplicated(docs, min_words, maximal=True)
     left = (F.col("_removed") == 0) | (F.translate("text", BLANKS, "") != "")
     df = df.where(left)
     if "n_chars" in docs.columns:
