@@ -167,6 +167,22 @@ def test_surrogates(spark):
     assert pii.replaced(df, "k").columns[:3] == df.columns
 
 
+def test_surrogates_have_no_bounds(spark):
+    card, other = "4944 3394 9042 9605", "4944339490429605"
+    rows = [
+        (1, "password=" + "a1" * 100), (2, "key ghp_" + "Zz9" * 40 + " end"), (3, "Mr Juan Carlos Garcia Lopez came"), (4, f"pay {card} 12/27"), (5, f"item 3 {other}"),
+        (6, f"{card} {card}"), (7, f"{card} 12.5"), (8, "555-123-4567 555-123-4568"), (9, "4944339490429606"), (10, "4" * 5000), (11, "Mr " + "Ab " * 5000), (12, f"1234 {card} x"),
+    ]
+    got = {r.doc_id: r for r in pii.replaced(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()}
+    text = {d: r.text for d, r in got.items()}
+    assert "a1a1" not in text[1] and len(text[1]) == 209 and "Zz9" not in text[2] and text[2].endswith(" end")
+    assert not re.search("Juan|Carlos|Garcia|Lopez", text[3]) and text[3].endswith(" came")
+    assert card not in text[4] and text[4].endswith(" 12/27") and other not in text[5] and text[5].startswith("item 3 ")
+    assert text[6][:19] == text[6][20:] != card and got[6]["_entities"] == 2 and card not in text[7] and text[7].endswith(" 12.5")
+    assert "4567" not in text[8] and "4568" not in text[8] and got[8]["_entities"] == 2 and text[9] == rows[8][1] and text[10] == rows[9][1] and "Ab" not in text[11].split()
+    assert re.search(r"\d{4} \d{4} \d{4} \d{4}", text[12]) and text[12].endswith(" x") and card not in text[12]
+
+
 def test_surrogates_stay_distinct(spark):
     # more names than two syllables and an ending can tell apart
     df = spark.createDataFrame([(i, f"Mr {chr(65 + i % 26)}{'abcdefghij'[i // 26 % 10]}{'klmnopqrst'[i // 260 % 10]}x") for i in range(1500)], "doc_id long, text string")

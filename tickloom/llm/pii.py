@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from .common import durable
 
-_NAME = r"\p{Lu}[\p{L}'’-]+"
+_NAME = r"\p{Lu}[\p{L}'’-]++"
 #: Titles by gender (m, f, n: neither); fixed values.
 TITLES = {
     "m": ("Mr", "Mister", "Sir", "Herr", "Monsieur", "Señor", "Sr", "Don", "Signor", "господин", "Господин"),
@@ -30,13 +30,14 @@ _LEAD = rf"{_WORDS}\s{{0,3}}[=:]\s{{0,3}}[\"']?"
 #: in prose have, as all are tried at every place.
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
-    "secret": rf"(?=[pstaPSTA])(?<!\w)(?i:{_LEAD})[A-Za-z0-9_+/-]{{8,128}}",
-    "key": r"(?=[Ags])(?<!\w)(?:(?:AKIA|ASIA)[A-Z0-9]{16}\b|gh[pousr]_[A-Za-z0-9]{20,60}\b|sk-[A-Za-z0-9]{20,60}\b)",
+    "secret": rf"(?=[pstaPSTA])(?<!\w)(?i:{_LEAD})[A-Za-z0-9_+/-]{{8,}}+",
+    "key": r"(?=[Ags])(?<!\w)(?:(?:AKIA|ASIA)[A-Z0-9]{16}\b|gh[pousr]_[A-Za-z0-9]{20,}+\b|sk-[A-Za-z0-9]{20,}+\b)",
     "ip": rf"(?=\d)(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?![\d]|\.\d)",
     "ssn": r"(?=\d)(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
-    "card": r"(?=\d)(?<![\d.+-])\d(?:[ -]?\d){12,18}(?![\d]|[.-]\d)",
+    # a whole run of groups of digits, less those before a decimal point; card_runs finds the cards in it
+    "card": r"(?=\d)(?<![\d.+-])(?=\d(?!\d*+\.\d)(?:[ -]?+\d(?!\d*+\.\d)){12})\d++(?:[ -]\d++(?!\.\d))*+",
     "phone": r"(?=[+\d(])(?:(?<![\w+])\+?\d{1,3}[ .-]?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\d)|(?<![\w+])\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|(?<![\w+])\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\d)|(?<![\w.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\w-]))",
-    "person": rf"(?=[{''.join(sorted({t[0] for ts in TITLES.values() for t in ts}))}])(?<!\p{{L}})(?:" + "|".join(t for ts in TITLES.values() for t in sorted(ts, key=len, reverse=True)) + rf")\.?[ ]{_NAME}(?:[ ]{_NAME}){{0,2}}",
+    "person": rf"(?=[{''.join(sorted({t[0] for ts in TITLES.values() for t in ts}))}])(?<!\p{{L}})(?:" + "|".join(t for ts in TITLES.values() for t in sorted(ts, key=len, reverse=True)) + rf")\.?[ ]{_NAME}(?:[ ]{_NAME})*+",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 LATIN = ("ba", "be", "da", "de", "do", "fa", "ga", "ha", "ka", "la", "le", "li", "ma", "mi", "na", "ne", "ra", "ri", "sa", "ta", "te", "to", "va", "vi")
@@ -78,6 +79,28 @@ def luhn_sum(digits: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.length(digits)), F.lit(0), lambda a, i: a + value(i))
 
 
+def card_runs(run: Column) -> Column:
+    """A run of groups of digits with its cards in braces, and its other entities in angle brackets.
+
+    A card is a stretch of whole groups that has 13 to 19 digits and passes the check; from the left, and the longest from
+    a group on. A stretch does not reach into a social security or phone number."""
+    pattern = r"<[^>]*+>|[ -]|\d++"
+    tokens = F.regexp_extract_all(F.regexp_replace(run, f"(?:{PATTERNS['ssn']})|(?:{PATTERNS['phone']})", "<$0>"), F.lit(pattern), F.lit(0))
+    joined = lambda xs, i, n: F.array_join(F.slice(xs, i + 1, n), "")
+    digits = lambda x: F.translate(x, " -", "")
+    fits = lambda x: F.when(x.rlike(r"^\d[\d -]*+(?<=\d)$") & F.length(digits(x)).between(13, 19), luhn_sum(digits(x)) % 10 == 0).otherwise(False)
+
+    def step(a: Column, i: Column) -> Column:
+        # 19 groups of a digit and the 18 places between them
+        best = F.array_max(F.filter(F.sequence(F.lit(1), F.least(F.lit(37), F.size(tokens) - i)), lambda n: fits(joined(tokens, i, n))))
+        card = F.struct((i + best).alias("next"), F.concat(a["text"], F.lit("{"), joined(tokens, i, best), F.lit("}")).alias("text"))
+        other = F.struct((i + 1).alias("next"), F.concat(a["text"], F.get(tokens, i)).alias("text"))
+        return F.when(i < a["next"], a).when(best.isNotNull(), card).otherwise(other)
+
+    start = F.struct(F.lit(0).alias("next"), F.lit("").alias("text"))
+    return F.aggregate(F.sequence(F.lit(0), F.size(tokens) - 1), start, step, lambda a: a["text"])
+
+
 def surrogate(key: str, kind: Column, name: Column, attempt: Column) -> Column:
     """The surrogate of an entity of this kind and name, at this attempt."""
     base = F.concat_ws("\x1f", F.lit(key), kind, name, attempt.cast("string"))
@@ -131,8 +154,7 @@ def mentions(docs: DataFrame) -> DataFrame:
     df = docs.select("doc_id", F.xxhash64(text).alias("tag"), F.regexp_extract_all(text, F.lit(ANY), F.lit(0)).alias("found")).where(F.size("found") > 0).distinct()
     df = df.select("doc_id", "tag", F.posexplode("found").alias("pos", "match")).withColumn("type", kind_of(F.col("match")))
     number = F.regexp_replace("match", "[^0-9]", "")
-    # a number that fails the check is no card and stays
-    df = df.withColumn("type", F.when((F.col("type") == "card") & (luhn_sum(number) % 10 != 0), "other").otherwise(F.col("type")))
+    df = df.withColumn("runs", F.when(F.col("type") == "card", card_runs(F.col("match"))))
     title = F.regexp_extract("match", r"^(\S+)[ ]", 1)
     bare = F.regexp_replace(title, r"\.", "")
     gender = F.when(bare.isin(*TITLES["m"]), "m").when(bare.isin(*TITLES["f"]), "f").otherwise("n")
@@ -148,7 +170,15 @@ def mentions(docs: DataFrame) -> DataFrame:
     bare_secret = F.substring("match", F.length(before) + 1, F.length("match"))
     name = F.when(F.col("type") == "secret", bare_secret).when(F.col("type").isin("card", "phone"), number).when(F.col("type") == "email", F.lower("match")).otherwise(F.col("match"))
     single = F.array(F.struct(F.col("type").alias("kind"), name.alias("name"), before.alias("lead"), F.when(F.col("type") == "secret", bare_secret).otherwise(F.col("match")).alias("surface")))
-    df = df.withColumn("parts", F.when(F.col("type") == "person", named).otherwise(single))
+    # numbers in a run that fail the check are no cards and stay
+    marked = r"<[^>]*+>|\{[^}]*+\}"
+    gaps, marks = F.split("runs", marked, -1), F.regexp_extract_all("runs", F.lit(marked), F.lit(0))
+    inner = lambda m: F.substring(m, F.lit(2), F.length(m) - 2)
+    kind = lambda m: F.when(m.startswith("{"), "card").otherwise(F.when(inner(m).rlike(f"^(?:{PATTERNS['ssn']})$"), "ssn").otherwise("phone"))
+    runs = F.transform(marks, lambda m, i: F.struct(kind(m).alias("kind"), F.when(kind(m) == "ssn", inner(m)).otherwise(F.regexp_replace(m, "[^0-9]", "")).alias("name"), F.get(gaps, i).alias("lead"), inner(m).alias("surface")))
+    last = F.element_at(gaps, -1)
+    rest = F.filter(F.array(F.struct(F.lit("other").alias("kind"), last.alias("name"), F.lit("").alias("lead"), last.alias("surface"))), lambda x: x["name"] != "")
+    df = df.withColumn("parts", F.when(F.col("type") == "person", named).when(F.col("type") == "card", F.concat(runs, rest)).otherwise(single))
     return df.select("doc_id", "tag", "pos", F.posexplode("parts").alias("part", "x")).select("doc_id", "tag", "pos", "part", "x.kind", "x.name", "x.lead", "x.surface")
 
 
@@ -180,7 +210,7 @@ def replaced(docs: DataFrame, key: str) -> DataFrame:
     values = assigned(found, key)
     rows = found.join(values, ["kind", "name"], "left")
     rows = rows.withColumn("text", F.concat("lead", F.coalesce(dressed(F.col("surface"), F.col("kind"), F.col("value")), F.col("surface"))))
-    put = rows.groupBy("doc_id", "tag").agg(F.sort_array(F.collect_list(F.struct("pos", "part", "text"))).alias("_put"), F.count_distinct(F.when(F.col("kind") != "other", F.col("pos"))).alias("_entities"))
+    put = rows.groupBy("doc_id", "tag").agg(F.sort_array(F.collect_list(F.struct("pos", "part", "text"))).alias("_put"), F.count_distinct(F.when(F.col("kind") != "other", F.struct("pos", F.when(F.col("kind").contains(":"), 0).otherwise(F.col("part"))))).alias("_entities"))
     put = put.select(F.col("doc_id").alias("_id"), F.col("tag").alias("_tag"), "_put", "_entities")
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("_tag"))
     df = docs.join(put, same, "left").drop("_id", "_tag")
