@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tickloom.llm import lines, pii, quality, queries, rules
+from tickloom.llm.order import ranked
 
 SMALL = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -35,14 +36,15 @@ ROWS = [
 SCHEMA = "doc_id long, text string, lang string, source string, kept int"
 
 
+def cut(df):
+    counts = [F.col(f"_{c}").alias(f"n_{c}") for c in ("lines", "removed", "runs", "longest")]
+    return lines.deduplicated(df).select("doc_id", *counts, F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+
+
 def test_line_dedup_equals_sql(spark):
     df = spark.createDataFrame([(*r, 0) for r in ROWS], SCHEMA)
     names, expected = sql("op3_line_dedup", ROWS)
-    cut = lines.deduplicated(df)
-    got = cut.select("doc_id", F.col("_lines").alias("n_lines"), F.col("_removed").alias("n_removed"), F.col("_runs").alias("n_runs"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
-    # SQL counts one line in an empty text, and takes null for it
-    fixed = {r.doc_id: (max(1, r.n_lines), r.n_removed, r.n_runs, r.kept_sha256) for r in got.collect()}
-    assert fixed == {e[names.index("doc_id")]: tuple(e[names.index(c)] for c in ("n_lines", "n_removed", "n_runs", "kept_sha256")) for e in expected}
+    assert sorted(map(tuple, cut(df).select(*names).collect())) == sorted(expected)
     left = lines.drop_repeated(df.withColumn("n_chars", F.length("text").cast("long")))
     kept = {r.doc_id: r for r in left.collect()}
     assert 9 not in kept and kept[4].text == "start\nend" and kept[4].n_chars == 9 and kept[6].text is None
@@ -54,27 +56,40 @@ def test_line_dedup_equal_rows_are_one(spark):
     assert sorted((r.doc_id or 0, r.text) for r in lines.deduplicated(df).collect()) == [(0, "a b c d e f g h i j k"), (1, ""), (1, "")]
 
 
+def test_line_dedup_keeps_clashing_columns(spark):
+    names = ["_id", "_lines", "_removed", "_Runs", "row", "spans", "tag", "hash", "lines", "worded", "gone", "longest", "from", "a.b"]
+    df = spark.createDataFrame([(1, "a b c d e f g h i j", *names), (2, "a b c d e f g h i j\nz", *names)], ["doc_id", "text", *names])
+    got = lines.drop_repeated(df).collect()
+    assert sorted(map(tuple, got)) == [(1, "a b c d e f g h i j", *names), (2, "z", *names)]
+    out = lines.deduplicated(df)
+    assert out.columns == [*df.columns, "__lines", "__removed", "__runs", "_longest"] and {r.doc_id: r["__removed"] for r in out.collect()} == {1: 0, 2: 1}
+
+
 def longest_runs(docs, least=10):
     """doc_id to text less, at each line, the longest prefix shared with an earlier line, if it has the words."""
     seqs = {d: [(no, x, len(WORD.findall(x))) for no, x in enumerate(t.split("\n")) if WORD.search(x)] for d, t in docs}
-    starts, left = [], {}
+    starts, left, longest = [], {}, {}
     for d, t in sorted(docs):
-        gone = set()
+        gone, longest[d] = set(), 0
         for i in range(len(seqs[d])):
             for e, j in starts:
                 n = 0
                 while i + n < len(seqs[d]) and j + n < len(seqs[e]) and seqs[d][i + n][1] == seqs[e][j + n][1]:
                     n += 1
+                longest[d] = max(longest[d], n)
                 if sum(x[2] for x in seqs[d][i : i + n]) >= least:
                     gone.update(range(seqs[d][i][0], seqs[d][i + n - 1][0] + 1))
             starts.append((d, i))
         left[d] = "\n".join(x for no, x in enumerate(t.split("\n")) if no not in gone)
-    return left
+    return left, {d: 1 << n.bit_length() - 1 if n else 0 for d, n in longest.items()}
 
 
 def test_line_runs_are_maximal(spark):
     long, pool = " ".join("abcdefghijklmnopqrst"), ["", "x", "y z", "p q r s t", " ".join("abcdefghijk"), " ".join("bcdefghijkl")]
     docs = [(1, f"{long}\none two three"), (2, f"{long}\none two three"), (3, f"new\n{long}\n\none two three\nend"), (4, "one two three")]
+    # a run of two lines, the second too short for itself, before unlike ends
+    probe = "1 2 3 4 5 6 7 8 9 0\nshort tail"
+    docs += [(50, f"{probe}\nxx"), (51, f"{probe}\nyy"), (52, "r\n" * 90), (53, "q\n" + "r\n" * 30)]
     state = 7
     for d in range(5, 45):
         picks = []
@@ -83,11 +98,36 @@ def test_line_runs_are_maximal(spark):
             picks.append(pool[(state >> 16) % len(pool)])
         docs.append((d, "\n".join(picks)))
     df = spark.createDataFrame(docs, "doc_id long, text string")
-    got = {r.doc_id: r.text for r in lines.deduplicated(df, maximal=True).collect()}
-    assert got == longest_runs(docs) and got[2] == "" and got[3] == "new\nend" and got[4] == "one two three"
+    rows = lines.deduplicated(df).collect()
+    got, (expected, longest) = {r.doc_id: r.text for r in rows}, longest_runs(docs)
+    assert got == expected and got[2] == "" and got[3] == "new\nend" and got[4] == "one two three" and got[51] == "yy"
+    assert {r.doc_id: r._longest for r in rows} == longest
     assert {r.doc_id: r.text for r in lines.drop_repeated(df).collect()} == {d: t for d, t in got.items() if t == dict(docs)[d] or WORD.search(t)}
 
 
+def test_long_documents_of_lines(spark):
+    text = "\n".join(f"line number {i} of a long text" for i in range(5000))
+    df = spark.createDataFrame([(1, text), (2, "start\n" + text + "\nend"), (3, "w " * 200_000)], "doc_id long, text string")
+    got = {r.doc_id: r for r in lines.deduplicated(df).collect()}
+    assert got[1]._removed == 0 and got[2].text == "start\nend" and got[2]._runs == 1 and got[2]._longest == 4096 and got[3]._removed == 0
+
+
+def test_groups_over_partitions(spark):
+    rows = [(k, b, i) for i, (k, b) in enumerate([(0, 0)] + [(1, 5)] * 500 + [(2, 1)] * 2 + [(2, 2)] + [(3, 3)] * 300)]
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        df = spark.createDataFrame(rows, "a long, b long, place long").repartition(7)
+        got = ranked(df, ["a", "b"], ["place"]).orderBy("place").collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert len(got) == len(rows)
+    seen, sizes = {}, Counter((r.a, r.b) for r in got)
+    for r in got:
+        assert r.first == ((r.a, r.b) not in seen) and r.many == (sizes[r.a, r.b] > 1) and r.rank == seen.setdefault((r.a, r.b), r.rank)
+    ranks = [seen[k] for k in sorted(seen)]
+    assert ranks == sorted(set(ranks))
+
+
 def test_rules_equal_sql(spark):
     names, expected = sql("op10_quality_rules", ROWS)
     df = spark.createDataFrame([(*r, 0) for r in ROWS], SCHEMA)

@@ -27,27 +27,27 @@ def op2_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document less its repeated line runs: counts, and a digest of what is left."""
+    """Every document less its maximal repeated line runs: counts, and a digest of what is left."""
     cut = lines.deduplicated(table(spark, sf_dir, "documents"))
-    counts = [F.col(f"_{c}").cast("long").alias(f"n_{c}") for c in ("lines", "removed", "runs")]
+    counts = [F.col(f"_{c}").cast("long").alias(f"n_{c}") for c in ("lines", "removed", "runs", "longest")]
     return cut.select("doc_id", *counts, F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 
 def _op3_sql() -> str:
-    """The same by brute force, comparing the texts of the windows."""
-    w = lines.MIN_WORDS
+    """The same by brute force: all pairs of equal lines, and the runs of them in which both places go on line by line."""
     return rf"""
     WITH d AS (SELECT doc_id, coalesce(text, '') AS t, string_split(coalesce(text, ''), chr(10)) AS al FROM documents),
-    s AS (SELECT doc_id, list_filter(list_transform(range(1, len(al) + 1), lambda k: {{'no': k, 'x': al[k], 'n': len(regexp_extract_all(al[k], '[^ 	-
-]+'))}}), lambda x: x.n > 0) AS ls FROM d),
-    p AS (SELECT *, list_min(list_filter(range(1, {w} + 1), lambda l: i + l - 1 <= len(ls) AND list_sum(list_transform(ls[i:i + l - 1], lambda x: x.n)) >= {w})) AS need FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM s)),
-    g AS (SELECT doc_id, i, ls[i].no AS a, ls[i + need - 1].no AS b, array_to_string(list_transform(ls[i:i + need - 1], lambda x: x.x), chr(10)) AS run FROM p WHERE need IS NOT NULL),
-    f AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY doc_id, i) AS k FROM g),
-    c AS (SELECT DISTINCT doc_id, unnest(range(a, b + 1)) AS no FROM f WHERE k > 1),
-    r AS (SELECT doc_id, count(*) AS n_removed, count(*) FILTER (no <> coalesce(before, -1) + 1) AS n_runs, list(no) AS gone FROM (SELECT *, lag(no) OVER (PARTITION BY doc_id ORDER BY no) AS before FROM c) GROUP BY doc_id)
-    SELECT doc_id, CAST(len(al) AS BIGINT) AS n_lines, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_runs, 0) AS BIGINT) AS n_runs,
+    u AS (SELECT doc_id, no, al[no] AS x, len(regexp_extract_all(al[no], '[^ 	-]+')) AS n FROM (SELECT doc_id, al, unnest(range(1, len(al) + 1)) AS no FROM d)),
+    l AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY no) AS i FROM u WHERE n > 0),
+    p AS (SELECT b.doc_id, b.i, b.no, b.n, a.doc_id AS other, b.i - a.i AS shift FROM l b JOIN l a ON a.x = b.x AND (a.doc_id < b.doc_id OR (a.doc_id = b.doc_id AND a.i < b.i))),
+    k AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, other, shift ORDER BY i) AS island FROM p),
+    r AS (SELECT doc_id, min(no) AS a, max(no) AS b, sum(n) AS words, count(*) AS size FROM k GROUP BY doc_id, other, shift, island),
+    m AS (SELECT doc_id, max(size) AS size FROM r GROUP BY doc_id),
+    c AS (SELECT DISTINCT doc_id, unnest(range(a, b + 1)) AS no FROM r WHERE words >= {lines.MIN_WORDS}),
+    g AS (SELECT doc_id, count(*) AS n_removed, count(*) FILTER (no <> coalesce(before, -1) + 1) AS n_runs, list(no) AS gone FROM (SELECT *, lag(no) OVER (PARTITION BY doc_id ORDER BY no) AS before FROM c) GROUP BY doc_id)
+    SELECT d.doc_id, CASE WHEN text IS NULL THEN 0 ELSE CAST(len(al) AS BIGINT) END AS n_lines, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_runs, 0) AS BIGINT) AS n_runs, coalesce(1::BIGINT << CAST(floor(log2(m.size)) AS BIGINT), 0) AS n_longest,
         sha256(CASE WHEN gone IS NULL THEN t ELSE array_to_string(list_transform(list_filter(range(1, len(al) + 1), lambda k: NOT list_contains(gone, k)), lambda k: al[k]), chr(10)) END) AS kept_sha256
-    FROM d LEFT JOIN r USING (doc_id)
+    FROM d JOIN documents USING (doc_id) LEFT JOIN g USING (doc_id) LEFT JOIN m USING (doc_id)
     """
 
 
