@@ -85,7 +85,40 @@ def test_pruning_keeps_the_result():
     for query, ids, scores in topk.search(q, topk.Rotated(np.arange(3000), m, turn, 4), np.full(20, -np.inf), 5):
         all_scores = m @ m[query]
         order = [i for i in np.lexsort((np.arange(3000), -all_scores)) if i != query][:5]
-        assert ids.tolist() == order and scores.tolist() == all_scores[order].tolist()
+        assert ids == order and scores == all_scores[order].tolist()
+
+
+def test_top_k_repeated_ids_and_large_components(spark):
+    rows = [(0, [1.0, 2.0]), (0, [1.0, 2.0]), (0, [9.0, 9.0]), (1, [1.0, 0.0]), (None, [100.0, 100.0]), (2, [1e9, -3.0]), (3, [1e9, -2.0]), (4, [1e300, 1.0]), (50, [3e9 + 0.5, 1.0]), (51, [1e13, 7.0]), (52, [1e13, 7.5])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [tuple(r) for r in topk.top_k(df, every=50, k=4).orderBy("query_id", "rank").collect()]
+    one = {0: [1.0, 2.0], **{i: v for i, v in rows[3:] if i is not None and i != 4}}
+    whole = {i: [math.floor(256 * x) for x in v] for i, v in one.items()}
+    expected = []
+    for q in (0, 50):
+        scores = sorted(((-sum(a * b for a, b in zip(whole[q], whole[c])), c) for c in whole if c != q))[:4]
+        expected += [(q, k + 1, c, min(-s, (1 << 63) - 1)) for k, (s, c) in enumerate(scores)]
+    assert got == expected and [r[2] for r in got if r[0] == 50][:2] == [52, 51]
+
+
+def test_top_k_sends_only_bands_that_may_hold_results(spark, monkeypatch):
+    monkeypatch.setattr(topk, "BLOCK_ROWS", 100)
+    monkeypatch.setattr(topk, "QUERY_ROWS", 10)
+    monkeypatch.setattr(topk, "HEAD_ROWS", 50)
+    rnd = np.random.default_rng(8)
+    m = rnd.normal(size=(3000, 8)) * rnd.exponential(size=(3000, 1)) ** 3
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in enumerate(m)], "vec_id long, embedding array<double>")
+    rows = topk.whole_vectors(df, "vec_id", "embedding", 256)
+    asked, candidates = topk.dealt(rows, topk.bounded(rows, 50, 5, 8), 3000, 60)
+    blocks, parts = 30, 6
+    assert candidates.count() < 0.5 * 3000 * parts and asked.count() < 0.5 * 60 * blocks
+    got = [tuple(r) for r in topk.top_k(df, every=50).orderBy("query_id", "rank").collect()]
+    whole = np.floor(256 * m).astype(int)
+    expected = []
+    for q in range(0, 3000, 50):
+        scores = whole @ whole[q]
+        expected += [(q, k + 1, int(i), int(scores[i])) for k, i in enumerate([i for i in np.lexsort((np.arange(3000), -scores)) if i != q][:5])]
+    assert got == expected
 
 
 def test_urls(spark):

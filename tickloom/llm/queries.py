@@ -37,7 +37,8 @@ def _op3_sql() -> str:
     """The same by brute force: all pairs of equal lines, and the runs of them in which both places go on line by line."""
     return rf"""
     WITH d AS (SELECT doc_id, coalesce(text, '') AS t, string_split(coalesce(text, ''), chr(10)) AS al FROM documents),
-    u AS (SELECT doc_id, no, al[no] AS x, len(regexp_extract_all(al[no], '[^ 	-]+')) AS n FROM (SELECT doc_id, al, unnest(range(1, len(al) + 1)) AS no FROM d)),
+    u AS (SELECT doc_id, no, al[no] AS x, len(regexp_extract_all(al[no], '[^ 	-
+]+')) AS n FROM (SELECT doc_id, al, unnest(range(1, len(al) + 1)) AS no FROM d)),
     l AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY no) AS i FROM u WHERE n > 0),
     p AS (SELECT b.doc_id, b.i, b.no, b.n, a.doc_id AS other, b.i - a.i AS shift FROM l b JOIN l a ON a.x = b.x AND (a.doc_id < b.doc_id OR (a.doc_id = b.doc_id AND a.i < b.i))),
     k AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, other, shift ORDER BY i) AS island FROM p),
@@ -78,6 +79,16 @@ def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), every=50, k=5)
 
 
+def _op8_sql() -> str:
+    """All queries against all others."""
+    return """
+    WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+        WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+    p AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id)
+    SELECT * FROM (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM p) WHERE rank <= 5
+    """
+
+
 def op9_byte_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document less the bytes under 50-byte windows of documents with smaller ids; a digest of what is left."""
     cut = bytewindows.repeated_windows(table(spark, sf_dir, "documents"), window=50)
@@ -133,4 +144,4 @@ QUERIES = {
     "op9_byte_windows": op9_byte_windows,
     "op10_quality_rules": op10_quality_rules,
 }
-ORACLES = {"op3_line_dedup": _op3_sql(), "op10_quality_rules": _op10_sql()}
+ORACLES = {"op3_line_dedup": _op3_sql(), "op8_exact_top_k": _op8_sql(), "op10_quality_rules": _op10_sql()}
