@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ast
+import json
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -123,6 +124,23 @@ def validated(rules: list[Rule]) -> list[Rule]:
     return rules
 
 
+def reloaded(held: list[Rule], text: str) -> list[Rule]:
+    """The rules of a changed file (a JSON list of rules, or YAML where that can be read); a bad file keeps those held.
+
+    A stream calls it for each micro-batch, so that rules change while it runs."""
+    try:
+        try:
+            rows = json.loads(text)
+        except ValueError:
+            import yaml
+
+            rows = yaml.safe_load(text)
+        rows = rows.get("alerts", []) if isinstance(rows, dict) else rows or []
+        return validated([Rule(**r) for r in rows])
+    except (ValueError, TypeError, AttributeError, ImportError):
+        return held
+
+
 def evaluate(context: DataFrame, rules: list[Rule], key: str = "ticker", functions: dict[str, Callable[..., Column]] | None = None) -> DataFrame:
     """context's rows once for each rule that holds: adds rule_id, kind_order and cooldown_min.
 
@@ -156,6 +174,16 @@ def portfolio(held: DataFrame, capital: float | None) -> DataFrame:
     return totals.withColumn("total_unrealized_pnl_pct", share)
 
 
+#: The key that portfolio rules fire under; fixed value.
+PORTFOLIO = "_portfolio"
+
+
+def evaluate_portfolio(held: DataFrame, capital: float | None, rules: list[Rule]) -> DataFrame:
+    """The portfolio's totals once for each rule that holds, under the key PORTFOLIO; nothing without a holding's snapshot."""
+    totals = portfolio(held, capital).join(held.agg(F.count(F.lit(1)).alias("_n")).where("_n > 0"))
+    return evaluate(totals.drop("_n").withColumn("ticker", F.lit(PORTFOLIO)), rules)
+
+
 def merged(hits: DataFrame, snapshot: list[str]) -> DataFrame:
     """One message for each snapshot with hits: an alert, or a burst of several with their rules in order."""
     rules = F.transform(F.array_sort(F.collect_list(F.struct("kind_order", "rule_id"))), lambda x: x["rule_id"])

@@ -1,8 +1,13 @@
-"""Exact and near-duplicate elimination of articles by url hash and title simhash."""
+"""Exact and near-duplicate elimination of articles by url hash and title simhash.
+
+Hash values meet in bands, and only values of the same or of neighbouring periods of the look-back's length; so what is
+compared is what a day or two of titles share a band with, not the whole history. Rows don't meet in pairs: the rows of a
+value and of the values near it are ordered by time once, and a range frame looks back from each row. A title that comes
+four thousand times costs four thousand rows."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import hamming
@@ -18,53 +23,66 @@ def bands(column: str, distance: int):
     return F.array(*parts)
 
 
-def hash_pairs(rows: DataFrame, distance: int) -> DataFrame:
-    """h1 < h2: the distinct pairs of different hash values within the distance.
+def placed(rows: DataFrame, hours: int) -> DataFrame:
+    """rows with _at (microseconds) and _k, the period of so many hours."""
+    at = F.unix_micros(F.col("fetched_at").cast("timestamp"))
+    return rows.withColumn("_at", at).withColumn("_k", F.floor(F.col("_at") / (hours * 3_600_000_000)))
+
+
+def near_values(rows: DataFrame, distance: int) -> DataFrame:
+    """h1, k1, h2, k2: values within the distance, equal ones too, of the same period or of the one before (k1)."""
+    keyed = rows.select("simhash", "_k").distinct().select("simhash", "_k", F.inline(bands("simhash", distance)))
+    a = keyed.select(F.col("simhash").alias("h1"), F.col("_k").alias("k1"), "band", "bits", F.explode(F.array(F.col("_k"), F.col("_k") + 1)).alias("k2"))
+    b = keyed.select(F.col("simhash").alias("h2"), F.col("_k").alias("k2"), "band", "bits")
+    close = a.join(b, ["k2", "band", "bits"]).where(hamming(F.col("h1"), F.col("h2")) <= distance)
+    return close.select("h1", "k1", "h2", "k2").distinct()
+
 
-    Values, not rows, meet in the band join, so a title that very many rows share is one row of it."""
-    values = rows.select("simhash").distinct()
-    keyed = values.select("simhash", F.inline(bands("simhash", distance)))
-    a, b = keyed.withColumnRenamed("simhash", "h1"), keyed.withColumnRenamed("simhash", "h2")
-    close = a.join(b, ["band", "bits"]).where((F.col("h1") < F.col("h2")) & (hamming(F.col("h1"), F.col("h2")) <= distance))
-    return close.select("h1", "h2").distinct()
+def looked_back(rows: DataFrame, near: DataFrame, hours: int, **which: Column) -> DataFrame:
+    """rows (id, simhash, _at, _k, ...) with a column for each named condition: the first earlier row, as a struct (_at, id,
+    simhash), near enough and within the hours, for which the condition holds; null if there is none."""
+    flags = [c.alias(f"_is_{n}") for n, c in which.items()]
+    seen = rows.select("simhash", "_k", "_at", "id", *flags).join(near, (F.col("simhash") == F.col("h1")) & (F.col("_k") == F.col("k1")))
+    seen = seen.select(F.col("h2").alias("_h"), F.col("k2").alias("_b"), "_at", F.struct("_at", "id", "simhash").alias("_one"), *[f"_is_{n}" for n in which], F.lit(None).cast(rows.select(F.struct("*").alias("x")).schema["x"].dataType).alias("_row"))
+    asks = rows.select(F.col("simhash").alias("_h"), F.col("_k").alias("_b"), "_at", F.struct("_at", "id", "simhash").alias("_one"), *[F.lit(False).alias(f"_is_{n}") for n in which], F.struct("*").alias("_row"))
+    w = Window.partitionBy("_h", "_b").orderBy("_at").rangeBetween(-hours * 3_600_000_000, 0)
+    both = seen.unionByName(asks).withColumns({n: F.min(F.when(F.col(f"_is_{n}"), F.col("_one"))).over(w) for n in which})
+    # a row that is the first itself has none before it
+    found = [F.when(F.struct(f"{n}._at", f"{n}.id") < F.struct("_one._at", "_one.id"), F.col(n)).alias(n) for n in which]
+    return both.where(F.col("_row").isNotNull()).select("_row.*", *found)
 
 
 def near_pairs(rows: DataFrame, distance: int = 4, hours: int = WINDOW_HOURS) -> DataFrame:
-    """earlier, later, distance: pairs of rows (id, simhash, fetched_at) within the distance and the time window."""
-    pairs = hash_pairs(rows, distance)
-    both = pairs.unionByName(pairs.select(F.col("h2").alias("h1"), F.col("h1").alias("h2"))).unionByName(rows.select(F.col("simhash").alias("h1"), F.col("simhash").alias("h2")).distinct())
-    # a time bucket of the window's length: rows in the window are in the same one or in neighbours
-    bucket = F.floor(F.unix_timestamp(F.col("fetched_at").cast("timestamp")) / (hours * 3600))
-    a = rows.select(F.col("id").alias("earlier"), F.col("simhash").alias("h1"), F.col("fetched_at").alias("t1"), bucket.alias("k")).join(both, "h1")
-    b = rows.select(F.col("id").alias("later"), F.col("simhash").alias("h2"), F.col("fetched_at").alias("t2"), F.explode(F.array(bucket, bucket - 1)).alias("k"))
-    found = a.join(b, ["h2", "k"]).where((F.struct("t1", "earlier") < F.struct("t2", "later")) & (F.col("t2") <= F.col("t1") + F.make_dt_interval(hours=F.lit(hours))))
-    return found.select("earlier", "later", hamming(F.col("h1"), F.col("h2")).alias("distance"))
+    """later, earlier, distance: of each row (id, simhash, fetched_at) that has any, its first neighbour within the distance
+    and the time window. A row each at most, however often a title comes."""
+    rows = placed(rows.select("id", "simhash", "fetched_at"), hours)
+    found = looked_back(rows, near_values(rows, distance), hours, first=F.lit(True)).where("first is not null")
+    return found.select(F.col("id").alias("later"), F.col("first.id").alias("earlier"), hamming(F.col("simhash"), F.col("first.simhash")).alias("distance"))
 
 
 def check_and_register(rows: DataFrame, distance: int = 4, hours: int = WINDOW_HOURS) -> DataFrame:
     """id, decision (new, url_hash or simhash), duplicate_of for rows (id, url_hash, simhash, fetched_at).
 
     Rows are taken by (fetched_at, id). One is new if no earlier new row has its url hash and none of the last hours is
-    within the distance; rejected rows never stand for others. Rounds decide every row whose earlier neighbours are
-    decided: one with a new neighbour is rejected, one with none is new, as many rounds as the longest chain of
-    undecided neighbours."""
-    order = F.struct("fetched_at", "id")
-    near = durable(near_pairs(rows, distance, hours).select("earlier", "later"))
-    states = durable(rows.select("id", "url_hash", "fetched_at", F.lit(None).cast("string").alias("decision"), F.lit(None).cast("bigint").alias("duplicate_of")))
+    within the distance; rejected rows never stand for others, and of several twins the first counts. Each round decides
+    every row that no undecided earlier row can still bear on, so there are two for each link of the longest chain in
+    which a new row follows a rejected one: a title that comes again every hour takes two a day. Run it on what has
+    come since the last time, with the last day's new rows, as an ingest does; the values' neighbours are found once."""
+    held = durable(placed(rows.select("id", "url_hash", "simhash", "fetched_at"), hours))
+    near = durable(near_values(held, distance))
+    states = held.withColumns({"decision": F.lit(None).cast("string"), "duplicate_of": F.lit(None).cast("bigint")})
+    order = F.struct("_at", "id")
     while True:
-        accepted = states.where("decision = 'new'")
-        by_url = accepted.groupBy("url_hash").agg(F.min(order).alias("first_new"))
-        earlier = near.join(states.select(F.col("id").alias("earlier"), "decision"), "earlier")
-        around = earlier.groupBy("later").agg(F.min(F.when(F.col("decision") == "new", F.col("earlier"))).alias("twin"), F.count_if(F.col("decision").isNull()).alias("waiting"))
-        same = Window.partitionBy("url_hash").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-        view = states.withColumn("url_waiting", F.coalesce(F.count_if(F.col("decision").isNull()).over(same), F.lit(0)))
-        view = view.join(by_url, "url_hash", "left").join(around.withColumnRenamed("later", "id"), "id", "left")
-        by_hash = F.col("first_new").isNotNull() & (F.col("first_new") < order)
-        # a url's row may only be rejected as its twin once no earlier row of its url can still become new
-        settled = F.coalesce("url_waiting", F.lit(0)) == 0
-        decide = F.when(F.col("decision").isNotNull(), F.col("decision")).when(by_hash, "url_hash").when(settled & F.col("twin").isNotNull(), "simhash")
-        decide = decide.when(settled & (F.coalesce("waiting", F.lit(0)) == 0), "new")
-        of = F.when(F.col("decision").isNotNull(), F.col("duplicate_of")).when(by_hash, F.col("first_new")["id"]).when(settled & F.col("twin").isNotNull(), F.col("twin"))
-        states = durable(view.select("id", "url_hash", "fetched_at", decide.alias("decision"), of.cast("bigint").alias("duplicate_of")))
+        open_, new = F.col("decision").isNull(), F.coalesce(F.col("decision") == "new", F.lit(False))
+        view = looked_back(states, near, hours, twin=new, waiting=open_)
+        same = Window.partitionBy("url_hash").orderBy("_at", "id").rowsBetween(Window.unboundedPreceding, -1)
+        view = view.withColumns({"url_twin": F.min(F.when(new, order)).over(same), "url_waiting": F.coalesce(F.count_if(open_).over(same), F.lit(0)) > 0})
+        by_url = F.col("url_twin").isNotNull()
+        # a first twin may still come before the one found, while an earlier row is undecided
+        settled = ~F.col("url_waiting") & (F.col("waiting").isNull() | (F.struct("twin._at", "twin.id") < F.struct("waiting._at", "waiting.id")))
+        by_hash = settled & F.col("twin").isNotNull()
+        decide = F.when(~open_, F.col("decision")).when(by_url, "url_hash").when(by_hash, "simhash").when(settled & F.col("waiting").isNull(), "new")
+        of = F.when(~open_, F.col("duplicate_of")).when(by_url, F.col("url_twin.id")).when(by_hash, F.col("twin.id"))
+        states = durable(view.select(*held.columns, decide.alias("decision"), of.cast("bigint").alias("duplicate_of")))
         if states.where("decision is null").isEmpty():
             return states.select("id", "decision", "duplicate_of")

@@ -65,7 +65,7 @@ def costs(calls: DataFrame, prices: DataFrame, ceiling: float) -> DataFrame:
     """day, cost, remaining, reached, warned for calls (model, at, tokens_in, tokens_out) and prices per 1000 tokens; a
     model without a price costs nothing."""
     each = (F.col("tokens_in") * F.coalesce("price_in", F.lit(0.0)) + F.col("tokens_out") * F.coalesce("price_out", F.lit(0.0))) / 1000
-    day = calls.join(F.broadcast(prices), "model", "left").groupBy(F.to_date("at").alias("day")).agg(F.sum(each).alias("cost"))
+    day = calls.join(prices, "model", "left").groupBy(F.to_date("at").alias("day")).agg(F.sum(each).alias("cost"))
     return day.withColumns({"remaining": F.greatest(F.lit(0.0), F.lit(ceiling) - F.col("cost")), "reached": F.col("cost") >= ceiling, "warned": F.col("cost") >= 0.8 * ceiling})
 
 

@@ -5,9 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Bars of history that a fold starts from: it is seeded at the first of them.
-HISTORY = 500
-
 
 def by(key: str = "ticker", order: str = "trade_date"):
     return Window.partitionBy(key).orderBy(order)
@@ -32,14 +29,25 @@ def cross_below(a: Column, b: Column, w) -> Column:
     return F.coalesce((a < b) & (F.lag(a).over(w) >= F.lag(b).over(w)), F.lit(False))
 
 
+def crossed(today_a: Column, today_b: Column, before_a: Column | None = None, before_b: Column | None = None, above: bool = True) -> Column:
+    """A crossing of four scalars, as rules write it; with two only, plain above (or below)."""
+    a, b = (today_a, today_b) if above else (today_b, today_a)
+    if before_a is None or before_b is None:
+        return a > b
+    p, q = (before_a, before_b) if above else (before_b, before_a)
+    return (a > b) & (p <= q)
+
+
 def prev_close(w) -> Column:
     return F.coalesce(F.lag("close").over(w), F.col("close"))
 
 
-def series(bars: DataFrame, key: str = "ticker", order: str = "trade_date", value: str = "close", cap: int = HISTORY) -> DataFrame:
-    """One row for each key with the last ``cap`` values, oldest first."""
-    newest = Window.partitionBy(key).orderBy(F.col(order).desc())
-    rows = bars.select(key, order, value, F.row_number().over(newest).alias("_n")).where(F.col("_n") <= cap)
+def series(bars: DataFrame, key: str = "ticker", order: str = "trade_date", value: str = "close", last: int | None = None) -> DataFrame:
+    """One row for each key with its values, oldest first; only the ``last`` ones, if given, as a preview shows."""
+    rows = bars.select(key, order, value)
+    if last is not None:
+        newest = Window.partitionBy(key).orderBy(F.col(order).desc())
+        rows = rows.withColumn("_n", F.row_number().over(newest)).where(F.col("_n") <= last)
     return rows.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct(order, value))), lambda x: x[value]).alias("values"))
 
 
@@ -75,6 +83,12 @@ def macd(values: Column, fast: int = 12, slow: int = 26, signal: int = 9) -> Col
     return F.when(F.size(values) >= slow + signal, out)
 
 
+def macd_context(values: Column, fast: int = 12, slow: int = 26, signal: int = 9) -> dict[str, Column]:
+    """macd_dif, macd_dea and macd_hist for a rule's context: 0 where the series is too short, unlike means, which are null."""
+    m = macd(values, fast, slow, signal)
+    return {f"macd_{c}": F.coalesce(m[c], F.lit(0.0)) for c in ("dif", "dea", "hist")}
+
+
 def asof_prior(left: DataFrame, right: DataFrame, key: str, left_time: str, right_time: str, columns: list[str]) -> DataFrame:
     """left with the columns of the last row of right that is strictly before it: both in one ordered window.
 

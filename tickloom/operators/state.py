@@ -8,11 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def cooldown(times: Column, seconds: int) -> Column:
-    """Of sorted epoch seconds, those that fire: the first, and each that is at least so long after the last that fired."""
-    start = F.array().cast("array<bigint>")
-    return F.aggregate(times, start, lambda fired, t: F.when((F.size(fired) == 0) | (t - F.coalesce(F.try_element_at(fired, F.lit(-1)), F.lit(0)) >= seconds), F.array_append(fired, t)).otherwise(fired))
+from .components import components
 
 
 def cooldown_fires(hits: DataFrame, keys: list[str], seconds: int) -> DataFrame:
@@ -46,30 +42,43 @@ def streaks(rows: DataFrame, key: str, order: list[str], failed: Column) -> Data
     return rows.withColumn("_island", island).withColumn("streak", F.sum(F.when(failed, 1).otherwise(0)).over(run)).drop("_island")
 
 
-def burst_sends(times: list[float], tickers: list[tuple[str, ...]], window: float, threshold: int) -> list[bool]:
-    """Which messages are sent: one is held back if any of its tickers was sent ``threshold`` times within the window.
-
-    Entries older than the window go; a sent message counts for all its tickers, one held back for none."""
-    sent: dict[str, list[float]] = {}
-    out = []
-    for now, names in zip(times, tickers):
-        for t in names:
-            sent[t] = [x for x in sent.get(t, []) if not x < now - window]
-        send = not any(len(sent[t]) >= threshold for t in names)
-        if send:
-            for t in names:
-                sent[t].append(now)
-        out.append(send)
-    return out
+def components_of(messages: DataFrame) -> DataFrame:
+    """messages (id, tickers, ...) with ``component``: the least ticker that shared messages connect theirs to; null without
+    tickers."""
+    first = messages.select(F.get("tickers", F.lit(0)).alias("a"), F.explode("tickers").alias("b")).distinct()
+    linked = components(first).select(F.col("node").alias("_node"), F.col("component").alias("_least"))
+    named = messages.withColumn("_first", F.get("tickers", F.lit(0))).join(linked, F.col("_first") == F.col("_node"), "left")
+    return named.withColumn("component", F.coalesce("_least", "_first")).drop("_first", "_node", "_least")
 
 
-def burst(messages: DataFrame, component: str, window: float, threshold: int) -> DataFrame:
-    """id, sent for messages (id, epoch, tickers, component): tickers named together share a component of the graph that
-    messages span, and each component is one fold. With one ticker a message it is the ticker itself."""
+def burst(messages: DataFrame, window: float, threshold: int) -> DataFrame:
+    """id, sent for messages (id, epoch, tickers): one is held back if any of its tickers was sent ``threshold`` times within
+    the window; a sent message counts for all its tickers, one held back for none. Without tickers all are sent.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["epoch", "id"])
-        sent = burst_sends(pdf["epoch"].tolist(), [tuple(x) for x in pdf["tickers"]], window, threshold)
-        return pd.DataFrame({"id": pdf["id"].to_numpy(), "sent": sent})
+    Tickers that messages name together depend on each other, so each component of tickers is a fold over its messages
+    in order of (epoch, id). Rows stream through a task sorted, and what is kept is the last sent times of tickers within
+    the window, ``threshold`` each at most: a component of any length is read batch by batch."""
+    rows = components_of(messages.select("id", F.col("epoch").cast("double").alias("epoch"), F.col("tickers").cast("array<string>").alias("tickers")))
+    rows = rows.repartition("component").sortWithinPartitions("component", "epoch", "id")
+    kind = messages.schema["id"].dataType.simpleString()
 
-    return messages.groupBy(component).applyInPandas(run, "id bigint, sent boolean")
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at: str | None = None
+        sent: dict[str, list[float]] = {}
+        for pdf in batches:
+            out = []
+            for component, now, tickers in pdf[["component", "epoch", "tickers"]].itertuples(index=False, name=None):
+                names = [] if tickers is None else list(tickers)
+                if component != at:
+                    at, sent = component, {}
+                if len(sent) > 100_000:
+                    sent = {t: x for t, x in sent.items() if x[-1] >= now - window}
+                lately = [[x for x in sent.get(t, ()) if x >= now - window] for t in names]
+                send = all(len(x) < threshold for x in lately)
+                if send:
+                    for t in names:
+                        sent[t] = [*(x for x in sent.get(t, ()) if x >= now - window), now]
+                out.append(send)
+            yield pd.DataFrame({"id": pdf["id"], "sent": out})
+
+    return rows.mapInPandas(run, f"id {kind}, sent boolean")

@@ -6,10 +6,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def insert_new(held: DataFrame, rows: DataFrame, key: str | list[str]) -> DataFrame:
-    """The rows whose key isn't held, one of each key: what an insert-or-get adds."""
+def insert_or_get(held: DataFrame, rows: DataFrame, key: str | list[str], order: list[str], id_col: str = "id") -> DataFrame:
+    """key, id, is_new, stored for each distinct key of rows: the id under which the key is held, or else the id of the
+    first of its rows by ``order``, which is what an insert adds (``stored`` is that row; null for held keys)."""
     keys = [key] if isinstance(key, str) else key
-    return rows.dropDuplicates(keys).join(held.select(*keys), keys, "left_anti")
+    first = rows.groupBy(*keys).agg(F.min_by(F.struct(*rows.columns), F.struct(*order)).alias("stored"))
+    known = held.groupBy(*keys).agg(F.min(id_col).alias("_held"))
+    out = first.join(known, keys, "left")
+    is_new = F.col("_held").isNull()
+    return out.select(*keys, F.coalesce("_held", F.col("stored")[id_col]).alias("id"), is_new.alias("is_new"), F.when(is_new, F.col("stored")).alias("stored"))
+
+
+def insert_new(held: DataFrame, rows: DataFrame, key: str | list[str], order: list[str] | None = None) -> DataFrame:
+    """The rows whose key isn't held, one of each key (the first by ``order``, or by all columns): what an insert-or-get adds."""
+    keys = [key] if isinstance(key, str) else key
+    fresh = rows.join(held.select(*keys).distinct(), keys, "left_anti")
+    others = [c for c in rows.columns if c not in keys]
+    if not others:
+        return fresh.distinct()
+    first = fresh.groupBy(*keys).agg(F.min_by(F.struct(*others), F.struct(*(order or others))).alias("_first"))
+    return first.select(*keys, "_first.*").select(*rows.columns)
 
 
 def newest(log: DataFrame, n: int, at: str = "created_at", ordinal: str = "id") -> DataFrame:
@@ -41,9 +57,10 @@ def retained(rows: DataFrame, at: str, now: Column, days: int) -> DataFrame:
 
 
 def canonical(rows: DataFrame, column: str, aliases: DataFrame) -> DataFrame:
-    """A name column replaced by its canonical name, whatever its case; aliases (alias, name) is a small table."""
-    known = aliases.select(F.lower("alias").alias("_a"), F.col("name").alias("_c")).dropDuplicates(["_a"])
-    return rows.join(F.broadcast(known), F.lower(column) == F.col("_a"), "left").withColumn(column, F.coalesce("_c", column)).drop("_a", "_c")
+    """A name column replaced by its canonical name, whatever its case; aliases (alias, name) may be of any size, and the least name
+    of an alias stands."""
+    known = aliases.groupBy(F.lower("alias").alias("_a")).agg(F.min("name").alias("_c"))
+    return rows.join(known, F.lower(column) == F.col("_a"), "left").withColumn(column, F.coalesce("_c", column)).drop("_a", "_c")
 
 
 def history(alerts: DataFrame, snapshot: list[str]) -> DataFrame:
@@ -51,6 +68,13 @@ def history(alerts: DataFrame, snapshot: list[str]) -> DataFrame:
     return alerts.select(*[c for c in alerts.columns if c not in snapshot], F.to_json(F.struct(*snapshot)).alias("snapshot"))
 
 
+def bumped(states: DataFrame, held_back: DataFrame) -> DataFrame:
+    """states (rule_id, ticker, ..., count_today) with the number of held-back hits (rule_id, ticker) added; a hit whose
+    state isn't there changes nothing."""
+    n = held_back.groupBy("rule_id", "ticker").agg(F.count(F.lit(1)).alias("_n"))
+    return states.join(n, ["rule_id", "ticker"], "left").withColumn("count_today", F.col("count_today") + F.coalesce("_n", F.lit(0))).drop("_n")
+
+
 def daily_triggers(fires: DataFrame, zone: str = "Asia/Shanghai") -> DataFrame:
     """rule_id, ticker, day, n: triggers of each local day."""
     day = F.to_date(F.from_utc_timestamp(F.timestamp_seconds("epoch"), zone))

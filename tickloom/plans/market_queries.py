@@ -63,12 +63,14 @@ def _ma(n: int) -> str:
     return f"CASE WHEN count(*) OVER (PARTITION BY ticker ORDER BY trade_date ROWS {n - 1} PRECEDING) >= {n} THEN avg(close) OVER (PARTITION BY ticker ORDER BY trade_date ROWS {n - 1} PRECEDING) END"
 
 
-@query(f"""WITH {BARS}, m AS (SELECT ticker, trade_date, {", ".join(f"{_ma(n)} AS ma{n}" for n in (5, 10, 20))} FROM bars)
-    SELECT ticker, CAST(trade_date AS VARCHAR) AS day, round(ma5, 6) AS ma5, round(ma10, 6) AS ma10, round(ma20, 6) AS ma20, round(lag(ma5) OVER w, 6) AS ma5_yesterday FROM m {W}""")
+@query(f"""WITH {BARS}, m AS (SELECT ticker, trade_date, {", ".join(f"{_ma(n)} AS ma{n}" for n in (5, 10, 20, 60, 120))} FROM bars)
+    SELECT ticker, CAST(trade_date AS VARCHAR) AS day, {", ".join(f"round(ma{n}, 6) AS ma{n}, round(lag(ma{n}) OVER w, 6) AS ma{n}_yesterday" for n in (5, 10, 20, 60, 120))} FROM m {W}""")
 def sma(spark, sf_dir):
-    w = indicators.by()
-    b = _bars(spark, sf_dir).withColumns({f"ma{n}": indicators.sma(F.col("close"), n, w) for n in (5, 10, 20)})
-    return b.select("ticker", _day("trade_date"), *[F.round(f"ma{n}", 6).alias(f"ma{n}") for n in (5, 10, 20)], F.round(F.lag("ma5").over(w), 6).alias("ma5_yesterday"))
+    """Means of 5 to 120 closes, and the day before's."""
+    w, spans = indicators.by(), (5, 10, 20, 60, 120)
+    b = _bars(spark, sf_dir).withColumns({f"ma{n}": indicators.sma(F.col("close"), n, w) for n in spans})
+    means = [c for n in spans for c in (F.round(f"ma{n}", 6).alias(f"ma{n}"), F.round(F.lag(f"ma{n}").over(w), 6).alias(f"ma{n}_yesterday"))]
+    return b.select("ticker", _day("trade_date"), *means)
 
 
 @query(f"""WITH {BARS}, m AS (SELECT ticker, trade_date, {_ma(3)} AS a, {_ma(7)} AS b FROM bars), c AS (SELECT *, lag(a) OVER w AS a1, lag(b) OVER w AS b1 FROM m {W})
@@ -177,17 +179,37 @@ def cooldown_fires(spark, sf_dir):
     r AS (SELECT k, t, n, t AS anchor, true AS fired FROM e WHERE n = 1 UNION ALL SELECT e.k, e.t, e.n, CASE WHEN e.t - r.anchor >= 900 THEN e.t ELSE r.anchor END, e.t - r.anchor >= 900 FROM r JOIN e ON e.k = r.k AND e.n = r.n + 1)
     SELECT k AS alert, CAST(count(*) FILTER (fired) AS BIGINT) AS sent, CAST(count(*) FILTER (NOT fired) AS BIGINT) AS held FROM r GROUP BY k""")
 def alert_throttle(spark, sf_dir):
-    """Alerts of one level and title at most every 900 seconds, as folds over arrays of times."""
+    """Alerts of one level and title at most every 900 seconds."""
     e = _events(spark, sf_dir).select(F.concat_ws(":", "event_type", (F.col("user_id") % 10).cast("string")).alias("alert"), F.unix_timestamp(F.col("ts").cast("timestamp")).alias("epoch"))
-    sent = F.size(state.cooldown(F.array_sort(F.collect_list("epoch")), 900)).cast("long")
-    return e.groupBy("alert").agg(sent.alias("sent"), F.count(F.lit(1)).alias("n")).select("alert", "sent", (F.col("n") - F.col("sent")).alias("held"))
+    fired = state.cooldown_fires(e, ["alert"], 900)
+    return fired.groupBy("alert").agg(F.count_if("fired").alias("sent"), F.count_if(~F.col("fired")).alias("held"))
+
+
+def _burst_sql(messages: str, window: int, threshold: int) -> str:
+    """Messages m (id, t, tickers) one after another, with the sent ones of the window as the state."""
+    return f"""WITH RECURSIVE {messages}, o AS (SELECT *, row_number() OVER (ORDER BY t, id) AS n FROM m),
+    r AS (SELECT CAST(0 AS BIGINT) AS n, CAST(-1 AS BIGINT) AS id, true AS sent, CAST([] AS STRUCT(k VARCHAR, t BIGINT)[]) AS held
+      UNION ALL SELECT n, id, sent, CASE WHEN sent THEN list_concat(live, list_transform(tickers, lambda x: {{'k': x, 't': t}})) ELSE live END
+      FROM (SELECT *, len(list_filter(tickers, lambda x: len(list_filter(live, lambda h: h.k = x)) >= {threshold})) = 0 AS sent
+        FROM (SELECT o.n, o.id, o.t, o.tickers, list_filter(r.held, lambda h: h.t >= o.t - {window}) AS live FROM r JOIN o ON o.n = r.n + 1)))
+    SELECT id, sent FROM r WHERE n > 0"""
 
 
-@query()
+@query(_burst_sql("m AS (SELECT event_id AS id, epoch_ms(ts) // 1000 AS t, [CAST(user_id AS VARCHAR)] AS tickers FROM events)", 7200, 3))
 def burst_suppress(spark, sf_dir):
     """Messages held back when their ticker had three within two hours."""
-    m = _events(spark, sf_dir).select(F.col("event_id").alias("id"), F.unix_timestamp(F.col("ts").cast("timestamp")).alias("epoch"), F.array(F.col("user_id").cast("string")).alias("tickers"), F.col("user_id").alias("component"))
-    return state.burst(m, "component", 7200.0, 3)
+    m = _events(spark, sf_dir).select(F.col("event_id").alias("id"), F.unix_timestamp(F.col("ts").cast("timestamp")).alias("epoch"), F.array(F.col("user_id").cast("string")).alias("tickers"))
+    return state.burst(m, 7200.0, 3)
+
+
+@query(_burst_sql("""m AS (SELECT event_id AS id, epoch_ms(ts) // 1000 AS t, CASE WHEN event_id % 9 = 0 THEN [] WHEN event_id % 3 = 0 THEN [CAST(user_id AS VARCHAR), CAST(user_id + 1 AS VARCHAR)] ELSE [CAST(user_id AS VARCHAR)] END AS tickers
+    FROM events WHERE event_type = 'purchase')""", 86400, 2))
+def burst_several_tickers(spark, sf_dir):
+    """The same with messages of several tickers, which depend on each other."""
+    u = F.col("user_id")
+    tickers = F.when(F.col("event_id") % 9 == 0, F.array().cast("array<string>")).when(F.col("event_id") % 3 == 0, F.array(u.cast("string"), (u + 1).cast("string"))).otherwise(F.array(u.cast("string")))
+    m = _events(spark, sf_dir).where("event_type = 'purchase'").select(F.col("event_id").alias("id"), F.unix_timestamp(F.col("ts").cast("timestamp")).alias("epoch"), tickers.alias("tickers"))
+    return state.burst(m, 86400.0, 2)
 
 
 @query("""WITH s AS (SELECT user_id AS ticker, ts, event_id, event_type = 'error' AS bad FROM events), g AS (SELECT *, sum(CASE WHEN bad THEN 0 ELSE 1 END) OVER (PARTITION BY ticker ORDER BY ts, event_id) AS i FROM s),
@@ -279,3 +301,48 @@ def limit_events(spark, sf_dir):
     q = _events(spark, sf_dir).select("event_id", F.col("value").alias("price"), (10 + F.col("event_id") % 90).alias("prev"), F.when(F.col("event_id") % 3 == 0, 0).otherwise(1).alias("bid1"), F.when(F.col("event_id") % 3 == 1, 0).otherwise(1).alias("ask1"))
     up, down = (f(F.col("price"), F.col("prev"), F.col("bid1"), F.col("ask1")) for f in (market.limit_up, market.limit_down))
     return q.where(up | down).select("event_id", F.when(up, "up").otherwise("down").alias("limit_hit"))
+
+
+@query(f"""WITH {BARS}, {SERIES}, f AS (SELECT ticker, len(v) AS n, list_reduce([{{'f': v[1], 's': v[1], 'd': 0.0::DOUBLE, 'x': v[1]}}] || list_transform(v[2:], lambda y: {{'f': 0.0::DOUBLE, 's': 0.0::DOUBLE, 'd': 0.0::DOUBLE, 'x': y}}),
+      lambda a, b: {{'f': {_A[5]} * b.x + (1 - {_A[5]}) * a.f, 's': {_A[10]} * b.x + (1 - {_A[10]}) * a.s, 'd': {_A[4]} * (({_A[5]} * b.x + (1 - {_A[5]}) * a.f) - ({_A[10]} * b.x + (1 - {_A[10]}) * a.s)) + (1 - {_A[4]}) * a.d, 'x': b.x}}) AS m FROM s),
+    c AS (SELECT ticker, CASE WHEN n < 24 THEN 0.0 ELSE m.f - m.s END AS dif, CASE WHEN n < 24 THEN 0.0 ELSE m.d END AS dea FROM f)
+    SELECT ticker, CASE WHEN dif > dea THEN 'golden' ELSE 'idle' END AS rule_id, round(dif, 6) AS macd_dif FROM c WHERE dif > dea OR (dif = 0 AND dea = 0)""")
+def macd_rules(spark, sf_dir):
+    """Rules over the MACD context, which is 0 for short series, with the two-argument crossing."""
+    s = indicators.series(_bars(spark, sf_dir))
+    s = s.where(F.size("values") >= 1).withColumns({k: F.when(F.size("values") >= 24, v).otherwise(0.0) for k, v in indicators.macd_context(F.col("values"), 5, 10, 4).items()})
+    rules = [alerts.Rule("golden", "indicator", "cross_above(macd_dif, macd_dea)"), alerts.Rule("idle", "indicator", "macd_dif == 0 and macd_dea == 0 and macd_hist == 0")]
+    return alerts.evaluate(s, rules, functions={"cross_above": indicators.crossed}).select("ticker", "rule_id", F.round("macd_dif", 6).alias("macd_dif"))
+
+
+@query(f"""WITH {BARS}, m AS (SELECT ticker, trade_date, {_ma(3)} AS a, {_ma(7)} AS b FROM bars), c AS (SELECT *, lag(a) OVER w AS a1, lag(b) OVER w AS b1 FROM m {W})
+    SELECT ticker, CAST(trade_date AS VARCHAR) AS day, CASE WHEN a > b THEN 'up' ELSE 'down' END AS rule_id FROM c WHERE (a > b AND a1 <= b1) OR (a < b AND a1 >= b1)""")
+def cross_rules(spark, sf_dir):
+    """Crossings of four scalars as rules write them."""
+    w = indicators.by()
+    b = _bars(spark, sf_dir).withColumns({"a": indicators.sma(F.col("close"), 3, w), "b": indicators.sma(F.col("close"), 7, w)}).withColumns({"a1": F.lag("a").over(w), "b1": F.lag("b").over(w)})
+    rules = [alerts.Rule("up", "indicator", "cross_above(a, b, a1, b1)"), alerts.Rule("down", "indicator", "cross_below(a, b, a1, b1)")]
+    both = {"cross_above": indicators.crossed, "cross_below": lambda *x: indicators.crossed(*x, above=False)}
+    return alerts.evaluate(b, rules, functions=both).select("ticker", _day("trade_date"), "rule_id")
+
+
+@query(f"""WITH {HELD}, p AS (SELECT sum(pnl) AS total, count(*) FILTER (pnl < 0) AS losses, sum(pnl) / 1000000 * 100 AS pct FROM c)
+    SELECT '_portfolio' AS ticker, 'losses' AS rule_id, round(pct, 4) AS value FROM p WHERE losses >= 3 UNION ALL SELECT '_portfolio', 'deep', round(pct, 4) FROM p WHERE pct < -1000000""")
+def portfolio_rules(spark, sf_dir):
+    """Composite rules over the portfolio's totals, under its own key."""
+    rules = [alerts.Rule("losses", "composite", "holding_count_in_loss >= 3"), alerts.Rule("deep", "composite", "total_unrealized_pnl_pct < -1000000")]
+    hits = alerts.evaluate_portfolio(_held(spark, sf_dir), 1_000_000.0, rules)
+    return hits.select("ticker", "rule_id", F.round("total_unrealized_pnl_pct", 4).alias("value"))
+
+
+@query(f"""WITH RECURSIVE {CONTEXT}, g AS (SELECT ticker, trade_date, count(*) AS rules FROM hits GROUP BY ticker, trade_date), o AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY trade_date) AS n FROM g),
+    r AS (SELECT ticker, trade_date, rules, n, [trade_date] AS held, true AS sent FROM o WHERE n = 1
+      UNION ALL SELECT ticker, trade_date, rules, n, CASE WHEN len(live) < 2 THEN list_append(live, trade_date) ELSE live END, len(live) < 2
+      FROM (SELECT o.*, list_filter(r.held, lambda d: d >= o.trade_date - 5) AS live FROM r JOIN o ON o.ticker = r.ticker AND o.n = r.n + 1))
+    SELECT ticker, CAST(trade_date AS VARCHAR) AS day, CASE WHEN rules > 1 THEN 'alert_burst' ELSE 'alert' END AS kind, sent FROM r""")
+def merged_alert_burst(spark, sf_dir):
+    """Merged alerts through the burst rule: two within five days for a ticker."""
+    m = alerts.merged(_hits(spark, sf_dir), ["ticker", "trade_date"]).withColumn("id", F.struct("ticker", "trade_date"))
+    m = m.withColumn("key", F.concat_ws(":", "ticker", F.date_format("trade_date", "yyyy-MM-dd")))
+    sent = state.burst(m.select(F.col("key").alias("id"), (F.unix_date("trade_date") * 86400).alias("epoch"), F.array(F.col("ticker").cast("string")).alias("tickers")), 5 * 86400.0, 2)
+    return m.join(sent.withColumnRenamed("id", "key"), "key").select("ticker", _day("trade_date"), "kind", "sent")

@@ -28,9 +28,8 @@ def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _until_last(df: DataFrame, hours: int, column: str = "sent_at") -> DataFrame:
-    """Rows of the last hours before the newest one; the newest time is one aggregate, joined as a one-row lookup."""
-    last = df.agg(F.max(column)).first()[0]
-    return df.where(F.col(column) >= F.lit(last) - F.make_dt_interval(hours=F.lit(hours))) if last is not None else df
+    """Rows of the last hours before the newest one, whose time is a scalar subquery."""
+    return df.where(F.col(column) >= df.agg(F.max(column)).scalar() - F.make_dt_interval(hours=F.lit(hours)))
 
 
 @query(f"WITH {LOG} SELECT channel, count(*) AS failures FROM log WHERE status = 'failed' AND sent_at >= (SELECT max(sent_at) FROM log) - INTERVAL 24 HOUR GROUP BY channel")
@@ -98,19 +97,26 @@ def newest_pushes(spark, sf_dir):
 def paused_sources(spark, sf_dir):
     """Sources whose pause of a day after their last error isn't over."""
     e = src.table(spark, sf_dir, "events")
-    now = e.agg(F.max("ts")).first()[0]
+    now = e.agg(F.max("ts")).scalar()
     last = e.where("event_type = 'error'").groupBy(F.col("user_id").alias("source")).agg(F.max("ts").alias("at"))
-    return last.where(F.col("at") + F.make_dt_interval(days=F.lit(1)) > F.lit(now)).select("source")
+    return last.where(F.col("at") + F.make_dt_interval(days=F.lit(1)) > now).select("source")
 
 
 @query("""WITH c AS (SELECT strftime(ts, '%Y-%m-%d') AS day, ts, event_id, sum(value) OVER (PARTITION BY strftime(ts, '%Y-%m-%d') ORDER BY ts, event_id) AS spent FROM events),
     x AS (SELECT day, event_id, spent, row_number() OVER (PARTITION BY day ORDER BY ts, event_id) AS k FROM c WHERE spent >= 5000) SELECT day, event_id, round(spent, 6) AS spent FROM x WHERE k = 1""")
 def cost_ceiling_crossing(spark, sf_dir):
-    """The call with which each day's running cost reached its ceiling."""
-    day = F.date_format("ts", "yyyy-MM-dd")
-    w = Window.partitionBy("day").orderBy("ts", "event_id")
-    e = src.table(spark, sf_dir, "events").withColumn("day", day).withColumn("spent", F.sum("value").over(w)).where("spent >= 5000")
-    return e.withColumn("k", F.row_number().over(w)).where("k = 1").select("day", "event_id", F.round("spent", 6).alias("spent"))
+    """The call with which each day's running cost reached its ceiling.
+
+    Costs are summed by minute first; only the minute in which a day crosses needs the order of its calls, so no day's calls
+    are sorted in one task. Costs aren't negative."""
+    e = src.table(spark, sf_dir, "events").select("event_id", "ts", "value", F.date_format("ts", "yyyy-MM-dd").alias("day"), F.date_trunc("minute", "ts").alias("minute"))
+    minutes = e.groupBy("day", "minute").agg(F.sum("value").alias("cost"))
+    before = Window.partitionBy("day").orderBy("minute").rowsBetween(Window.unboundedPreceding, -1)
+    minutes = minutes.withColumn("base", F.coalesce(F.sum("cost").over(before), F.lit(0.0))).where((F.col("base") < 5000) & (F.col("base") + F.col("cost") >= 4999.99))
+    w = Window.partitionBy("day", "minute").orderBy("ts", "event_id")
+    spent = e.join(minutes.select("day", "minute", "base"), ["day", "minute"]).withColumn("spent", F.col("base") + F.sum("value").over(w)).where("spent >= 5000")
+    first = spent.groupBy("day").agg(F.min(F.struct("ts", "event_id", "spent")).alias("x"))
+    return first.select("day", "x.event_id", F.round("x.spent", 6).alias("spent"))
 
 
 EDGES = """edges AS (SELECT l_suppkey AS subject_id, 'supplies' AS predicate, l_partkey AS object_id, max(1 - l_discount) AS confidence, max(l_shipdate) AS seen FROM lineitem GROUP BY 1, 3)"""
@@ -134,7 +140,7 @@ def relations_one_hop(spark, sf_dir):
 def news_for_ticker(spark, sf_dir):
     """The ten newest items tied to an entity, through its links."""
     o, c, n = (src.table(spark, sf_dir, t) for t in ("orders", "customer", "nation"))
-    one = n.agg(F.min("n_name")).first()[0]
+    one = n.agg(F.min("n_name")).scalar()
     j = o.join(c, o.o_custkey == c.c_custkey).join(F.broadcast(n.where(F.col("n_name") == one)), F.col("c_nationkey") == F.col("n_nationkey"))
     return j.orderBy(F.col("o_orderdate").desc(), "o_orderkey").limit(10).select(F.col("o_orderkey").alias("id"), F.col("c_name").alias("name"), F.col("o_totalprice").alias("price"))
 
@@ -144,8 +150,8 @@ def news_for_ticker(spark, sf_dir):
 def bearish_week(spark, sf_dir):
     """Bad items of an entity in a last stretch of time: four tables."""
     line, s, n, r = (src.table(spark, sf_dir, t) for t in ("lineitem", "supplier", "nation", "region"))
-    last, first = line.agg(F.max("l_shipdate")).first()[0], r.agg(F.min("r_name")).first()[0]
-    rows = line.where((F.col("l_returnflag") == "R") & (F.col("l_shipdate") >= F.lit(last) - F.make_dt_interval(days=F.lit(2000))))
+    last, first = line.agg(F.max("l_shipdate")).scalar(), r.agg(F.min("r_name")).scalar()
+    rows = line.where((F.col("l_returnflag") == "R") & (F.col("l_shipdate") >= last - F.make_dt_interval(days=F.lit(2000))))
     near = s.join(n, s.s_nationkey == n.n_nationkey).join(r.where(F.col("r_name") == first), F.col("n_regionkey") == F.col("r_regionkey"))
     return rows.join(near, rows.l_suppkey == near.s_suppkey).select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("line"), F.col("s_name").alias("name"))
 

@@ -68,8 +68,7 @@ def dead_letter_resolve(spark, sf_dir):
 def retention(spark, sf_dir):
     """Orders of the last year."""
     o = src.table(spark, sf_dir, "orders")
-    last = o.agg(F.max("o_orderdate")).first()[0]
-    return store.retained(o, "o_orderdate", F.lit(last), 365).select(F.col("o_orderkey").alias("id"))
+    return store.retained(o, "o_orderdate", o.agg(F.max("o_orderdate")).scalar(), 365).select(F.col("o_orderkey").alias("id"))
 
 
 @query("SELECT CASE WHEN n_regionkey = 0 THEN 'South' ELSE n_name END AS name, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1")

@@ -178,18 +178,24 @@ def simhash_values(spark, sf_dir):
     return _hashed(spark, sf_dir).select("id", "simhash")
 
 
-PAIRS = """pairs AS (SELECT a.id AS earlier, b.id AS later, bit_count(xor(a.simhash, b.simhash)) AS distance FROM (sim JOIN t USING (id)) a JOIN (sim JOIN t USING (id)) b
-    ON (a.fetched_at < b.fetched_at OR (a.fetched_at = b.fetched_at AND a.id < b.id)) AND b.fetched_at <= a.fetched_at + INTERVAL 24 HOUR WHERE bit_count(xor(a.simhash, b.simhash)) <= 4)"""
+PAIRS = """pairs AS (SELECT b.id AS later, arg_min(a.id, {'t': a.fetched_at, 'i': a.id}) AS earlier, arg_min(bit_count(xor(a.simhash, b.simhash)), {'t': a.fetched_at, 'i': a.id}) AS distance FROM (sim JOIN t USING (id)) a JOIN (sim JOIN t USING (id)) b
+    ON (a.fetched_at < b.fetched_at OR (a.fetched_at = b.fetched_at AND a.id < b.id)) AND b.fetched_at <= a.fetched_at + INTERVAL 24 HOUR WHERE bit_count(xor(a.simhash, b.simhash)) <= 4 GROUP BY b.id)"""
 
 
 @query(f"WITH {SIM}, {PAIRS} SELECT earlier, later, CAST(distance AS INTEGER) AS distance FROM pairs")
 def near_dup_pairs(spark, sf_dir):
-    """Titles within 4 bits and 24 hours, by a join on bands of the hash."""
+    """Each title's first neighbour within 4 bits and 24 hours, by a join on bands of the hash."""
     rows = dedup.durable(_hashed(spark, sf_dir))
     return dedup.near_pairs(rows)
 
 
-@query()
+@query(f"""WITH RECURSIVE {SIM}, a AS (SELECT id, fetched_at AS t, url AS u, simhash AS h FROM sim JOIN t USING (id)), b AS (SELECT * FROM a UNION ALL SELECT id + 1000000000, t + INTERVAL 40 DAY, u, h FROM a WHERE id % 10 = 0),
+    o AS (SELECT *, row_number() OVER (ORDER BY t, id) AS n FROM b),
+    r AS (SELECT CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS id, '' AS decision, CAST(NULL AS BIGINT) AS duplicate_of, CAST([] AS STRUCT(id BIGINT, t TIMESTAMP, u VARCHAR, h BIGINT)[]) AS acc
+      UNION ALL SELECT n, id, CASE WHEN of_url IS NOT NULL THEN 'url_hash' WHEN of_hash IS NOT NULL THEN 'simhash' ELSE 'new' END, coalesce(of_url, of_hash),
+        CASE WHEN of_url IS NULL AND of_hash IS NULL THEN list_append(acc, {{'id': id, 't': t, 'u': u, 'h': h}}) ELSE acc END
+      FROM (SELECT o.*, r.acc, list_filter(r.acc, lambda x: x.u = o.u)[1].id AS of_url, list_filter(r.acc, lambda x: x.t >= o.t - INTERVAL 24 HOUR AND bit_count(xor(x.h, o.h)) <= 4)[1].id AS of_hash FROM r JOIN o ON o.n = r.n + 1))
+    SELECT id, decision, duplicate_of FROM r WHERE n > 0""")
 def greedy_dedup(spark, sf_dir):
     """New articles and duplicates by url or title, in order of arrival; every tenth comes again under its url."""
     rows = _hashed(spark, sf_dir)
