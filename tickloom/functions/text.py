@@ -51,3 +51,8 @@ def best_json(text: Column, schema: str) -> Column:
     parse = lambda c: F.when(strip(c).startswith("{"), F.from_json(c, schema))
     good = lambda c: F.when(F.try_parse_json(c).isNotNull(), parse(c))
     return F.coalesce(good(text), good(fenced), good(inner))
+
+
+def path_segment(value: Column, most: int) -> Column:
+    """Percent-encoded text for a path, so many characters at most."""
+    return F.substring(F.regexp_replace(F.url_encode(value), r"\+", "%20"), 1, most)

@@ -85,3 +85,23 @@ def watch(entries: Column, add: Column | None = None, remove: Column | None = No
     """A watchlist with a ticker added or removed; doing it twice changes nothing."""
     out = entries if add is None else F.array_union(entries, F.array(add))
     return out if remove is None else F.array_remove(out, remove)
+
+
+def reset(states: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """Source states with the named ones as if nothing had happened: no pause, no errors."""
+    named = keys.select(key).distinct().withColumn("_reset", F.lit(True))
+    out = states.join(named, key, "left").withColumns({"paused_until": F.when(F.col("_reset").isNull(), F.col("paused_until")), "errors": F.when(F.col("_reset"), F.lit(0).cast("bigint")).otherwise(F.col("errors"))})
+    return out.drop("_reset")
+
+
+def zero_filled(rows: DataFrame, key: str, known: list[str]) -> DataFrame:
+    """name, n: the rows of each known key, 0 where there are none; keys that aren't known are left out."""
+    counts = rows.where(F.col(key).isin(*known)).groupBy(F.col(key).alias("name")).agg(F.count(F.lit(1)).alias("_n"))
+    names = rows.sparkSession.createDataFrame([(k,) for k in known], "name string")
+    return names.join(counts, "name", "left").select("name", F.coalesce("_n", F.lit(0)).alias("n"))
+
+
+def effective(watched: DataFrame, settings: DataFrame) -> DataFrame:
+    """market, ticker of watched (market, by_rules, ticker): the rules' entries where settings (market, rules_on) say so,
+    else the model's."""
+    return watched.join(settings, "market").where(F.col("by_rules") == F.col("rules_on")).select("market", "ticker")

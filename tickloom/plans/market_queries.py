@@ -195,7 +195,10 @@ def _burst_sql(messages: str, window: int, threshold: int) -> str:
     SELECT id, sent FROM r WHERE n > 0"""
 
 
-@query(_burst_sql("m AS (SELECT event_id AS id, epoch_ms(ts) // 1000 AS t, [CAST(user_id AS VARCHAR)] AS tickers FROM events)", 7200, 3))
+@query("""WITH RECURSIVE o AS (SELECT event_id AS id, user_id AS k, epoch_ms(ts) // 1000 AS t, row_number() OVER (PARTITION BY user_id ORDER BY epoch_ms(ts) // 1000, event_id) AS n FROM events),
+    r AS (SELECT id, k, t, n, [t] AS held, true AS sent FROM o WHERE n = 1
+      UNION ALL SELECT id, k, t, n, CASE WHEN len(live) < 3 THEN list_append(live, t) ELSE live END, len(live) < 3 FROM (SELECT o.*, list_filter(r.held, lambda h: h >= o.t - 7200) AS live FROM r JOIN o ON o.k = r.k AND o.n = r.n + 1))
+    SELECT id, sent FROM r""")
 def burst_suppress(spark, sf_dir):
     """Messages held back when their ticker had three within two hours."""
     m = _events(spark, sf_dir).select(F.col("event_id").alias("id"), F.unix_timestamp(F.col("ts").cast("timestamp")).alias("epoch"), F.array(F.col("user_id").cast("string")).alias("tickers"))
