@@ -49,7 +49,7 @@ def test_watch_and_unwatch(spark):
 
 def test_lists_by_script(spark):
     df = spark.createDataFrame([(["chip", "芯片", "été"],)], "w array<string>")
-    assert tuple(df.select(desk.by_script(F.col("w")).alias("s")).first().s) == (["chip"], ["芯片", "été"])
+    assert tuple(df.select(desk.by_script(F.col("w")).alias("s")).first().s) == (["chip", "été"], ["芯片"])
     none = F.array().cast("array<string>")
     assert df.select(desk.listed(none, F.array(F.lit("1"), F.lit("2")), none, none)).first()[0] == "美股: (空)\nA股: 1, 2\n宏观: (空)\n板块: (空)"
 

@@ -12,7 +12,7 @@ def test_extraction_with_a_stub(spark):
     df = spark.createDataFrame([(1, "good"), (2, "bad"), (3, "boom")], "id long, title string").repartition(3)
     got = {r.id: r for r in enrich.extracted(enrich.asked(df, F.concat(F.lit("p "), "title"), stub, batch=1)).collect()}
     assert (got[1].summary, got[1].event_type, got[1].sentiment, got[1].magnitude, got[1].confidence, got[1].related_tickers, got[1].sectors, got[1].dead) == ("p good", "earnings", "neutral", "low", 0.5, ["A"], [], False)
-    assert got[2].dead and got[3].dead and got[3].answer is None
+    assert got[2].dead and got[3].dead and got[3].answer is None and got[3].failure == "RuntimeError: down" and got[1].failure is None
 
 
 def test_lenient(spark):

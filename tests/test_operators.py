@@ -4,8 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from tickloom.functions import market, text
-from tickloom.operators import alerts, dedup, indicators, matching, state
+from tickloom.operators import alerts, dedup, gate, indicators, matching, state, store
 from tickloom.sources import articles as src
+from tickloom.sources import snapshots
 
 
 def column(spark, expression, **values):
@@ -117,16 +118,34 @@ def test_cooldown(spark):
     df = spark.createDataFrame([("r", "t", t) for t in times] + [("r", "u", 5)], "rule string, ticker string, epoch long")
     got = state.cooldown_fires(df, ["rule", "ticker"], 1800).where("fired and ticker = 't'").orderBy("epoch").collect()
     assert [r.epoch for r in got] == [1000, 2800, 4700]
-    folded = df.where("ticker = 't'").agg(state.cooldown(F.array_sort(F.collect_list("epoch")), 1800).alias("x")).first().x
-    assert folded == [1000, 2800, 4700]
     assert state.cooldown_fires(df.limit(0), ["rule", "ticker"], 1800).count() == 0
 
 
+def sent(spark, rows, window, threshold):
+    df = spark.createDataFrame([(i, t, list(names)) for i, (t, names) in enumerate(rows)], "id long, epoch double, tickers array<string>")
+    return [r.sent for r in state.burst(df.repartition(3), window, threshold).orderBy("id").collect()]
+
+
+def suppressed(rows, window, threshold):
+    held, out = {}, []
+    for now, names in rows:
+        for t in names:
+            held[t] = [x for x in held.get(t, []) if x >= now - window]
+        out.append(not any(len(held[t]) >= threshold for t in names))
+        if out[-1]:
+            for t in names:
+                held[t].append(now)
+    return out
+
+
 def test_burst(spark):
-    times = [0, 60, 120, 180, 240, 300, 360]
-    assert state.burst_sends(times, [("a",)] * 7, 300, 3) == [True, True, True, False, False, False, True]
-    assert state.burst_sends([0, 1, 2, 3], [("a",), ("b",), ("a", "b"), ("b",)], 300, 2) == [True, True, True, False]
-    assert state.burst_sends([0, 0, 0, 0], [()] * 4, 300, 1) == [True] * 4
+    times = [0.0, 1.0, 2.0, 3.0, 100.0, 300.0, 301.0]
+    assert sent(spark, [(t, ("a",)) for t in times], 300, 3) == [True, True, True, False, False, False, True]
+    assert sent(spark, [(0.0, ("a",)), (1.0, ("b",)), (2.0, ("a", "b")), (3.0, ("b",))], 300, 2) == [True, True, True, False]
+    assert sent(spark, [(0.0, ())] * 4, 300, 1) == [True] * 4
+    rnd = random.Random(6)
+    rows = [(float(i * 7), tuple(rnd.sample("abcdefghijkl", rnd.choice([0, 1, 1, 2])))) for i in range(300)]
+    assert sent(spark, rows, 60, 2) == suppressed(rows, 60, 2)
 
 
 def test_top_k_ties_and_nulls(spark):
@@ -168,3 +187,84 @@ def test_sources(spark):
 @pytest.mark.parametrize("t, k", [('{"k": 1}', 1), ('say ```json\n{"k": 2}\n``` ok', 2), ('x {"k": 3} y', 3), ("[1]", None), ("none", None), ('{"k": }', None)])
 def test_best_json(spark, t, k):
     assert column(spark, text.best_json(F.col("t"), "struct<k:int>")["k"], t=t) == k
+
+
+def test_near_pairs_are_in_proportion(spark):
+    rows = spark.range(4000).select("id", F.lit(7).cast("long").alias("simhash"), src.minutes_after("2024-01-01 00:00:00", (F.col("id") / 10).cast("int")).alias("fetched_at"))
+    got = dedup.near_pairs(rows)
+    assert got.count() == 3999 and got.where("earlier <> 0").isEmpty()
+    # within a day only the first is new, whatever the number
+    r = dedup.check_and_register(rows.withColumn("url_hash", F.col("id").cast("string"))).groupBy("decision").count().collect()
+    assert {x.decision: x["count"] for x in r} == {"new": 1, "simhash": 3999}
+
+
+def test_near_pairs_against_brute_force(spark):
+    rnd = random.Random(9)
+    centres = [rnd.getrandbits(64) for _ in range(6)]
+    rows = []
+    for i in range(200):
+        sim = rnd.choice(centres)
+        for _ in range(rnd.randrange(5)):
+            sim ^= 1 << rnd.randrange(64)
+        rows.append((i, sim - (1 << 64) if sim >> 63 else sim, rnd.randrange(9000)))
+    df = spark.createDataFrame(rows, "id long, simhash long, m int").select("id", "simhash", src.minutes_after("2024-01-01 00:00:00", F.col("m")).alias("fetched_at"))
+    expected = {}
+    for i, h, m in rows:
+        near = sorted((n, j) for j, g, n in rows if (n, j) < (m, i) and n >= m - 1440 and bin((h ^ g) & (1 << 64) - 1).count("1") <= 4)
+        if near:
+            expected[i] = near[0][1]
+    assert {r.later: r.earlier for r in dedup.near_pairs(df).collect()} == expected
+
+
+def test_folds_take_the_whole_history(spark):
+    values = [1000.0] + [10.0 + (i * 37 % 11) for i in range(699)]
+    df = spark.createDataFrame([("t", i, v) for i, v in enumerate(values)], "ticker string, trade_date int, close double")
+    got = indicators.series(df).select(indicators.ema(F.col("values"), 400).alias("e"), F.size("values").alias("n")).first()
+    e, alpha = values[0], 2 / 401
+    for v in values[1:]:
+        e = alpha * v + (1 - alpha) * e
+    assert got.n == 700 and abs(got.e - e) < 1e-9
+    assert indicators.series(df, last=500).select(F.size("values").alias("n")).first().n == 500
+
+
+def test_macd_context_and_crossings(spark):
+    df = spark.createDataFrame([([1.0, 2.0],)], "v array<double>").select(*[c.alias(k) for k, c in indicators.macd_context(F.col("v")).items()])
+    assert tuple(df.first()) == (0.0, 0.0, 0.0)
+    x = spark.createDataFrame([(2.0, 1.0, 1.0, 1.0)], "a double, b double, p double, q double")
+    a, b, p, q = map(F.col, "abpq")
+    assert tuple(x.select(indicators.crossed(a, b), indicators.crossed(a, b, p, q), indicators.crossed(b, a, above=False), indicators.crossed(b, a, p, q, above=False)).first()) == (True, True, True, True)
+    assert tuple(x.select(indicators.crossed(a, b, a, b), indicators.crossed(b, a)).first()) == (False, False)
+
+
+def test_rules_are_swapped_only_for_good_ones(spark):
+    held = [alerts.Rule("a", "threshold", "price > 1")]
+    assert alerts.reloaded(held, '{"alerts": [{"id": "b", "kind": "threshold", "expr": "price > 2"}]}')[0].id == "b"
+    for bad in ("{", '[{"id": "b"}]', '[{"id": "b", "kind": "no", "expr": "1"}]', '[{"id": "b", "kind": "event", "expr": "import os"}]', '"x"'):
+        assert alerts.reloaded(held, bad) is held
+
+
+def test_insert_or_get(spark):
+    held = spark.createDataFrame([(7, "u")], "id long, url string")
+    rows = spark.createDataFrame([(10, "u", 1), (12, "v", 3), (11, "v", 2)], "id long, url string, n int")
+    got = {r.url: (r.id, r.is_new, r.stored and r.stored.n) for r in store.insert_or_get(held, rows, "url", ["n"]).collect()}
+    assert got == {"u": (7, False, None), "v": (11, True, 2)}
+    assert [tuple(r) for r in store.insert_new(held, rows, "url", ["n"]).collect()] == [(11, "v", 2)]
+
+
+def test_settings(spark):
+    got = snapshots.settings(spark, {"a": '{"x": {"y": [1, "two"]}, "z": null}', "b": None}, {"b"})
+    assert sorted(map(tuple, got.collect())) == [("a", "x.y[0]", "1"), ("a", "x.y[1]", "two"), ("a", "z", None)]
+    with pytest.raises(FileNotFoundError):
+        snapshots.settings(spark, {"b": None}, set())
+
+
+def test_portfolio_rules(spark):
+    held = spark.createDataFrame([(-5.0,), (2.0,)], "unrealized_pnl double")
+    rules = [alerts.Rule("r", "composite", "holding_count_in_loss == 1 and total_unrealized_pnl_pct < 0")]
+    assert [(r.ticker, r.rule_id) for r in alerts.evaluate_portfolio(held, 100.0, rules).collect()] == [("_portfolio", "r")]
+    assert alerts.evaluate_portfolio(held.limit(0), 100.0, rules).count() == 0
+
+
+def test_gate_needs_a_mode(spark):
+    with pytest.raises(ValueError):
+        gate.status(False, False, F.lit(True), F.lit(False), F.lit(False))

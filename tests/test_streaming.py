@@ -1,6 +1,7 @@
 import json
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from tickloom.operators import alerts
@@ -33,7 +34,11 @@ def test_ingest_keeps_first(spark, tmp_path):
 
 
 def test_dispatch_is_per_channel(spark):
-    taken = {}
+    taken, dead = {}, []
     sinks = {"a": lambda df: taken.update(a=df.count()), "b": lambda df: 1 / 0}
-    stream.dispatch(sinks)(spark.createDataFrame([("a",), ("a",), ("b",), ("c",)], "channel string"), 0)
-    assert taken == {"a": 2}
+    rows = spark.createDataFrame([("a",), ("a",), ("b",), ("c",)], "channel string")
+    stream.dispatch(sinks, lambda df: dead.extend(df.collect()))(rows, 3)
+    assert taken == {"a": 2} and [(r.channel, r.batch, r.error) for r in dead] == [("b", 3, "ZeroDivisionError: division by zero")]
+    # without a place for them, failed rows fail the batch
+    with pytest.raises(RuntimeError):
+        stream.dispatch(sinks)(rows, 3)

@@ -134,7 +134,10 @@ def reloaded(held: list[Rule], text: str) -> list[Rule]:
         except ValueError:
             import yaml
 
-            rows = yaml.safe_load(text)
+            try:
+                rows = yaml.safe_load(text)
+            except yaml.YAMLError as e:
+                raise ValueError("neither JSON nor YAML") from e
         rows = rows.get("alerts", []) if isinstance(rows, dict) else rows or []
         return validated([Rule(**r) for r in rows])
     except (ValueError, TypeError, AttributeError, ImportError):

@@ -88,9 +88,23 @@ def listed(us: Column, cn: Column, macros: Column, sectors: Column) -> Column:
 
 
 def by_script(words: Column) -> Column:
-    """us, cn: keywords of a flat list by their script; ASCII ones are American."""
-    plain = lambda w: ~w.rlike(r"[^\x00-\x7F]")
-    return F.struct(F.filter(words, plain).alias("us"), F.filter(words, lambda w: ~plain(w)).alias("cn"))
+    """us, cn: keywords of a flat list by their script; those with a Chinese character (U+4E00 to U+9FFF) are Chinese."""
+    chinese = lambda w: w.rlike(r"[\u4E00-\u9FFF]")
+    return F.struct(F.filter(words, lambda w: ~chinese(w)).alias("us"), F.filter(words, chinese).alias("cn"))
+
+
+#: Usage of the chart commands; fixed values.
+CHART_USAGE, SENTIMENT_USAGE = "用法: /chart TICKER [window=30d]", "用法: /sentiment TICKER [days=7]"
+
+
+def chart_requests(commands: DataFrame) -> DataFrame:
+    """commands (command, args) with the chart asked for: ticker, kind, window, and usage where no ticker is given. What is
+    drawn is the bars with their marks (messages.markers), pixels are the client's."""
+    chart = F.col("command") == "chart"
+    given = F.size("args") > 0
+    window = F.when(chart, F.coalesce(F.get("args", F.lit(1)), F.lit("30d"))).otherwise(F.concat(F.coalesce(F.get("args", F.lit(1)), F.lit("7")), F.lit("d")))
+    usage = F.when(~given, F.when(chart, CHART_USAGE).otherwise(SENTIMENT_USAGE))
+    return commands.where(F.col("command").isin("chart", "sentiment")).withColumns({"ticker": F.get("args", F.lit(0)), "kind": F.when(given, F.when(chart, "kline").otherwise("sentiment")), "window": F.when(given, window), "usage": usage})
 
 
 def unresolved(rules: DataFrame, holdings: DataFrame, watchlist: DataFrame, capital: float | None) -> DataFrame:

@@ -32,21 +32,26 @@ def asked(articles: DataFrame, prompt: Column, client: Callable[[list[str]], lis
     """articles with ``answer``: what the client returns for each prompt, null where it fails.
 
     The client is any function of a list of prompts; it runs in the tasks, so a test's stub and a model server's client
-    are used alike. A failed call costs its own batch only."""
+    are used alike. A failed call costs its own batch only, and ``failure`` says why (null where it didn't fail)."""
     rows = articles.withColumn("_prompt", prompt)
-    schema = articles.drop("answer").schema.add("answer", "string", True)
-    names = [c for c in articles.columns if c != "answer"]
+    names = [c for c in articles.columns if c not in ("answer", "failure")]
+    schema = articles.select(*names).schema.add("answer", "string").add("failure", "string")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             answers: list[str | None] = []
+            failures: list[str | None] = []
             prompts = pdf["_prompt"].tolist()
             for s in range(0, len(prompts), batch):
+                n = len(prompts[s : s + batch])
                 try:
-                    answers += client(prompts[s : s + batch])
-                except Exception:  # noqa: BLE001
-                    answers += [None] * len(prompts[s : s + batch])
-            yield pdf[names].assign(answer=answers)
+                    got, why = list(client(prompts[s : s + batch])), None
+                    if len(got) != n:
+                        raise ValueError(f"{len(got)} answers to {n} prompts")
+                except Exception as e:  # noqa: BLE001
+                    got, why = [None] * n, f"{type(e).__name__}: {e}"
+                answers, failures = answers + got, failures + [why] * n
+            yield pdf[names].assign(answer=answers, failure=failures)
 
     return rows.mapInPandas(run, schema)
 
@@ -61,6 +66,45 @@ def extracted(answers: DataFrame) -> DataFrame:
     return df.withColumns(fields).drop("_p")
 
 
+#: The first tier's answer, and what the third adds to the second's.
+TITLE = "struct<relevant: boolean, tier_hint: string, watchlist_hit: boolean, reason: string>"
+DEEP = "struct<entities: array<struct<type: string, name: string, ticker: string, market: string, aliases: array<string>>>, relations: array<struct<subject_name: string, object_name: string, predicate: string, confidence: double>>>"
+
+
+def titled(answers: DataFrame) -> DataFrame:
+    """answers with the first tier's fields, defaults filled in, and ``dead`` where no object could be read."""
+    df = answers.withColumn("_p", best_json(F.col("answer"), TITLE))
+    no, p = F.lit(False), F.col("_p")
+    fields = {"relevant": F.coalesce(p["relevant"], no), "tier_hint": F.coalesce(p["tier_hint"], F.lit("tier1")), "watchlist_hit": F.coalesce(p["watchlist_hit"], no), "reason": F.coalesce(p["reason"], F.lit("")), "dead": p.isNull()}
+    return df.withColumns(fields).drop("_p")
+
+
+def deep(answers: DataFrame) -> DataFrame:
+    """answers with the second tier's fields (a missing summary is empty here), and entities and relations: entities without
+    a name go, and relations whose ends aren't entities of the answer; of entities with one name the last counts."""
+    df = extracted(answers).withColumn("_d", best_json(F.col("answer"), DEEP)).withColumns({"dead": F.col("_d").isNull(), "summary": F.coalesce("summary", F.lit(""))})
+    none = F.array().cast("array<string>")
+    named = F.filter(F.coalesce(F.col("_d")["entities"], F.array()), lambda e: F.coalesce(e["name"], F.lit("")) != "")
+    entities = F.transform(named, lambda e: F.struct(lenient(e["type"], "entity_type").alias("type"), e["name"].alias("name"), e["ticker"].alias("ticker"), lenient(e["market"], "market").alias("market"), F.coalesce(e["aliases"], none).alias("aliases")))
+    df = df.withColumn("entities", F.filter(entities, lambda e, i: ~F.exists(F.slice(entities, i + 2, F.size(entities)), lambda x: x["name"] == e["name"])))
+    known = F.transform("entities", lambda e: e["name"])
+    relations = F.filter(F.coalesce(F.col("_d")["relations"], F.array()), lambda r: F.array_contains(known, r["subject_name"]) & F.array_contains(known, r["object_name"]))
+    relations = F.transform(relations, lambda r: F.struct(r["subject_name"].alias("subject"), lenient(r["predicate"], "predicate").alias("predicate"), r["object_name"].alias("object"), F.coalesce(r["confidence"], F.lit(0.5)).alias("confidence")))
+    return df.withColumn("relations", relations).drop("_d")
+
+
+def judged(answers: DataFrame) -> DataFrame:
+    """answers with the judge's is_critical and reason; an answer that can't be read is not critical."""
+    p = best_json(F.col("answer"), "struct<is_critical: boolean, reason: string>")
+    return answers.withColumn("_p", p).withColumns({"is_critical": F.coalesce(F.col("_p")["is_critical"], F.lit(False)), "reason": F.coalesce(F.col("_p")["reason"], F.lit(""))}).drop("_p")
+
+
+def chosen_model(configured: Column, premium_ready: bool, fallback: str, prefix: str = "claude-") -> Column:
+    """client, model: a premium model without its client falls back to the other client's cheap one."""
+    premium = configured.startswith(prefix)
+    return F.struct(F.when(premium & F.lit(premium_ready), "premium").otherwise("standard").alias("client"), F.when(premium & ~F.lit(premium_ready), fallback).otherwise(configured).alias("model"))
+
+
 def costs(calls: DataFrame, prices: DataFrame, ceiling: float) -> DataFrame:
     """day, cost, remaining, reached, warned for calls (model, at, tokens_in, tokens_out) and prices per 1000 tokens; a
     model without a price costs nothing."""

@@ -87,6 +87,19 @@ def alerts(df: DataFrame) -> DataFrame:
     return df.select("*", F.concat(arrow(pct), F.lit(" "), "name", F.lit(" ("), "ticker", F.lit(") "), "rule_id").alias("title"), F.concat_ws("\n", *lines).alias("summary"), F.array(badge(F.concat(F.lit("#"), "ticker"), "blue"), badge(F.lit("alert"), F.when(pct < 0, "red").otherwise("green"))).alias("badges"))
 
 
+def bursts(df: DataFrame) -> DataFrame:
+    """One message for each snapshot (ticker, name, price, pct_change, at) with several hits (rule_id, kind_order, expr): a
+    line for each rule, in order, then the price."""
+    keys = ["ticker", "name", "price", "pct_change", "at"]
+    rules = F.transform(F.array_sort(F.collect_list(F.struct("kind_order", "rule_id", "expr"))), lambda x: F.concat(F.lit("✓ "), x["rule_id"], F.lit(": "), x["expr"]))
+    m = df.groupBy(*keys).agg(rules.alias("rules")).where(F.size("rules") > 1)
+    pct, n = F.col("pct_change"), F.size("rules").cast("string")
+    tail = [F.concat(F.lit("当前价: "), fixed("price", 2), F.lit("  ("), signed(pct), F.lit("%)")), F.concat(F.lit("⏱ "), F.date_format("at", "HH:mm:ss"))]
+    marks = F.array(badge(F.concat(F.lit("#"), "ticker"), "blue"), badge(F.concat(F.lit("多规则x"), n), "yellow"), badge(F.lit("alert"), F.when(pct < 0, "red").otherwise("green")))
+    title = F.concat(arrow(pct), F.lit(" "), "name", F.lit(" ("), "ticker", F.lit(") 多规则触发(x"), n, F.lit(")"))
+    return m.select(*keys, title.alias("title"), F.concat_ws("\n", F.array_join("rules", "\n"), *tail).alias("summary"), marks.alias("badges"), F.lit("alert_burst").alias("kind"))
+
+
 def scan_digest(ranked: DataFrame) -> DataFrame:
     """One message of a ranked scan (category, rank, ticker, name, pct_change, volume_ratio): its sections, in order."""
     line = F.when(F.col("category") == "volume_ratio", F.concat(F.lit("- "), "name", F.lit(" ("), "ticker", F.lit(") 量比 "), fixed(F.coalesce("volume_ratio", F.lit(0.0)), 2)))
@@ -126,7 +139,7 @@ def signature(timestamp: str, secret: str) -> str:
 
 def fan_out(messages: DataFrame, channels: DataFrame, known: list[str]) -> DataFrame:
     """Each message once for each channel of its market that is known; others are dropped."""
-    return messages.join(F.broadcast(channels.where(F.col("channel").isin(*known))), "market")
+    return messages.join(channels.where(F.col("channel").isin(*known)), "market")
 
 
 def markers(bars: DataFrame, news: DataFrame) -> DataFrame:

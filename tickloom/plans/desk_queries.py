@@ -52,14 +52,15 @@ def command_news(spark, sf_dir):
     return desk.news_replies(art.select(F.col("source").alias("ticker"), F.col("fetched_at").alias("at"), "id", F.col("title").alias("summary")))
 
 
-@query("""WITH c AS (SELECT CAST(ts AS DATE) AS day, sum(user_id * CASE WHEN event_type = 'view' THEN 0.5 WHEN event_type = 'click' THEN 0.25 ELSE 0 END) / 1000 AS cost FROM events GROUP BY 1)
-    SELECT strftime(day, '%Y-%m-%d') AS day, cost >= 20 AS reached, cost >= 16 AS warned, cost < 20 AS left_over FROM c""")
+@query("""WITH c AS (SELECT CAST(ts AS DATE) AS day, sum(user_id * CASE WHEN event_type = 'view' THEN 0.5 WHEN event_type = 'click' THEN 0.25 ELSE 0 END) / 1024 AS cost FROM events GROUP BY 1)
+    SELECT strftime(day, '%Y-%m-%d') AS day, cost >= 20 AS reached, cost >= 16 AS warned, '今日 LLM 成本: ' || printf('%.2f', CAST(cost AS DOUBLE)) || ' CNY' || chr(10) || '剩余预算: ' || printf('%.2f', CAST(greatest(0, 20 - cost) AS DOUBLE)) || ' CNY' AS reply FROM c""")
 def command_cost(spark, sf_dir):
-    """Each day's model budget; prices are exact in binary, so that sums agree."""
+    """Each day's model budget and the reply that tells it; prices are exact in binary, so that sums agree."""
     calls = src.table(spark, sf_dir, "events").select(F.col("event_type").alias("model"), F.col("ts").alias("at"), F.col("user_id").alias("tokens_in"), F.lit(0).alias("tokens_out"))
-    prices = spark.createDataFrame([("view", 0.5, 0.0), ("click", 0.25, 0.0)], "model string, price_in double, price_out double")
+    # prices are for a thousand tokens
+    prices = spark.createDataFrame([("view", 0.5 * 1000 / 1024, 0.0), ("click", 0.25 * 1000 / 1024, 0.0)], "model string, price_in double, price_out double")
     day = enrich.costs(calls, prices, 20.0)
-    return day.select(F.date_format("day", "yyyy-MM-dd").alias("day"), "reached", "warned", (~desk.cost_reply(F.col("cost"), F.col("remaining")).endswith("预算: 0.00 CNY")).alias("left_over"))
+    return day.select(F.date_format("day", "yyyy-MM-dd").alias("day"), "reached", "warned", desk.cost_reply(F.col("cost"), F.col("remaining")).alias("reply"))
 
 
 @query("""WITH s AS (SELECT DISTINCT user_id AS source FROM events WHERE user_id % 2 = 0), c AS (SELECT user_id AS source, ts, CASE WHEN event_id % 3 > 0 THEN CAST(event_id % 50 AS INTEGER) END AS minutes FROM events WHERE event_type = 'error'),
@@ -100,8 +101,8 @@ def command_list(spark, sf_dir):
     return k.select("lang", desk.listed(F.col("us"), none, F.array("lang"), none).alias("reply"))
 
 
-@query("""WITH w AS (SELECT p_brand AS market, list_sort(list(DISTINCT p_type)) AS ws FROM part GROUP BY 1), m AS (SELECT market, list_concat(ws, ['芯片', 'été']) AS ws FROM w)
-    SELECT market, array_to_string(list_filter(ws, lambda x: length(x) = strlen(x)), ',') AS us, array_to_string(list_filter(ws, lambda x: length(x) <> strlen(x)), ',') AS cn FROM m""")
+@query(r"""WITH w AS (SELECT p_brand AS market, list_sort(list(DISTINCT p_type)) AS ws FROM part GROUP BY 1), m AS (SELECT market, list_concat(ws, ['芯片', 'été']) AS ws FROM w)
+    SELECT market, array_to_string(list_filter(ws, lambda x: NOT regexp_matches(x, '[\x{4E00}-\x{9FFF}]')), ',') AS us, array_to_string(list_filter(ws, lambda x: regexp_matches(x, '[\x{4E00}-\x{9FFF}]')), ',') AS cn FROM m""")
 def watchlist_migration(spark, sf_dir):
     """Flat keyword lists split by script."""
     w = src.table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("market")).agg(F.concat(F.array_sort(F.collect_set("p_type")), F.array(F.lit("芯片"), F.lit("été"))).alias("ws"))
@@ -156,3 +157,54 @@ def digest_consumed(spark, sf_dir):
     held = src.table(spark, sf_dir, "events").where("event_type = 'purchase'").select(F.col("event_id").alias("id"), "user_id", F.lit(None).cast("timestamp_ntz").alias("consumed_at"))
     done = store.resolve(held, held.where("user_id % 4 = 0"), F.lit("2024-03-01 00:00:00").cast("timestamp_ntz"), "consumed_at")
     return done.select("id", F.col("consumed_at").isNotNull().alias("consumed"))
+
+
+@query("""WITH c AS (SELECT event_id AS id, CASE WHEN event_id % 2 = 0 THEN 'chart' ELSE 'sentiment' END AS command, CASE event_id % 3 WHEN 0 THEN [] WHEN 1 THEN ['T' || user_id] ELSE ['T' || user_id, '14'] END AS args FROM events WHERE event_id % 5 <> 0)
+    SELECT id, args[1] AS ticker, CASE WHEN len(args) > 0 THEN CASE WHEN command = 'chart' THEN 'kline' ELSE 'sentiment' END END AS kind, CASE WHEN len(args) > 0 THEN CASE WHEN command = 'chart' THEN coalesce(args[2], '30d') ELSE coalesce(args[2], '7') || 'd' END END AS window,
+        CASE WHEN len(args) = 0 THEN CASE WHEN command = 'chart' THEN '用法: /chart TICKER [window=30d]' ELSE '用法: /sentiment TICKER [days=7]' END END AS usage FROM c""")
+def command_chart(spark, sf_dir):
+    """Which chart each command asks for."""
+    e, t = src.table(spark, sf_dir, "events"), F.concat(F.lit("T"), F.col("user_id").cast("string"))
+    args = F.when(F.col("event_id") % 3 == 0, F.array().cast("array<string>")).when(F.col("event_id") % 3 == 1, F.array(t)).otherwise(F.array(t, F.lit("14")))
+    command = F.when(F.col("event_id") % 5 == 0, "news").when(F.col("event_id") % 2 == 0, "chart").otherwise("sentiment")
+    return desk.chart_requests(e.select(F.col("event_id").alias("id"), command.alias("command"), args.alias("args"))).select("id", "ticker", "kind", "window", "usage")
+
+
+_ANSWERS = """a AS (SELECT event_id AS id, user_id AS u, CASE event_id % 5 WHEN 0 THEN 'no' WHEN 1 THEN 'see {"is_critical": true, "reason": "r' || user_id || '"} so' WHEN 2 THEN '{"reason": "x"}' WHEN 3 THEN '{"is_critical": false}' END AS answer FROM events)"""
+
+
+@query(f"""WITH {_ANSWERS} SELECT id, coalesce(id % 5 = 1, false) AS is_critical, CASE id % 5 WHEN 1 THEN 'r' || u WHEN 2 THEN 'x' ELSE '' END AS reason FROM a""")
+def model_judge(spark, sf_dir):
+    """A judge's answers; what can't be read isn't critical."""
+    e = src.table(spark, sf_dir, "events")
+    r = F.col("event_id") % 5
+    answer = F.when(r == 0, "no").when(r == 1, F.concat(F.lit('see {"is_critical": true, "reason": "r'), F.col("user_id").cast("string"), F.lit('"} so'))).when(r == 2, '{"reason": "x"}').when(r == 3, '{"is_critical": false}')
+    return enrich.judged(e.select(F.col("event_id").alias("id"), answer.alias("answer"))).select("id", "is_critical", "reason")
+
+
+@query("""SELECT event_id AS id, event_id % 4 <> 0 AND event_id % 2 = 0 AS relevant, CASE WHEN event_id % 4 = 3 THEN 'tier2' ELSE 'tier1' END AS tier_hint, event_id % 4 = 0 AS dead FROM events""")
+def title_tier(spark, sf_dir):
+    """The first tier's answers with their defaults."""
+    r = F.col("event_id") % 4
+    answer = F.when(r == 1, "{}").when(r == 2, '{"relevant": true, "reason": "y"}').when(r == 3, '```json {"relevant": false, "tier_hint": "tier2"} ```')
+    rows = src.table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), answer.alias("answer"))
+    return enrich.titled(rows).select("id", "relevant", "tier_hint", "dead")
+
+
+@query("""SELECT p_partkey AS id, p_brand || '|' || p_type AS entities, CASE WHEN p_size % 2 = 0 THEN p_brand || ' supplies ' || p_type ELSE p_brand || ' mentions ' || p_type END AS relations FROM part WHERE p_size % 3 <> 0 UNION ALL SELECT p_partkey, '', '' FROM part WHERE p_size % 3 = 0""")
+def deep_tier(spark, sf_dir):
+    """The third tier's answers: nameless entities go, unknown kinds become the default, relations need known ends."""
+    p = src.table(spark, sf_dir, "part")
+    entity = lambda n: F.struct(F.lit("alien").alias("type"), n.alias("name"))
+    relation = lambda a, b: F.struct(a.alias("subject_name"), b.alias("object_name"), F.when(F.col("p_size") % 2 == 0, "SUPPLIES").otherwise("likes").alias("predicate"))
+    brand, kind = F.col("p_brand"), F.col("p_type")
+    full = F.to_json(F.struct(F.lit("s").alias("summary"), F.array(entity(brand), entity(F.lit("")), entity(kind)).alias("entities"), F.array(relation(brand, kind), relation(brand, F.lit("nobody"))).alias("relations")))
+    rows = enrich.deep(p.select(F.col("p_partkey").alias("id"), F.when(F.col("p_size") % 3 == 0, '{"summary": "s"}').otherwise(full).alias("answer")))
+    return rows.select("id", F.array_join(F.transform("entities", lambda e: e["name"]), "|").alias("entities"), F.array_join(F.transform("relations", lambda r: F.concat_ws(" ", r["subject"], r["predicate"], r["object"])), ";").alias("relations"))
+
+
+@query("""WITH c AS (SELECT p_partkey AS id, CASE WHEN p_size % 2 = 0 THEN 'claude-' || p_size ELSE 'other-' || p_size END AS m FROM part) SELECT id, 'standard' AS client, CASE WHEN m LIKE 'claude-%' THEN 'cheap' ELSE m END AS model FROM c""")
+def model_choice(spark, sf_dir):
+    """Which client and model each configured name leads to, without the premium client."""
+    name = F.concat(F.when(F.col("p_size") % 2 == 0, "claude-").otherwise("other-"), F.col("p_size").cast("string"))
+    return src.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), enrich.chosen_model(name, False, "cheap").alias("c")).select("id", "c.client", "c.model")

@@ -45,9 +45,18 @@ def rules_messages(spark, sf_dir):
     return m.select("id", "summary", F.array_join(F.transform(marks, lambda b: b["text"]), "|").alias("marks"), F.array_join(links, " | ").alias("links"))
 
 
-@query()
+_LOW = "lower(coalesce(title, '') || '  ' || coalesce(body, ''))"
+_GENERIC = ", ".join(f"{{'e': length(regexp_extract({_LOW}, '(?s)^(.*?" + (f"(?:^|[^a-z0-9])){w.lower()}(?:$|[^a-z0-9])" if w.isascii() else f"){w.lower()}") + f"', 1)) + {len(w)}, 'w': CASE WHEN list_contains(generic_hits, '{w}') THEN '{w}' END}}" for ws in tq.WATCH.generics.values() for w in ws)
+FULL = MSG.replace("FROM art JOIN scored USING (id)", f", CASE WHEN len(generic_hits) > 0 THEN ['🔖 ' || list_sort(list_filter([{_GENERIC}], lambda g: g.w IS NOT NULL))[1].w] ELSE [] END AS generics FROM art JOIN scored USING (id)")
+
+
+@query(f"""WITH {FULL}, b AS (SELECT *, list_concat(marks, generics, ['rules']) AS badges FROM msg), t AS (SELECT *, array_to_string(list_transform(badges, lambda b: '`' || b || '`'), ' ') AS m, array_to_string(links, ' | ') AS l FROM b),
+    c AS (SELECT *, CASE WHEN badges[1] LIKE '📊 %' THEN 'yellow' WHEN badges[1] LIKE '🔖 %' OR badges[1] LIKE '#%' THEN 'grey' WHEN badges[1] = 'rules' THEN 'green' ELSE 'blue' END AS colour FROM t)
+    SELECT id, '**' || title || '**' || chr(10) || '> ' || source || chr(10) || chr(10) || summary || chr(10) || chr(10) || m || chr(10) || chr(10) || l AS content,
+      '{{"msg_type":"interactive","card":{{"header":{{"title":{{"tag":"plain_text","content":' || CAST(to_json(substr(title, 1, 128)) AS VARCHAR) || '}},"template":"' || colour || '"}},"elements":[{{"tag":"div","text":{{"tag":"lark_md","content":'
+      || CAST(to_json('**' || summary || '**' || chr(10) || chr(10) || m || chr(10) || chr(10) || l) AS VARCHAR) || '}}}}]}}}}' AS card FROM c""")
 def markdown_messages(spark, sf_dir):
-    """The same as markdown and as cards."""
+    """The same as markdown and as cards, with all marks."""
     return messages.card(messages.markdown(_from_rules(spark, sf_dir))).select("id", "content", "card")
 
 
@@ -61,7 +70,9 @@ def alert_messages(spark, sf_dir):
     return messages.alerts(hits).select(F.col("ticker").cast("long").alias("ticker"), F.date_format("trade_date", "yyyy-MM-dd").alias("day"), "title", "summary")
 
 
-@query()
+@query(mq.ORACLES["market_scan_topk"].replace("SELECT category, ticker, CAST(rank AS INTEGER) AS rank FROM u WHERE rank <= 5", """, y AS (SELECT category, rank, CASE WHEN category = 'volume_ratio' THEN '- n' || ticker || ' (' || ticker || ') 量比 ' || printf('%.2f', round_even(ratio, 2)) ELSE rank || '. n' || ticker || ' (' || ticker || ')  ' || printf('%+.2f', round_even(pct, 2)) || '%' END AS line FROM u JOIN x USING (ticker) WHERE rank <= 5),
+    z AS (SELECT CASE category WHEN 'gainers' THEN 1 WHEN 'losers' THEN 2 ELSE 3 END AS o, CASE category WHEN 'gainers' THEN '🚀 涨幅' WHEN 'losers' THEN '📉 跌幅' ELSE '📈 量比异动' END || ' top ' || count(*) || ':' || chr(10) || string_agg(line, chr(10) ORDER BY rank) AS s FROM y GROUP BY category)
+    SELECT coalesce(string_agg(s, chr(10) || chr(10) ORDER BY o), '无异动') AS summary FROM z""").replace(", ticker) ", ", CAST(ticker AS VARCHAR)) "))
 def scan_digest(spark, sf_dir):
     """The market scan as one message."""
     scan = mq._scan(spark, sf_dir).withColumns({"name": F.concat(F.lit("n"), F.col("ticker").cast("string")), "ticker": F.col("ticker").cast("string")})
@@ -88,3 +99,17 @@ def config_violations(spark, sf_dir):
     keywords = p.where("p_size < 45").select(F.col("p_brand").alias("market"), size.alias("keyword")).distinct()
     holdings = src.table(spark, sf_dir, "supplier").select(F.col("s_name").alias("ticker"), F.col("s_acctbal").alias("qty"), F.lit(1.0).alias("cost_per_share"))
     return messages.violations(tickers, keywords, holdings)
+
+
+_EXPR = "CASE rule_id " + " ".join(f"WHEN '{r.id}' THEN '{r.expr}'" for r in mq.RULES) + " END"
+
+
+@query(f"""WITH {mq.CONTEXT}, b AS (SELECT ticker, trade_date, count(*) AS n, string_agg('✓ ' || rule_id || ': ' || {_EXPR}, chr(10) ORDER BY kind_order, rule_id) AS rules FROM hits GROUP BY ticker, trade_date HAVING count(*) > 1)
+    SELECT x.ticker, CAST(x.trade_date AS VARCHAR) AS day, CASE WHEN pct < 0 THEN '🔻' WHEN pct > 0 THEN '🚀' ELSE '⚡' END || ' n' || x.ticker || ' (' || x.ticker || ') 多规则触发(x' || n || ')' AS title,
+      rules || chr(10) || '当前价: ' || printf('%.2f', round_even(price, 2)) || '  (' || printf('%+.2f', round_even(pct, 2)) || '%)' || chr(10) || '⏱ 00:00:00' AS summary, '#' || x.ticker || ' 多规则x' || n || ' alert' AS badges FROM b JOIN x USING (ticker, trade_date)""")
+def burst_messages(spark, sf_dir):
+    """Messages of bars on which several rules hold."""
+    hits = mq._hits(spark, sf_dir)
+    expr = F.element_at(F.create_map(*[F.lit(x) for r in mq.RULES for x in (r.id, r.expr)]), F.col("rule_id"))
+    hits = hits.withColumns({"name": F.concat(F.lit("n"), F.col("ticker").cast("string")), "expr": expr, "at": F.col("trade_date").cast("timestamp_ntz")}).withColumn("ticker", F.col("ticker").cast("string"))
+    return messages.bursts(hits).select(F.col("ticker").cast("long").alias("ticker"), F.date_format("at", "yyyy-MM-dd").alias("day"), "title", "summary", F.array_join(F.transform("badges", lambda b: b["text"]), " ").alias("badges"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import market, text
-from ..operators import dedup, matching
+from ..operators import dedup, gate, matching
 from ..sources import articles as src
 
 ART = """art AS (SELECT doc_id AS id, source, CASE WHEN lang = 'en' THEN 'us' ELSE 'cn' END AS market, 'https://doc/' || doc_id AS url,
@@ -37,7 +37,7 @@ HITS = rf"""{ART}, pat AS (SELECT * FROM {_values(WATCH.patterns(), "pattern, is
         ELSE contains(lower(coalesce(title, '') || '  ' || coalesce(body, '')), pattern) END),
     verdict AS (SELECT art.id, art.market AS article_market, count(kind) > 0 AS matched,
         coalesce(list_sort(list(DISTINCT owner) FILTER (kind IN ('ticker', 'name', 'alias'))), []) AS tickers, coalesce(list_sort(list(DISTINCT owner) FILTER (kind = 'sector')), []) AS sectors,
-        coalesce(list_sort(list(DISTINCT owner) FILTER (kind = 'macro')), []) AS macros, coalesce(list_sort(list(DISTINCT pmarket) FILTER (pmarket IS NOT NULL)), []) AS markets FROM art LEFT JOIN hit USING (id) GROUP BY art.id, art.market),
+        coalesce(list_sort(list(DISTINCT owner) FILTER (kind = 'macro')), []) AS macros, coalesce(list_sort(list(DISTINCT owner) FILTER (kind = 'generic')), []) AS generic_hits, coalesce(list_sort(list(DISTINCT pmarket) FILTER (pmarket IS NOT NULL)), []) AS markets FROM art LEFT JOIN hit USING (id) GROUP BY art.id, art.market),
     rel AS (SELECT hit.id, list_sort(list(DISTINCT ticker)) AS all_related FROM hit JOIN tied ON hit.kind = tied.kind AND lower(hit.owner) = tied.word GROUP BY hit.id),
     scored AS (SELECT v.*, list_filter(coalesce(all_related, []), lambda t: NOT list_contains(tickers, t)) AS related_tickers,
         CAST(least(100, CASE WHEN len(tickers) > 0 THEN 50 ELSE 0 END + CASE WHEN len(sectors) > 0 THEN 20 ELSE 0 END + CASE WHEN len(macros) > 0 THEN 15 ELSE 0 END) AS DOUBLE) AS score_boost FROM verdict v LEFT JOIN rel USING (id))"""
@@ -116,10 +116,10 @@ def market_inference(spark, sf_dir):
     return src.table(spark, sf_dir, "part").select("p_partkey", src.exchange(code).alias("exchange"))
 
 
-@query(f"WITH {HITS} SELECT id, article_market, matched, tickers, sectors, macros, markets, related_tickers, score_boost FROM scored")
+@query(f"WITH {HITS} SELECT id, article_market, matched, tickers, sectors, macros, generic_hits, markets, related_tickers, score_boost FROM scored")
 def rules_match_verdict(spark, sf_dir):
     """Keyword rules over title and body of every article, with the verdict and the score."""
-    return matching.verdicts(_articles(spark, sf_dir), WATCH).drop("generic_hits")
+    return matching.verdicts(_articles(spark, sf_dir), WATCH).withColumn("generic_hits", F.array_sort(F.array_distinct("generic_hits")))
 
 
 @query(f"""WITH {HITS}, s AS (SELECT id, least(100.0, score_boost + CASE WHEN id % 5 = 0 THEN 30 ELSE 0 END + CASE WHEN id % 7 = 0 THEN 20 ELSE 0 END + CASE WHEN id % 11 = 0 AND id % 7 <> 0 THEN 25 ELSE 0 END) AS score FROM scored WHERE matched)
@@ -239,3 +239,31 @@ def eval_accuracy(spark, sf_dir):
     df = src.table(spark, sf_dir, "labels").join(src.table(spark, sf_dir, "documents"), "doc_id")
     said = F.when(F.size(F.split("text", "!!")) > 5, 0).otherwise(1)
     return df.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg((F.col("quality") == said).cast("double")), 9).alias("accuracy"))
+
+
+_MODES = (("rules", True, False), ("both", True, True), ("model", False, True))
+
+
+@query(f"""WITH {HITS}, m AS (SELECT unnest([{{'mode': 'rules', 'r': true, 'l': false}}, {{'mode': 'both', 'r': true, 'l': true}}, {{'mode': 'model', 'r': false, 'l': true}}]) AS m)
+    SELECT m.mode AS mode, id, CASE WHEN m.r AND NOT matched THEN 'skipped_rules' WHEN m.l AND id % 17 = 0 THEN 'dead' WHEN m.l AND id % 19 = 0 THEN 'skipped' WHEN id % 23 = 0 THEN 'skipped_grayzone' ELSE 'processed' END AS status FROM scored, m""")
+def mode_gate(spark, sf_dir):
+    """What becomes of each article with rules only, with both, and with a model only."""
+    df = matching.verdicts(_articles(spark, sf_dir), WATCH).select("id", "matched")
+    every = lambda n: F.col("id") % n == 0
+    each = [F.struct(F.lit(name).alias("mode"), gate.status(r, m, F.col("matched"), every(17), every(19), every(23)).alias("status")) for name, r, m in _MODES]
+    return df.select("id", F.inline(F.array(*each))).select("mode", "id", "status")
+
+
+@query(f"""WITH RECURSIVE {HITS}, x AS (SELECT scored.id, score_boost, list_concat(tickers, related_tickers) AS tickers, fetched_at, unnest(CASE WHEN len(markets) = 0 THEN [article_market] ELSE markets END) AS market FROM scored JOIN art USING (id) WHERE matched),
+    p AS (SELECT 2 * id + CASE WHEN market = 'us' THEN 1 ELSE 0 END AS plan, id, fetched_at AS t, score_boost >= 50 AS immediate, tickers FROM x),
+    o AS (SELECT *, row_number() OVER (ORDER BY t, plan) AS n FROM p WHERE immediate),
+    r AS (SELECT CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS plan, CAST(0 AS BIGINT) AS id, true AS sent, CAST([] AS STRUCT(k VARCHAR, t TIMESTAMP)[]) AS held
+      UNION ALL SELECT n, plan, id, sent, CASE WHEN sent THEN list_concat(live, list_transform(tickers, lambda x: {{'k': x, 't': t}})) ELSE live END
+      FROM (SELECT *, len(list_filter(tickers, lambda x: len(list_filter(live, lambda h: h.k = x)) >= 3)) = 0 AS sent FROM (SELECT o.*, list_filter(r.held, lambda h: h.t >= o.t - INTERVAL 2 HOUR) AS live FROM r JOIN o ON o.n = r.n + 1)))
+    SELECT plan, id, CASE WHEN sent THEN 'sent' ELSE 'suppressed' END AS outcome FROM r WHERE n > 0 UNION ALL SELECT min(plan), id, 'digest' FROM p WHERE NOT immediate GROUP BY id""")
+def processing_branches(spark, sf_dir):
+    """Matched articles by plan: sent, held back by the burst rule, or in the digest."""
+    df = matching.verdicts(_articles(spark, sf_dir), WATCH).where("matched").join(_articles(spark, sf_dir).select("id", "fetched_at"), "id")
+    df = df.select("id", "fetched_at", "score_boost", F.concat("tickers", "related_tickers").alias("tickers"), F.explode(F.when(F.size("markets") == 0, F.array("article_market")).otherwise(F.col("markets"))).alias("market"))
+    plans = df.select((2 * F.col("id") + F.when(F.col("market") == "us", 1).otherwise(0)).alias("plan"), "id", F.col("fetched_at").alias("at"), (F.col("score_boost") >= 50).alias("immediate"), "tickers")
+    return gate.pushed(plans, 7200.0, 3)

@@ -51,3 +51,34 @@ def short_of(held: DataFrame, tickers: DataFrame, days: int) -> DataFrame:
     """The tickers that the held bars have fewer than ``days`` of, and how many to fetch: twice the days."""
     counts = held.groupBy("ticker").agg(F.count(F.lit(1)).alias("n"))
     return tickers.join(counts, "ticker", "left").where(F.coalesce("n", F.lit(0)) < days).select("ticker", F.lit(2 * days).alias("fetch"))
+
+
+def settings(spark, files: dict[str, str | None], optional: set[str]) -> DataFrame:
+    """file, path, value: the leaves of configuration texts (JSON, or YAML where that can be read), as a table that rules and
+    checks can join. A missing file is an error unless it is optional; then it has no rows."""
+    import json
+
+    rows: list[tuple[str, str, str | None]] = []
+
+    def walk(name: str, path: str, node: object) -> None:
+        if isinstance(node, dict):
+            for k, v in node.items():
+                walk(name, f"{path}.{k}" if path else str(k), v)
+        elif isinstance(node, list):
+            for i, v in enumerate(node):
+                walk(name, f"{path}[{i}]", v)
+        else:
+            rows.append((name, path, None if node is None else json.dumps(node, ensure_ascii=False).strip('"')))
+
+    for name, text in files.items():
+        if text is None:
+            if name not in optional:
+                raise FileNotFoundError(name)
+            continue
+        try:
+            walk(name, "", json.loads(text))
+        except ValueError:
+            import yaml
+
+            walk(name, "", yaml.safe_load(text) or {})
+    return spark.createDataFrame(rows, "file string, path string, value string")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators import alerts
+from ..operators import alerts, store
 
 TICK = "ticker string, epoch long, price double, prev_close double, volume long"
 
@@ -56,37 +56,38 @@ def minute_bars(ticks: DataFrame, late: str = "10 minutes") -> DataFrame:
     return bars.agg(F.min_by("price", order).alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", order).alias("close"), F.count(F.lit(1)).alias("volume"))
 
 
-def ingest(stream: DataFrame, store: str, key: str, since: Column | None = None) -> DataStreamWriter:
-    """Appends rows whose key isn't in the store yet: insert-or-get in micro-batches.
+def ingest(stream: DataFrame, folder: str, key: str, order: list[str] | None = None, since: Column | None = None) -> DataStreamWriter:
+    """Appends rows whose key isn't in the store yet, the first of each by ``order``: insert-or-get in micro-batches.
 
-    A batch that is run again after a failure finds its own rows in the store, so its effect is once."""
+    A batch that is run again after a failure finds its own rows in the store, so its effect is once. Of the store only the
+    keys are read."""
 
     def add(batch: DataFrame, number: int) -> None:
+        if number == 0:  # so that there is a store to look into
+            batch.limit(0).write.mode("append").parquet(folder)
         rows = batch if since is None else batch.where(since)
-        rows = rows.dropDuplicates([key])
-        try:
-            held = batch.sparkSession.read.parquet(store).select(key)
-            rows = rows.join(held, key, "left_anti")
-        except Exception as e:  # the store doesn't exist before the first batch
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-        rows.write.mode("append").parquet(store)
+        held = batch.sparkSession.read.parquet(folder).select(key)
+        store.insert_new(held, rows, key, order).write.mode("append").parquet(folder)
 
     return stream.writeStream.foreachBatch(add)
 
 
-def dispatch(sinks: dict[str, Callable[[DataFrame], None]]) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function that gives each channel's rows to its sink; unknown channels are dropped, and one
-    channel's failure doesn't keep the others from theirs."""
+def dispatch(sinks: dict[str, Callable[[DataFrame], None]], dead: Callable[[DataFrame], None] | None = None) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function that gives each channel's rows to its sink; rows of unknown channels are dropped, and one
+    channel's failure doesn't keep the others from theirs. Failed rows go to ``dead`` with the batch and the error; without
+    it, or if that fails too, the batch fails and is run again, so no row is lost."""
 
     def run(batch: DataFrame, number: int) -> None:
         failed = {}
         for channel, sink in sinks.items():
+            rows = batch.where(F.col("channel") == channel)
             try:
-                sink(batch.where(F.col("channel") == channel))
+                sink(rows)
             except Exception as e:  # noqa: BLE001
-                failed[channel] = str(e)
-        if len(failed) == len(sinks) and sinks:
-            raise RuntimeError(f"no channel took batch {number}: {failed}")
+                failed[channel] = f"{type(e).__name__}: {e}"
+                if dead is not None:
+                    dead(rows.withColumns({"batch": F.lit(number), "error": F.lit(failed[channel])}))
+        if failed and dead is None:
+            raise RuntimeError(f"batch {number} failed for {failed}")
 
     return run
