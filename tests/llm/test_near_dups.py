@@ -3,8 +3,9 @@ import re
 from itertools import combinations
 
 import numpy as np
+from pyspark.sql import functions as F
 
-from tickloom.llm import minhash, shingles
+from tickloom.llm import minhash, mixing, shingles
 from tickloom.llm.components import components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -76,6 +77,15 @@ def test_edge_tables(spark):
     assert minhash.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_clashing_columns_stay(spark):
+    names = ["_id", "row", "id", "kept", "n", "a.b", "component_id"]
+    df = spark.createDataFrame([(1, "a b c d e f", *names), (2, "a b c d e f", *names), (3, "g h i j k l", *names)], ["doc_id", "text", *names])
+    assert sorted(map(tuple, minhash.keep_first(df).collect())) == [(1, "a b c d e f", *names), (3, "g h i j k l", *names)]
+    docs = df.withColumn("source", F.lit("s")).withColumns({"_times": F.lit(7), "_pass": F.lit(8), "times": F.lit(9)})
+    got = mixing.copies(docs)
+    assert got.columns == docs.columns and {tuple(r) for r in got.collect()} <= {tuple(r) for r in docs.collect()}
+
+
 def test_shingle_sets_count_as_strings_do():
     rows = [t.encode() for _, t in corpus(3) if t is not None]
     for text, found in zip(rows, shingles.shingle_sets(rows)):

@@ -1,3 +1,6 @@
+import hashlib
+import math
+import random
 import re
 from collections import Counter
 
@@ -169,6 +172,49 @@ def test_quality_edges(spark):
     assert quality.classify(df.limit(0), labels).count() == 0
 
 
+def test_quality_keeps_clashing_columns(spark):
+    names = ["host", "path", "kept", "own_odds", "_n", "_t", "_w", "_s", "_d", "_own", "x", "row", "posterior", "p", "a.b"]
+    df = spark.createDataFrame([(1, "some good text here", "en", "s", *names), (2, "!!! ###", "en", "s", *names)], ["doc_id", "text", "lang", "source", *names])
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
+    out = quality.classify(df, labels)
+    assert out.columns == [*df.columns, "_host", "_path", "_own_odds", "host_prior", "path_prior", "_posterior", "_kept"]
+    assert {tuple(r[:19]) for r in out.collect()} == {tuple(r) for r in df.collect()}
+    good = quality.keep_good(df, labels)
+    assert good.columns == df.columns and [r.doc_id for r in good.collect()] == [1]
+
+
+def test_posteriors_by_brute_force(spark):
+    """The formulas one document at a time, from the rows themselves."""
+    rnd = random.Random(5)
+    rows = [(i, rnd.choice(["h", "g", None]), rnd.choice(["p", "q", None]), rnd.gauss(0, 3)) for i in range(200)] + [(500, "lone", "p", 2.0), (501, "h", "p", 0.0), (501, "h", "p", 0.0)]
+    base = 0.3
+    p = [1 / (1 + math.exp(-(r[3] + base))) for r in rows]
+    mean = min(0.99, max(0.01, sum(p) / len(p)))
+    of = lambda k: {key: [x for r, x in zip(rows, p) if (r[1:2] if k == 1 else r[1:3]) == key] for key in {r[1:2] if k == 1 else r[1:3] for r in rows}}
+    hosts, paths = of(1), of(2)
+    avg = lambda xs: sum(xs) / len(xs)
+
+    def strength(between, groups):
+        beyond = between / len(p) - groups * mean * (1 - mean) / len(p)
+        return min(1e4, max(2.0, mean * (1 - mean) / beyond - 1)) if beyond > 1e-9 else 1e4
+
+    k_host = strength(sum(len(x) * (avg(x) - mean) ** 2 for x in hosts.values()), len(hosts))
+    k_path = strength(sum(len(x) * (avg(x) - avg(hosts[key[:1]])) ** 2 for key, x in paths.items()), len(paths))
+    clip = lambda x: min(0.98, max(0.02, x))
+    df = spark.createDataFrame(rows, "doc_id long, host string, path string, own_odds double")
+    table, corpus = quality.sites(df, base)
+    got = sorted(((r.doc_id, r.own_odds, r.host_prior, r.path_prior, r.posterior, r.kept) for r in quality.posterior(df, table, corpus, base).collect()))
+    expected = []
+    for r, own in zip(rows, p):
+        xs, ys = hosts[r[1:2]], paths[r[1:3]]
+        host = clip((k_host * mean + sum(xs) - own) / (k_host + len(xs) - 1))
+        path = clip((k_path * host + sum(ys) - own) / (k_path + len(ys) - 1))
+        post = 1 / (1 + math.exp(-(r[3] + math.log(path / (1 - path)))))
+        expected.append((r[0], r[3], host, path, post, post >= 0.5))
+    for g, e in zip(got, sorted(expected)):
+        assert g[0] == e[0] and all(math.isclose(x, y, abs_tol=1e-9) for x, y in zip(g[1:5], e[1:5])) and (g[5] == e[5] or abs(e[4] - 0.5) < 1e-9)
+
+
 def test_shrinkage(spark):
     # a path of one document keeps near its host, one of many goes its own way
     rows = [("h", "big", 6.0)] * 200 + [("h", "bad", -6.0)] * 200 + [("h", "one", 0.0)] + [("g", "p", 6.0)] * 50
@@ -241,3 +287,74 @@ def test_pipeline_stages(spark):
     once = sorted((r.doc_id, r.n_tokens, bytes(r.token_ids)) for r in docs.collect())
     again = sorted((r.doc_id, r.n_tokens, bytes(r.token_ids)) for r in corpus_pipeline.run(spark, SMALL).collect())
     assert once == again and len(once) > 50
+
+
+LOWER = str.maketrans({c: c + 32 for c in range(65, 91)})
+
+
+def shingles(text):
+    w = WORD.findall((text or "").translate(LOWER))
+    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
+
+
+def firsts(docs, percent):
+    """The ids that are the smallest of what links at the similarity connect."""
+    full, parent = {d: shingles(t) for d, t in docs}, {d: d for d, _ in docs}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in full:
+        for b in full:
+            both = len(full[a] & full[b])
+            if a < b and both and 100 * both >= percent * len(full[a] | full[b]):
+                x, y = find(a), find(b)
+                parent[max(x, y)] = min(x, y)
+    return {d for d in full if find(d) == d}
+
+
+def test_pipeline_by_brute_force(spark):
+    """Each stage's rows in plain Python from those of the stage before, and run() against the last."""
+    stages = dict(corpus_pipeline.STAGES)
+    docs = corpus_pipeline.table(spark, SMALL, "documents")
+    good = corpus_pipeline.durable(stages["quality_classifier"](spark, docs, SMALL))
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    kept = {r.doc_id: r.text for r in good.collect()}
+    labels = {r.doc_id: r.quality for r in corpus_pipeline.table(spark, SMALL, "labels").collect() if r.quality is not None}
+    assert kept.items() <= texts.items() and not [d for d, q in labels.items() if q == 1 and d not in kept] and [d for d, q in labels.items() if q == 0 and d not in kept]
+    left, _ = longest_runs([(d, t or "") for d, t in kept.items()])
+    left = {d: t for d, t in left.items() if t == (kept[d] or "") or WORD.search(t)}
+    lined = corpus_pipeline.durable(stages["line_dedup"](spark, good, SMALL))
+    assert {r.doc_id: r.text or "" for r in lined.collect()} == left
+    first = firsts(list(left.items()), 80)
+    near = corpus_pipeline.durable(stages["minhash_near_dedup"](spark, lined, SMALL))
+    assert {r.doc_id for r in near.collect()} == first
+    mixed = Counter(r.doc_id for r in corpus_pipeline.durable(stages["source_mixing"](spark, near, SMALL)).collect())
+    sizes = {d: len(WORD.findall(left[d])) for d in first}
+    source = {r.doc_id: r.source for r in docs.collect()}
+    assert set(mixed) <= first and max(mixed.values()) <= 3
+    total = Counter()
+    for d in first:
+        total[source[d]] += sizes[d]
+    want = mix_targets(dict(total))
+    for s in total:
+        took = sum(n * sizes[d] for d, n in mixed.items() if source[d] == s)
+        # whole documents only: at most one at the end of each shard is rounded
+        assert abs(took - want[s]) <= max(sizes[d] for d in first if source[d] == s) * (1 + sum(source[d] == s for d in first) // 64)
+    final = corpus_pipeline.run(spark, SMALL).collect()
+    assert Counter(r.doc_id for r in final) == mixed
+    assert all(r.decoded_sha256 == hashlib.sha256(left[r.doc_id].encode()).hexdigest() and len(r.token_ids) == 4 * r.n_tokens for r in final)
+
+
+def mix_targets(sizes, weights=(1, 2, 3), most=3):
+    names = sorted(sizes, key=lambda s: (s is None, s or ""))
+    w, total, fixed = {s: weights[i % 3] for i, s in enumerate(names)}, sum(sizes.values()), {}
+    while True:
+        free = [s for s in names if s not in fixed]
+        share = (total - sum(fixed.values())) / max(1, sum(w[s] for s in free))
+        above = [s for s in free if share * w[s] > most * sizes[s]]
+        if not above:
+            return fixed | {s: share * w[s] for s in free}
+        fixed |= {s: most * sizes[s] for s in above}

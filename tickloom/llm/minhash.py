@@ -304,7 +304,11 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
 
 
 def keep_first(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """The rows of docs that are the first of their group, with docs' own columns."""
-    gone = near_duplicates(docs, percent).where(~F.col("kept")).select(F.col("doc_id").alias("_id")).distinct()
-    kept = durable(gone)
-    return docs.join(F.broadcast(kept) if kept.count() <= FILTER_IDS else kept, F.col("doc_id") == F.col("_id"), "left_anti")
+    """The rows of docs that are the first of their group, with docs' own columns, whatever their names.
+
+    All rows that share the first's doc_id stay, as they are one document, and so do rows without a doc_id."""
+    gone = durable(near_duplicates(docs, percent).where(~F.col("kept")).select("doc_id").distinct())
+    few = gone.count() <= FILTER_IDS
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    out = docs.select(row).join(F.broadcast(gone) if few else gone, F.col("row.doc_id") == F.col("doc_id"), "left_anti")
+    return out.select("row.*")

@@ -74,7 +74,8 @@ def apportion(parties: DataFrame, key: list[str], votes: str, seats: str, most:
 def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most_passes: int = 3, seed: int = 17) -> DataFrame:
     """doc_id, size, source, source_size, target, taken for each row of (doc_id, text, source).
 
-    A null or blank text has size 0 and nothing is taken of it; repeated rows are rows of their own, ordered
+    A null or blank text has size 0 and nothing is taken of it; a text of any length is one document, of which a part may be
+    taken; repeated rows are rows of their own, ordered
     among themselves by nothing that shows; an empty table gives an empty result; other columns are not read. Each
     shard takes its quota to the word, so a source's taken words differ from its target by a block at most, and by what
     rounding at the limit costs its shards."""
@@ -114,7 +115,8 @@ def copies(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most_passes: i
     """The rows of docs as the mix takes them: each document as often as ``taken`` has its size, rounded.
 
     Only the document at the end of a shard's quota is taken in part; rounding makes it whole or leaves it out. A
-    document without words is neutral to the mix and stays once. Rows that share a doc_id are taken alike."""
-    taken = mix(docs, weights, most_passes, seed).groupBy("doc_id").agg(F.max(F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(1)).cast("int").alias("_times"))
-    rows = docs.join(taken.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id"))).where(F.col("_times") > 0)
-    return rows.withColumn("_pass", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+    document without words is neutral to the mix and stays once. Rows that share a doc_id are taken alike. Columns are
+    carried under their own names, whatever they are; an empty table gives an empty result."""
+    taken = mix(docs, weights, most_passes, seed).groupBy("doc_id").agg(F.max(F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(1)).cast("int").alias("times"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).join(taken, F.col("row.doc_id").eqNullSafe(F.col("doc_id"))).where("times > 0")
+    return rows.select("row", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row.*")

@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, durable, lookup, without, words
+from .common import BLANKS, durable, fresh, lookup, without, words
 
 #: Labelled rows that the regression is trained on at most: those with the smallest hashes of their ids.
 MOST_LABELLED = 5_000
@@ -119,25 +119,31 @@ def posterior(scored: DataFrame, table: DataFrame, corpus: dict[str, float], bas
     return df.withColumn("kept", F.col("posterior") >= THRESHOLD).drop("_own", "host_n", "host_sum", "path_n", "path_sum")
 
 
-def classify(docs: DataFrame, labels: DataFrame, host: Column | None = None, path: Column | None = None) -> DataFrame:
-    """docs with host, path, own_odds, host_prior, path_prior, posterior and kept.
+#: What classify adds.
+OUT = ("host", "path", "own_odds", "host_prior", "path_prior", "posterior", "kept")
+
+
+def classify(docs: DataFrame, labels: DataFrame, host: Column | None = None, path: Column | None = None, carry: list[str] | None = None) -> DataFrame:
+    """docs (its columns named in ``carry``, all by default) with OUT: host, path, own_odds, host_prior, path_prior,
+    posterior and kept; a name that is carried gets further underscores, and docs' own column stays.
 
     Host and path default to the source and the language. A null or blank text has no evidence and follows its
-    path; null hosts and paths are groups of their own; repeated rows count each; without labels of both kinds all own
-    odds are 0. An empty table gives an empty result. The texts are read twice and never shuffled: first
-    for the sums of all sites, then for each document's own odds beside the table of sites."""
+    path; null hosts and paths are groups of their own; repeated rows count each, and rows with the same text and site are
+    judged alike; without labels of both kinds all own odds are 0. A posterior at the threshold is kept. A text of any
+    length is read whole, and texts are read once (besides the labelled sample) and never shuffled: what is carried, and
+    the own odds beside it, is written once, which then gives the sums of all sites and each document's posterior. An empty
+    table gives an empty result."""
     model = trained(docs, labels)
-    clashing = [c for c in docs.columns if c in ("host", "path", "own_odds", "host_prior", "path_prior", "posterior", "kept", "x")]
-    df = docs.drop(*clashing).withColumns({"host": F.col("source") if host is None else host, "path": F.col("lang") if path is None else path})
-    scored = evidence(featured(df), model)
+    columns = docs.columns if carry is None else carry
+    df = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns], F.lit(0).alias("\x1f")).alias("row"), F.col("text").alias("text"), (F.col("source") if host is None else host).alias("host"), (F.col("lang") if path is None else path).alias("path"))
+    scored = durable(evidence(featured(df), model).select("row", "host", "path", "own_odds"))
     table, corpus = sites(scored.select("host", "path", "own_odds"), model[2])
-    return posterior(scored, table, corpus, model[2])
+    judged = posterior(scored, table, corpus, model[2])
+    kept = [F.col("row").getField(c).alias(c) for c in columns]
+    return judged.select(F.struct(*kept, *[F.col(c).alias(n) for c, n in zip(OUT, fresh(columns, *OUT))]).alias("x")).select("x.*")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs whose posterior passes, with docs' own columns.
-
-    Columns of docs that clash with the classifier's are put by under other names meanwhile."""
-    named = {c: f"_in_{i}" for i, c in enumerate(docs.columns)}
-    inner = docs.select(*[F.col(c).alias(n) for c, n in named.items()], "doc_id", "text", "source", "lang")
-    return classify(inner, labels).where("kept").select(*[F.col(n).alias(c) for c, n in named.items()])
+    """The rows of docs whose posterior passes, with docs' own columns."""
+    kept = fresh(docs.columns, *OUT)[-1]
+    return classify(docs, labels).where(F.col(kept)).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from . import bpe, bytewindows, lines, minhash, mixing, pii, quality, rules, topk, urls
 from .common import table
 
-#: The folder of the tokenizer files; the environment may name another.
-VOCABULARY = os.environ.get("TOKENIZER_FILE") or public_tokenizers.path("byte_bpe_50k.tiktoken")
+#: The ranks of the contract.
+VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,8 +59,7 @@ def op4_minhash_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_quality_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's own evidence, the priors of its site, and whether it is kept."""
-    scored = quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return scored.select("doc_id", "host", "path", "own_odds", "host_prior", "path_prior", "posterior", "kept")
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), carry=["doc_id"])
 
 
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
