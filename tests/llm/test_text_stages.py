@@ -5,6 +5,7 @@ import re
 from collections import Counter
 
 import duckdb
+import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -269,6 +270,64 @@ def test_surrogates_have_no_bounds(spark):
     assert re.search(r"\d{4} \d{4} \d{4} \d{4}", text[12]) and text[12].endswith(" x") and card not in text[12]
 
 
+def test_names_keep_one_identity(spark):
+    rows = [
+        (1, "Dr Anna Smith and Mrs Anna Smith. Anna said SMITH. Anna's friend Bob left; Annabel stayed. Anna Smith left."),
+        (2, "Anna Smith without a title, and Smith."), (3, "Mr SMITH and Dr Παπαδόπουλος and Mr Բաբայան met Smith."), (4, "Anna@x.org is not Anna; ip fe80::1 or 2001:db8:0:0:0:0:2:1, at 12:30:45, a::b::c"),
+    ]
+    got = {r.doc_id: r.text for r in pii.replaced(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()}
+    m = re.fullmatch(r"Dr (\w+) (\w+) and Mrs (\w+) (\w+)\. (\w+) said (\w+)\. (\w+)'s friend Bob left; Annabel stayed\. (\w+) (\w+) left\.", got[1])
+    anna, smith = m.group(1), m.group(2)
+    assert {m.group(i) for i in (1, 3, 5, 7, 8)} == {anna} != {"Anna"} and {m.group(2), m.group(4), m.group(9)} == {smith} and m.group(6) == smith.upper() and anna.endswith("a")
+    # nobody is named in the second text
+    assert got[2] == rows[1][1]
+    m = re.fullmatch(r"Mr (\w+) and Dr (\w+) and Mr (\w+) met (\w+)\.", got[3])
+    assert m.group(1) == smith.upper() and m.group(4) == smith and re.fullmatch("[Α-ω]+", m.group(2)) and m.group(2) != "Παπαδόπουλος" and re.fullmatch("[Ա-ֆ]+", m.group(3))
+    assert "is not Anna" in got[4] and "fe80::1" not in got[4] and "2001:db8" not in got[4] and "12:30:45" in got[4]
+
+
+def test_surrogates_over_a_labelled_set(spark):
+    """Recall and distinctness against the entities that the texts were made of."""
+    rnd = random.Random(3)
+    given, family = ["Anna", "Boris", "Clara", "Diego", "Edith"], ["Keller", "Lopez", "Marsh", "Novak", "Ortiz"]
+    titles = {"Anna": "Mrs", "Boris": "Mr", "Clara": "Ms", "Diego": "Señor", "Edith": "Dr"}
+
+    def card():
+        d = [4] + [rnd.randrange(10) for _ in range(14)]
+        total = sum(x if (15 - i) % 2 == 0 else sum(divmod(2 * x, 10)) for i, x in enumerate(d))
+        return "".join(map(str, d)) + str(-total % 10)
+
+    make = {
+        "name": lambda: (lambda g: f"{titles[g]} {g} {rnd.choice(family)}")(rnd.choice(given)),
+        "mail": lambda: f"{rnd.choice('abcdef')}{rnd.randrange(300)}@{rnd.choice(['mail', 'post', 'inbox'])}{rnd.randrange(9)}.example.com",
+        "ip": lambda: ".".join(str(rnd.randrange(1, 200)) for _ in range(4)), "card": card, "ssn": lambda: f"{rnd.randrange(100, 899)}-{rnd.randrange(10, 99)}-{rnd.randrange(1000, 9999)}",
+        "phone": lambda: f"+1 ({rnd.randrange(200, 999)}) {rnd.randrange(200, 999)}-{rnd.randrange(1000, 9999)}", "key": lambda: "ghp_" + "".join(rnd.choice("abcXYZ019") for _ in range(24)),
+    }
+    rows, inside = [], {}
+    for i in range(150):
+        parts = [make[k]() for k in rnd.sample(sorted(make), 3)]
+        inside[i] = parts
+        rows.append((i, f"First {parts[0]}, then {parts[1]}; last: {parts[2]} end."))
+    got = {r.doc_id: r for r in pii.replaced(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()}
+    whole, recalled, to, back = 0, 0, {}, {}
+    for i, parts in inside.items():
+        m = re.fullmatch(r"First (.*), then (.*); last: (.*) end\.", got[i].text)
+        assert m and got[i]["_entities"] == 3
+        for old, new in zip(parts, m.groups()):
+            whole, recalled = whole + 1, recalled + (old != new)
+            assert to.setdefault(old, new) == new and back.setdefault(new, old) == old
+    # every entity is found, equal ones stay equal, and different ones differ
+    assert recalled == whole == 450 and not set(to) & set(back)
+
+
+def test_surrogates_keep_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "Mr Smith", "a", "b", "c", 5, "d")], "doc_id long, text string, _put string, put string, _id string, _entities int, row string")
+    out = pii.replaced(df, "k")
+    assert out.columns == [*df.columns, "__entities"] and [tuple(r)[2:] for r in out.collect()] == [("a", "b", "c", 5, "d", 1)]
+    with pytest.raises(ValueError):
+        pii.replaced(df, "")
+
+
 def test_surrogates_stay_distinct(spark):
     # more names than two syllables and an ending can tell apart
     df = spark.createDataFrame([(i, f"Mr {chr(65 + i % 26)}{'abcdefghij'[i // 26 % 10]}{'klmnopqrst'[i // 260 % 10]}x") for i in range(1500)], "doc_id long, text string")

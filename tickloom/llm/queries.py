@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import secrets
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
@@ -21,8 +22,9 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document with its entities replaced. The key would come from a secret store; this one is for tests."""
-    rewritten = pii.replaced(table(spark, sf_dir, "documents"), key=os.environ.get("SURROGATE_KEY", "test key"))
+    """Every document with its entities replaced. The key is SURROGATE_KEY, which a secret store would set; without it, a new
+    one that nobody knows, so that surrogates differ from run to run."""
+    rewritten = pii.replaced(table(spark, sf_dir, "documents"), key=os.environ.get("SURROGATE_KEY") or secrets.token_hex(32))
     return rewritten.select("doc_id", F.col("_entities").alias("n_entities"), "text")
 
 
