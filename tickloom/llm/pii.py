@@ -188,10 +188,12 @@ def mentions(docs: DataFrame) -> DataFrame:
     that names somebody again)."""
     text = F.coalesce("text", F.lit(""))
     titled = f"^(?:{PATTERNS['person']})$"
-    df = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("tag"), F.regexp_extract_all(text, F.lit(ANY), F.lit(0)).alias("found")).where(F.size("found") > 0)
-    known = F.flatten(F.transform(F.filter("found", lambda m: m.rlike(titled)), lambda m: F.transform(name_parts(m), lambda p: F.lower(bare_name(p)))))
-    df = df.withColumn("known", F.array_distinct(known)).withColumn("wide", F.size("known") > 0)
-    df = df.withColumn("found", F.when(F.col("wide"), F.regexp_extract_all("text", F.lit(ANY_OR_WORD), F.lit(0))).otherwise(F.col("found"))).drop("text").distinct()
+    known = lambda found: F.array_distinct(F.flatten(F.transform(F.filter(found, lambda m: m.rlike(titled)), lambda m: F.transform(name_parts(m), lambda p: F.lower(bare_name(p))))))
+    # an array of one element binds what is used more than once, so that no text is searched again
+    first = F.transform(F.array(F.regexp_extract_all(text, F.lit(ANY), F.lit(0))), lambda f: F.struct(f.alias("found"), known(f).alias("known")))
+    second = F.transform(first, lambda x: F.struct(x["known"].alias("known"), F.when(F.size(x["known"]) > 0, F.regexp_extract_all(text, F.lit(ANY_OR_WORD), F.lit(0))).otherwise(x["found"]).alias("found")))
+    df = durable(docs.select("doc_id", F.xxhash64(text).alias("tag"), second[0].alias("x")).select("doc_id", "tag", "x.*"))
+    df = df.where(F.size("found") > 0).withColumn("wide", F.size("known") > 0).distinct()
     df = df.select("doc_id", "tag", "wide", "known", F.posexplode("found").alias("pos", "match")).withColumn("type", kind_of(F.col("match")))
     df = df.where((F.col("type") != "word") | F.array_contains("known", F.lower(bare_name(F.col("match")))))
     number = F.regexp_replace("match", "[^0-9]", "")
@@ -268,7 +270,8 @@ def replaced(docs: DataFrame, key: str) -> DataFrame:
     df = packed.join(put, F.col("row.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("hash") == F.col("tag")), "left").select("row", "wide", "put", "n")
     text = F.col("row.text")
     around = F.when(F.col("put").isNotNull(), F.when(F.col("wide"), F.split(text, ANY_OR_WORD, -1)).otherwise(F.split(text, ANY, -1)))
-    match = F.when(F.col("put").isNotNull(), F.when(F.col("wide"), F.regexp_extract_all(text, F.lit(ANY_OR_WORD), F.lit(0))).otherwise(F.regexp_extract_all(text, F.lit(ANY), F.lit(0))))
+    # matches that stay as they are come with single words only
+    match = F.when(F.col("wide"), F.regexp_extract_all(text, F.lit(ANY_OR_WORD), F.lit(0)))
     df = df.select("row", "put", "n", around.alias("around"), match.alias("match"))
     pieces = lambda i: F.filter("put", lambda p: p["pos"] == i)
     new = lambda i: F.when(F.size(pieces(i)) > 0, F.array_join(F.transform(pieces(i), lambda p: p["text"]), "")).otherwise(F.coalesce(F.get("match", i), F.lit("")))
