@@ -122,7 +122,9 @@ def deduplicated(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     text = F.when(F.col("gone").isNull(), F.col("row.text")).otherwise(F.array_join(F.flatten(gaps), "\n"))
     counts = [F.coalesce(F.size("lines"), F.lit(0)), F.coalesce(removed, F.lit(0)), F.when(F.col("gone").isNull(), 0).otherwise(stretches), F.coalesce("longest", F.lit(0))]
     names = fresh(docs.columns, "_lines", "_removed", "_runs", "_longest")
-    df = df.select("row", F.struct(text.alias("text"), *[F.when(F.col("row.text").isNull(), 0).otherwise(c).alias(n) for c, n in zip(counts, names)]).alias("new"))
+    new = F.struct(text.alias("text"), *[F.when(F.col("row.text").isNull(), 0).otherwise(c).alias(n) for c, n in zip(counts, names)])
+    # a generator is computed once: a filter on its output isn't pushed below it, where it would repeat all of the above
+    df = df.select("row", F.explode(F.array(new)).alias("new"))
     kept = [F.col("new.text").alias(c) if c.lower() == "text" else F.col("row").getField(c).alias(c) for c in docs.columns]
     return df.select(*kept, *[F.col(f"new.{n}") for n in names])
 
