@@ -9,11 +9,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, bytewindows, lines, minhash, mixing, pii, quality, rules, topk, urls
+from . import bpe, bytewindows, lines, minhash, mixing, pii, quality, rules, tokencounts, topk, urls
 from .common import table
 
 #: The ranks of the contract.
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
+WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
+TOKEN_LIMIT = 2048
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -133,6 +135,12 @@ def _op10_sql() -> str:
     """
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's tokens, and whether they are more than a context of 2,048 holds."""
+    counted = tokencounts.count_tokens(table(spark, sf_dir, "documents"), WORD_VOCABULARY)
+    return counted.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
+
+
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op2_pii_surrogates": op2_pii_surrogates,
@@ -144,5 +152,6 @@ QUERIES = {
     "op8_exact_top_k": op8_exact_top_k,
     "op9_byte_windows": op9_byte_windows,
     "op10_quality_rules": op10_quality_rules,
+    "op11_token_counts": op11_token_counts,
 }
 ORACLES = {"op3_line_dedup": _op3_sql(), "op8_exact_top_k": _op8_sql(), "op10_quality_rules": _op10_sql()}
