@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import os
 import secrets
+import string
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, bytewindows, lines, minhash, mixing, pii, quality, rules, tokencounts, topk, urls
+from . import bpe, bytewindows, lines, merkle, minhash, mixing, pii, quality, rules, tokencounts, topk, urls
 from .common import table
 
 #: The ranks of the contract.
@@ -141,6 +142,49 @@ def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's place in a manifest by language, its proof, and whether a copy, tampered with in a third of the rows, still fits."""
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    return merkle.manifest(table(spark, sf_dir, "documents"), changed={"text": F.translate("text", string.ascii_uppercase, string.ascii_lowercase)}, where=tampered)
+
+
+def _op12_sql(deep: int = 9, top: int = 4) -> str:
+    """The same level by level, for up to 8^deep documents of a language and 8^top languages."""
+
+    def tree(n: str, levels: int) -> str:
+        """Tables n1, n2, ... above n0 (t, p, d, n), with each node's siblings to the left and right."""
+        out = []
+        for k in range(levels):
+            run = "string_agg(d, '') OVER (PARTITION BY t, p // 8 ORDER BY p ROWS BETWEEN {} AND {})"
+            out.append(f"{n}s{k} AS (SELECT *, coalesce({run.format('UNBOUNDED PRECEDING', '1 PRECEDING')}, '') AS l, coalesce({run.format('1 FOLLOWING', 'UNBOUNDED FOLLOWING')}, '') AS r FROM {n}{k})")
+            out.append(f"{n}{k + 1} AS (SELECT t, p // 8 AS p, CASE WHEN n > 1 THEN sha256(string_agg(d, '' ORDER BY p)) ELSE any_value(d) END AS d, (n + 7) // 8 AS n FROM {n}{k} GROUP BY t, p // 8, n)")
+        return ", ".join(out)
+
+    def fold(begin: str, name: str, n: str, levels: int) -> str:
+        """name: the rows of begin (t, p, f, proof, ...) with f folded to the top of the tree, and proof longer by its siblings."""
+        out = [f"{name}0 AS (SELECT * FROM {begin})"]
+        for k in range(levels):
+            step = "CASE WHEN s.n > 1 THEN sha256(s.l || x.f || s.r) ELSE x.f END AS f, x.proof || s.l || s.r AS proof"
+            out.append(f"{name}{k + 1} AS (SELECT x.* REPLACE ({step}) FROM {name}{k} x JOIN {n}s{k} s ON x.t = s.t AND x.p // {8**k} = s.p)")
+        return ", ".join(out)
+
+    part = lambda c: f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || {c}, '-')"
+    leaf = lambda text: "sha256(" + " || ".join(map(part, ("doc_id", "source", "lang", "n_chars", text))) + ")"
+    crc = """xor(4294967295, list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))),
+        lambda a, b: list_reduce(list_concat([xor(a, b)], range(8)), lambda c, i: xor(c >> 1, CASE WHEN c % 2 = 1 THEN 3988292384 ELSE 0 END))))"""
+    lower = f"translate(text, '{string.ascii_uppercase}', '{string.ascii_lowercase}')"
+    return f"""
+    WITH d AS (SELECT doc_id, coalesce('=' || lang, '') AS t, {leaf("text")} AS leaf, CASE WHEN {crc} % 3 = 0 THEN {leaf(lower)} ELSE {leaf("text")} END AS claimed FROM documents),
+    o AS (SELECT *, row_number() OVER (PARTITION BY t ORDER BY doc_id NULLS FIRST, leaf) - 1 AS p, count(*) OVER (PARTITION BY t) AS n FROM d),
+    a0 AS (SELECT t, p, leaf AS d, n FROM o), {tree("a", deep)},
+    u AS (SELECT t AS name, d, row_number() OVER (ORDER BY encode(t)) - 1 AS p, count(*) OVER () AS n FROM a{deep}),
+    b0 AS (SELECT '' AS t, p, d, n FROM u), {tree("b", top)},
+    {fold("(SELECT doc_id, t, p, leaf, claimed AS f, '' AS proof FROM o)", "x", "a", deep)},
+    {fold(f"(SELECT x.* REPLACE ('' AS t, u.p AS p), u.d AS subroot FROM x{deep} x JOIN u ON x.t = u.name)", "y", "b", top)}
+    SELECT doc_id, leaf, subroot, d AS root, sha256(proof) AS proof_sha256, f AS folded_root, f = d AS verified FROM y{top}, b{top}
+    """
+
+
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op2_pii_surrogates": op2_pii_surrogates,
@@ -153,5 +197,6 @@ QUERIES = {
     "op9_byte_windows": op9_byte_windows,
     "op10_quality_rules": op10_quality_rules,
     "op11_token_counts": op11_token_counts,
+    "op12_merkle_manifest": op12_merkle_manifest,
 }
-ORACLES = {"op3_line_dedup": _op3_sql(), "op8_exact_top_k": _op8_sql(), "op10_quality_rules": _op10_sql()}
+ORACLES = {"op3_line_dedup": _op3_sql(), "op8_exact_top_k": _op8_sql(), "op10_quality_rules": _op10_sql(), "op12_merkle_manifest": _op12_sql()}
