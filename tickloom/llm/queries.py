@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, bytewindows, lines, merkle, minhash, mixing, pii, quality, rules, tokencounts, topk, urls
+from . import bpe, bytewindows, lines, merkle, middle, minhash, mixing, pii, quality, rules, tokencounts, topk, urls
 from .common import table
 
 #: The ranks of the contract.
@@ -185,6 +185,28 @@ def _op12_sql(deep: int = 9, top: int = 4) -> str:
     """
 
 
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document arranged for filling in its middle lines: form, cuts, and digests of the output and of the text made from it again."""
+    return middle.transformed(table(spark, sf_dir, "documents"), seed=7, rate=100, spm=50, texts=False)
+
+
+def _op13_sql() -> str:
+    """The same with lists of lines."""
+    draw = lambda k: f"CAST('0x' || substr(h, {8 * k + 1}, 8) AS BIGINT)"
+    join = lambda span: f"array_to_string(u[{span}], '')"
+    return rf"""
+    WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^
+]*
+|[^
+]+') AS u, sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+    c AS (SELECT *, CAST(len(u) AS BIGINT) AS n, {draw(0)} % (len(u) + 1) AS x, {draw(1)} % (len(u) + 1) AS y,
+        CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR {draw(2)} % 100 >= 100 THEN 'plain' WHEN {draw(3)} % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM d),
+    p AS (SELECT *, {join("1:least(x, y)")} AS a, {join("least(x, y) + 1:greatest(x, y)")} AS b, {join("greatest(x, y) + 1:n")} AS e FROM c)
+    SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(a) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(b) END AS middle_chars,
+        sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || a || '<S>' || e || '<M>' || b ELSE '<S>' || e || '<P>' || a || '<M>' || b END) AS output_sha256, sha256(t) AS restored_sha256 FROM p
+    """
+
+
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op2_pii_surrogates": op2_pii_surrogates,
@@ -198,5 +220,6 @@ QUERIES = {
     "op10_quality_rules": op10_quality_rules,
     "op11_token_counts": op11_token_counts,
     "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_fill_in_middle": op13_fill_in_middle,
 }
-ORACLES = {"op3_line_dedup": _op3_sql(), "op8_exact_top_k": _op8_sql(), "op10_quality_rules": _op10_sql(), "op12_merkle_manifest": _op12_sql()}
+ORACLES = {"op3_line_dedup": _op3_sql(), "op8_exact_top_k": _op8_sql(), "op10_quality_rules": _op10_sql(), "op12_merkle_manifest": _op12_sql(), "op13_fill_in_middle": _op13_sql()}
