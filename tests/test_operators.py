@@ -216,15 +216,9 @@ def test_near_pairs_against_brute_force(spark):
     assert {r.later: r.earlier for r in dedup.near_pairs(df).collect()} == expected
 
 
-def test_folds_take_the_whole_history(spark):
-    values = [1000.0] + [10.0 + (i * 37 % 11) for i in range(699)]
-    df = spark.createDataFrame([("t", i, v) for i, v in enumerate(values)], "ticker string, trade_date int, close double")
-    got = indicators.series(df).select(indicators.ema(F.col("values"), 400).alias("e"), F.size("values").alias("n")).first()
-    e, alpha = values[0], 2 / 401
-    for v in values[1:]:
-        e = alpha * v + (1 - alpha) * e
-    assert got.n == 700 and abs(got.e - e) < 1e-9
-    assert indicators.series(df, last=500).select(F.size("values").alias("n")).first().n == 500
+def test_preview_is_the_end_of_a_series(spark):
+    df = spark.createDataFrame([("t", i, float(i)) for i in range(700)], "ticker string, trade_date int, close double")
+    assert indicators.preview(df, 500).select(F.size("values").alias("n"), F.col("values")[0].alias("first")).first() == (500, 200.0)
 
 
 def test_macd_context_and_crossings(spark):

@@ -1,4 +1,4 @@
-"""Indicators over ordered series: windows where a frame will do, folds over sorted arrays where state is carried."""
+"""Indicators over ordered series: windows where a frame will do; folds over short arrays for previews (whole series: recurrence.py)."""
 
 from __future__ import annotations
 
@@ -42,12 +42,10 @@ def prev_close(w) -> Column:
     return F.coalesce(F.lag("close").over(w), F.col("close"))
 
 
-def series(bars: DataFrame, key: str = "ticker", order: str = "trade_date", value: str = "close", last: int | None = None) -> DataFrame:
-    """One row for each key with its values, oldest first; only the ``last`` ones, if given, as a preview shows."""
-    rows = bars.select(key, order, value)
-    if last is not None:
-        newest = Window.partitionBy(key).orderBy(F.col(order).desc())
-        rows = rows.withColumn("_n", F.row_number().over(newest)).where(F.col("_n") <= last)
+def preview(bars: DataFrame, last: int, key: str = "ticker", order: str = "trade_date", value: str = "close") -> DataFrame:
+    """One row for each key with its last values, oldest first. Whole histories are for recurrence.over."""
+    newest = Window.partitionBy(key).orderBy(F.col(order).desc())
+    rows = bars.select(key, order, value).withColumn("_n", F.row_number().over(newest)).where(F.col("_n") <= last)
     return rows.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct(order, value))), lambda x: x[value]).alias("values"))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import market
-from ..operators import alerts, indicators, state
+from ..operators import alerts, indicators, recurrence, state
 from ..sources import articles as src
 
 QUERIES, ORACLES = {}, {}
@@ -35,6 +35,11 @@ def _bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return src.daily_bars(_events(spark, sf_dir))
 
 
+def _last(spark: SparkSession, sf_dir: str, what: recurrence.Recurrence) -> DataFrame:
+    """A recurrence over all bars, at each ticker's last."""
+    return recurrence.latest(recurrence.over(_bars(spark, sf_dir), ["ticker"], ["trade_date"], "close", [what]), ["ticker"], ["trade_date"])
+
+
 def _day(c: str):
     return F.date_format(c, "yyyy-MM-dd").alias("day")
 
@@ -99,13 +104,12 @@ def highest_lowest(spark, sf_dir):
     r AS (SELECT ticker, list_reduce([list_sum(up[1:14]) / 14] || up[15:], lambda a, x: (a * 13 + x) / 14) AS ag, list_reduce([list_sum(dn[1:14]) / 14] || dn[15:], lambda a, x: (a * 13 + x) / 14) AS al FROM g)
     SELECT ticker, round(CASE WHEN al = 0 THEN 100 ELSE 100 - 100 / (1 + ag / al) END, 6) AS rsi14 FROM r""")
 def rsi_wilder(spark, sf_dir):
-    s = indicators.series(_bars(spark, sf_dir))
-    return s.select("ticker", F.round(indicators.rsi(F.col("values"), 14), 6).alias("rsi14")).where("rsi14 is not null")
+    return _last(spark, sf_dir, recurrence.rsi(14, "rsi14")).select("ticker", F.round("rsi14", 6).alias("rsi14")).where("rsi14 is not null")
 
 
 @query(f"WITH {BARS}, {SERIES} SELECT ticker, round(list_reduce(v, lambda a, x: (2.0::DOUBLE / 11) * x + (1 - 2.0::DOUBLE / 11) * a), 6) AS ema10 FROM s")
 def ema(spark, sf_dir):
-    return indicators.series(_bars(spark, sf_dir)).select("ticker", F.round(indicators.ema(F.col("values"), 10), 6).alias("ema10"))
+    return _last(spark, sf_dir, recurrence.ema(10, "ema10")).select("ticker", F.round("ema10", 6).alias("ema10"))
 
 
 _A = {n: f"(2.0::DOUBLE / {n + 1})" for n in (5, 10, 4)}
@@ -116,8 +120,39 @@ _A = {n: f"(2.0::DOUBLE / {n + 1})" for n in (5, 10, 4)}
       FROM s WHERE len(v) >= 14) SELECT ticker, round(m.f - m.s, 6) AS dif, round(m.d, 6) AS dea, round(2 * (m.f - m.s - m.d), 6) AS hist FROM f""")
 def macd(spark, sf_dir):
     """Moving average convergence with spans of 5, 10 and 4, as the series are short."""
-    s = indicators.series(_bars(spark, sf_dir)).select("ticker", indicators.macd(F.col("values"), 5, 10, 4).alias("m")).where("m is not null")
-    return s.select("ticker", *[F.round(f"m.{c}", 6).alias(c) for c in ("dif", "dea", "hist")])
+    s = _last(spark, sf_dir, recurrence.macd(5, 10, 4)).where("dif is not null")
+    return s.select("ticker", *[F.round(c, 6).alias(c) for c in ("dif", "dea", "hist")])
+
+
+_NUMBERED = f"""{BARS}, n AS (SELECT ticker, trade_date, close, row_number() OVER w AS i, close - lag(close) OVER w AS change FROM bars {W})"""
+_UP, _DOWN = (f"greatest({sign}n.change, 0.0::DOUBLE)" for sign in ("", "-"))
+
+
+@query(f"""WITH RECURSIVE {_NUMBERED}, r AS (SELECT ticker, trade_date, i, 0.0::DOUBLE AS g, 0.0::DOUBLE AS l FROM n WHERE i = 1
+      UNION ALL SELECT n.ticker, n.trade_date, n.i, CASE WHEN n.i <= 15 THEN g + {_UP} / 14 ELSE (g * 13 + {_UP}) / 14 END, CASE WHEN n.i <= 15 THEN l + {_DOWN} / 14 ELSE (l * 13 + {_DOWN}) / 14 END FROM r JOIN n ON n.ticker = r.ticker AND n.i = r.i + 1)
+    SELECT ticker, CAST(trade_date AS VARCHAR) AS day, i AS bars, CASE WHEN i >= 15 THEN round(CASE WHEN l = 0 THEN 100 ELSE 100 - 100 / (1 + g / l) END, 6) END AS rsi14 FROM r""")
+def rsi_series(spark, sf_dir):
+    """Wilder's relative strength at every bar."""
+    s = recurrence.over(_bars(spark, sf_dir), ["ticker"], ["trade_date"], "close", [recurrence.rsi(14, "rsi14")])
+    return s.select("ticker", _day("trade_date"), "bars", F.round("rsi14", 6).alias("rsi14"))
+
+
+@query(f"""WITH RECURSIVE {_NUMBERED}, r AS (SELECT ticker, trade_date, i, close AS a, close AS b FROM n WHERE i = 1
+      UNION ALL SELECT n.ticker, n.trade_date, n.i, (2.0::DOUBLE / 11) * n.close + (1 - 2.0::DOUBLE / 11) * a, (2.0::DOUBLE / 4) * n.close + (1 - 2.0::DOUBLE / 4) * b FROM r JOIN n ON n.ticker = r.ticker AND n.i = r.i + 1)
+    SELECT ticker, CAST(trade_date AS VARCHAR) AS day, round(a, 6) AS ema10, round(b, 6) AS ema3 FROM r""")
+def ema_series(spark, sf_dir):
+    """Two exponential means at every bar, in one pass."""
+    s = recurrence.over(_bars(spark, sf_dir), ["ticker"], ["trade_date"], "close", [recurrence.ema(10, "ema10"), recurrence.ema(3, "ema3")])
+    return s.select("ticker", _day("trade_date"), F.round("ema10", 6).alias("ema10"), F.round("ema3", 6).alias("ema3"))
+
+
+@query(f"""WITH RECURSIVE {_NUMBERED}, r AS (SELECT ticker, trade_date, i, close AS f, close AS s, 0.0::DOUBLE AS d FROM n WHERE i = 1
+      UNION ALL SELECT ticker, trade_date, i, f, s, {_A[4]} * (f - s) + (1 - {_A[4]}) * d FROM (SELECT n.ticker, n.trade_date, n.i, {_A[5]} * n.close + (1 - {_A[5]}) * f AS f, {_A[10]} * n.close + (1 - {_A[10]}) * s AS s, d FROM r JOIN n ON n.ticker = r.ticker AND n.i = r.i + 1))
+    SELECT ticker, CAST(trade_date AS VARCHAR) AS day, round(f - s, 6) AS dif, round(d, 6) AS dea, round(2 * (f - s - d), 6) AS hist FROM r WHERE i >= 14""")
+def macd_series(spark, sf_dir):
+    """Moving average convergence at every bar with values enough."""
+    s = recurrence.over(_bars(spark, sf_dir), ["ticker"], ["trade_date"], "close", [recurrence.macd(5, 10, 4)])
+    return s.where("dif is not null").select("ticker", _day("trade_date"), *[F.round(c, 6).alias(c) for c in ("dif", "dea", "hist")])
 
 
 RULES = [
@@ -312,8 +347,8 @@ def limit_events(spark, sf_dir):
     SELECT ticker, CASE WHEN dif > dea THEN 'golden' ELSE 'idle' END AS rule_id, round(dif, 6) AS macd_dif FROM c WHERE dif > dea OR (dif = 0 AND dea = 0)""")
 def macd_rules(spark, sf_dir):
     """Rules over the MACD context, which is 0 for short series, with the two-argument crossing."""
-    s = indicators.series(_bars(spark, sf_dir))
-    s = s.where(F.size("values") >= 1).withColumns({k: F.when(F.size("values") >= 24, v).otherwise(0.0) for k, v in indicators.macd_context(F.col("values"), 5, 10, 4).items()})
+    s = _last(spark, sf_dir, recurrence.macd(5, 10, 4, "macd_"))
+    s = s.withColumns({c: F.when(F.col("bars") >= 24, F.coalesce(c, F.lit(0.0))).otherwise(0.0) for c in ("macd_dif", "macd_dea", "macd_hist")})
     rules = [alerts.Rule("golden", "indicator", "cross_above(macd_dif, macd_dea)"), alerts.Rule("idle", "indicator", "macd_dif == 0 and macd_dea == 0 and macd_hist == 0")]
     return alerts.evaluate(s, rules, functions={"cross_above": indicators.crossed}).select("ticker", "rule_id", F.round("macd_dif", 6).alias("macd_dif"))
 
