@@ -283,7 +283,7 @@ def test_names_keep_one_identity(spark):
     assert got[2] == rows[1][1]
     m = re.fullmatch(r"Mr (\w+) and Dr (\w+) and Mr (\w+) met (\w+)\.", got[3])
     assert m.group(1) == smith.upper() and m.group(4) == smith and re.fullmatch("[Α-ω]+", m.group(2)) and m.group(2) != "Παπαδόπουλος" and re.fullmatch("[Ա-ֆ]+", m.group(3))
-    assert "is not Anna" in got[4] and "fe80::1" not in got[4] and "2001:db8" not in got[4] and "12:30:45" in got[4]
+    assert "is not Anna" in got[4] and "fe80::1" not in got[4] and "2001:db8:0:0:0:0:2:1" not in got[4] and "12:30:45" in got[4]
 
 
 def test_surrogates_over_a_labelled_set(spark):
@@ -417,3 +417,35 @@ def mix_targets(sizes, weights=(1, 2, 3), most=3):
         if not above:
             return fixed | {s: share * w[s] for s in free}
         fixed |= {s: most * sizes[s] for s in above}
+
+
+def rewritten(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return [r.text for r in sorted(pii.replaced(df, "k").select("doc_id", "text").collect())]
+
+
+def test_all_short_addresses_and_numbers_of_a_form_are_replaced_and_it_ends(spark):
+    texts = [f"local fe80::{x:x} and fd00::{x:x}" for x in range(16)] + [f"call +1 {x:02d} {y:02d}" for x in range(10, 99, 3) for y in range(10, 99)]
+    out = rewritten(spark, texts)
+    assert all("fe80::" not in t and "fd00::" not in t for t in out[:16])
+    assert len({w for t in out[:16] for w in t.split() if w.startswith("2001:db8:")}) == 32
+    assert all(w.count(":") == 7 for t in out[:16] for w in t.split() if w.startswith("2001:db8:"))
+    assert len(set(out[16:])) == len(texts) - 16 and not set(out[16:]) & set(texts)
+
+
+def test_numbers_grow_when_their_form_is_used_up(spark):
+    # every number of five digits that begins with a one or two, and by it most that could be drawn
+    rows = spark.range(10_000, 30_000).select(F.lit("phone").alias("kind"), F.col("id").cast("string").alias("name"), F.lit(None).cast("string").alias("gender"))
+    values = pii.assigned(rows, "k").collect()
+    assert len({r.value for r in values}) == 20_000 and not {r.value for r in values} & {str(x) for x in range(10_000, 30_000)}
+
+
+def test_code_times_and_common_words_stay(spark):
+    same = ["a::b and x = 1::2 at 10::30", "std::string s; ::a ::f", "local ::a", "The Don Quixote novel"]
+    assert rewritten(spark, same) == same
+    real = "from 2001:db8::1 to 2a00:1450:4001::8b and 1:2:3:4:5:6:7:8"
+    assert not set(rewritten(spark, [real])[0].split()) & {"2001:db8::1", "2a00:1450:4001::8b", "1:2:3:4:5:6:7:8"}
+    text = "Dr Anna Smith met Mr Will Young. Will you come? She will. So Will came; Smith left. Young people left the young."
+    out = rewritten(spark, [text])[0]
+    assert "Will you come?" in out and "Young people left the young." in out and "She will. So " in out
+    assert "So Will" not in out and "Smith" not in out and "Anna" not in out and "Mr Will" not in out

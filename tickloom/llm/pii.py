@@ -25,6 +25,7 @@ TITLES = {
     "n": ("Dr", "Prof", "Professor", "Doktor", "Docteur"),
 }
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
+_HEX = "[0-9A-Fa-f]{1,4}"
 _WORDS = r"(?:password|passwd|pwd|secret|token|api_key|apikey)"
 #: What leads to a secret; it is part of the match and stays.
 _LEAD = rf"{_WORDS}\s{{0,3}}[=:]\s{{0,3}}[\"']?"
@@ -34,13 +35,15 @@ PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
     "secret": rf"(?=[pstaPSTA])(?<!\w)(?i:{_LEAD})[A-Za-z0-9_+/-]{{8,}}+",
     "key": r"(?=[Ags])(?<!\w)(?:(?:AKIA|ASIA)[A-Z0-9]{16}\b|gh[pousr]_[A-Za-z0-9]{20,}+\b|sk-[A-Za-z0-9]{20,}+\b)",
-    "ipv6": r"(?=[0-9A-Fa-f:]{2})(?<![\w:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6}|::(?:[0-9A-Fa-f]{1,4}:){0,6}[0-9A-Fa-f]{1,4})(?![\w:])",
+    # eight groups, three or more with a gap, or two after a prefix of public, local or link-local addresses
+    "ipv6": rf"(?=[0-9A-Fa-f:]{{2}})(?<![\w:.])(?:(?:{_HEX}:){{7}}{_HEX}|(?:{_HEX}:){{2,6}}(?::{_HEX}){{1,6}}|{_HEX}:(?::{_HEX}){{2,6}}|::(?:{_HEX}:){{2,6}}{_HEX}|(?:[23][0-9A-Fa-f]{{3}}|[Ff][CcDd][0-9A-Fa-f]{{2}}|[Ff][Ee]80)::{_HEX})(?![\w:])",
     "ip": rf"(?=\d)(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?![\d]|\.\d)",
     "ssn": r"(?=\d)(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     # a whole run of groups of digits, less those before a decimal point; card_runs finds the cards in it
     "card": r"(?=\d)(?<![\d.+-])(?=\d(?!\d*+\.\d)(?:[ -]?+\d(?!\d*+\.\d)){12})\d++(?:[ -]\d++(?!\.\d))*+",
     "phone": r"(?=[+\d(])(?:(?<![\w+])\+?\d{1,3}[ .-]?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\d)|(?<![\w+])\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|(?<![\w+])\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\d)|(?<![\w.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\w-]))",
-    "person": rf"(?=[{''.join(sorted({t[0] for ts in TITLES.values() for t in ts}))}])(?<!\p{{L}})(?:" + "|".join(t for ts in TITLES.values() for t in sorted(ts, key=len, reverse=True)) + rf")\.?[ ]{_NAME}(?:[ ]{_NAME})*+",
+    # not after an article, where it is a book's or a place's name
+    "person": rf"(?<![Tt]he )(?=[{''.join(sorted({t[0] for ts in TITLES.values() for t in ts}))}])(?<!\p{{L}})(?:" + "|".join(t for ts in TITLES.values() for t in sorted(ts, key=len, reverse=True)) + rf")\.?[ ]{_NAME}(?:[ ]{_NAME})*+",
 }
 #: A capitalised word by itself: where a text names a person with a title, these may name the person again.
 WORD = r"(?<![\p{L}\p{N}@._-])\p{Lu}[\p{L}'’]*+(?:-\p{Lu}[\p{L}'’]*+)*+(?![\p{L}\p{N}@_])"
@@ -62,8 +65,8 @@ ENDINGS = {
 }
 #: Draws after which surrogates of a free form grow by a character, so that there are always new ones.
 DRAWS = 8
-#: How many different surrogates there are of the kinds that have a fixed form.
-SPACES = {"ip": 1 << 28, "ssn": 10**8}
+#: How many different surrogates there are of the kinds that have a fixed form; all others grow.
+SPACES = {"ip": 1 << 28, "ssn": 10**8, "card": 10**11}
 
 
 def kind_of(match: Column) -> Column:
@@ -132,11 +135,13 @@ def surrogate(key: str, kind: Column, name: Column, gender: Column, attempt: Col
     body = F.concat(F.substring(name, 1, 1), F.substring(number, F.lit(2), F.length(name) - 2))
     check = (10 - luhn_sum(F.concat(body, F.lit("0"))) % 10) % 10
     phone = F.concat(F.substring(name, F.lit(1), F.length(name) - 9), (draw(base, F.lit(1)) % 8 + 2).cast("string"), F.substring(number, F.length(name) - 7, F.lit(8)))
-    # a range that is reserved, so nobody's: 240.0.0.0 to 255.255.255.255
+    longer = same_shape(F.repeat(F.lit("0"), F.floor(attempt / DRAWS).cast("int")), F.concat(base, F.lit("+")))
+    # ranges that are reserved, so nobody's: 2001:db8::/32, in full length whatever the address was, and 240.0.0.0 to 255.255.255.255
     ip = F.concat((240 + draw(base, F.lit(9)) % 16).cast("string"), F.lit("."), F.array_join(F.transform(F.array(*[F.lit(i) for i in range(3)]), lambda i: (draw(base, i) % 256).cast("string")), "."))
+    ipv6 = F.concat(F.lit("2001:db8:"), F.array_join(F.transform(F.array(*[F.lit(i) for i in range(6)]), lambda i: F.lower(F.hex(draw(base, i) % 65536))), ":"))
     hexes = F.when(name.rlike("^[0-9a-f]+$"), same_shape(name, base, "abcdef")).otherwise(number)
-    result = F.when(kind == "local", local).when(kind == "domain", domain).when(kind == "card", F.concat(body, check.cast("string"))).when(kind == "phone", F.when(F.length(name) >= 10, phone).otherwise(F.concat(first, F.substring(number, F.lit(2), F.length(name)))))
-    result = result.when(kind == "ip", ip).when(kind == "ipv6", same_shape(name, base, "abcdef")).when(kind == "key", F.concat(F.substring(name, 1, 4), F.substring(number, F.lit(5), F.length(name)), grown))
+    result = F.when(kind == "local", local).when(kind == "domain", domain).when(kind == "card", F.concat(body, check.cast("string"))).when(kind == "phone", F.concat(F.when(F.length(name) >= 10, phone).otherwise(F.concat(first, F.substring(number, F.lit(2), F.length(name)))), longer))
+    result = result.when(kind == "ip", ip).when(kind == "ipv6", ipv6).when(kind == "key", F.concat(F.substring(name, 1, 4), F.substring(number, F.lit(5), F.length(name)), grown))
     result = result.when(kind == "secret", F.concat(hexes, grown)).when(kind == "ssn", F.concat(F.lit("9"), F.substring(number, 2, 10)))
     return result.otherwise(person(kind, gender, base, attempt))
 
@@ -191,11 +196,17 @@ def mentions(docs: DataFrame) -> DataFrame:
     known = lambda found: F.array_distinct(F.flatten(F.transform(F.filter(found, lambda m: m.rlike(titled)), lambda m: F.transform(name_parts(m), lambda p: F.lower(bare_name(p))))))
     # an array of one element binds what is used more than once, so that no text is searched again
     first = F.transform(F.array(F.regexp_extract_all(text, F.lit(ANY), F.lit(0))), lambda f: F.struct(f.alias("found"), known(f).alias("known")))
-    second = F.transform(first, lambda x: F.struct(x["known"].alias("known"), F.when(F.size(x["known"]) > 0, F.regexp_extract_all(text, F.lit(ANY_OR_WORD), F.lit(0))).otherwise(x["found"]).alias("found")))
-    df = durable(docs.select("doc_id", F.xxhash64(text).alias("tag"), second[0].alias("x")).select("doc_id", "tag", "x.*"))
+    # parts of names that the text also has as words: at a sentence's start, these are words
+    common = lambda known: F.filter(known, lambda p: F.regexp_like(text, F.concat(F.lit(r"(?<!\p{L})"), p, F.lit(r"(?!\p{L})"))))
+    second = F.transform(first, lambda x: F.struct(x["known"].alias("known"), common(x["known"]).alias("common"), F.when(F.size(x["known"]) > 0, F.regexp_extract_all(text, F.lit(ANY_OR_WORD), F.lit(0))).otherwise(x["found"]).alias("found")))
+    before = F.when(F.size("x.common") > 0, F.split("text", ANY_OR_WORD, -1)).alias("before")
+    df = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("tag"), second[0].alias("x"))
+    df = durable(df.select("doc_id", "tag", "x.*", before))
     df = df.where(F.size("found") > 0).withColumn("wide", F.size("known") > 0).distinct()
-    df = df.select("doc_id", "tag", "wide", "known", F.posexplode("found").alias("pos", "match")).withColumn("type", kind_of(F.col("match")))
-    df = df.where((F.col("type") != "word") | F.array_contains("known", F.lower(bare_name(F.col("match")))))
+    df = df.select("doc_id", "tag", "wide", "known", "common", "before", F.posexplode("found").alias("pos", "match")).withColumn("type", kind_of(F.col("match")))
+    part = F.lower(bare_name(F.col("match")))
+    begins = F.get("before", F.col("pos")).rlike(r"[.!?:…][\s\"'“”»)]*$|[\n\r]\s*$") | ((F.col("pos") == 0) & F.get("before", F.lit(0)).rlike(r"^\s*$"))
+    df = df.where((F.col("type") != "word") | (F.array_contains("known", part) & ~F.coalesce(F.array_contains("common", part) & begins, F.lit(False))))
     number = F.regexp_replace("match", "[^0-9]", "")
     df = df.withColumn("runs", F.when(F.col("type") == "card", card_runs(F.col("match"))))
     title = F.regexp_extract("match", r"^(\S+)[ ]", 1)
