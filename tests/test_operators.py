@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tickloom.functions import market, text
-from tickloom.operators import alerts, dedup, gate, indicators, matching, state, store
+from tickloom.operators import alerts, asof, dedup, gate, indicators, matching, state, store
 from tickloom.sources import articles as src
 from tickloom.sources import snapshots
 
@@ -158,7 +158,7 @@ def test_top_k_ties_and_nulls(spark):
 def test_asof(spark):
     left = spark.createDataFrame([("a", 5), ("a", 1), ("b", 9)], "k string, t int")
     right = spark.createDataFrame([("a", 1, 10.0), ("a", 4, 40.0), ("a", 5, 50.0)], "k string, d int, v double")
-    got = {(r.k, r.t): r.v for r in indicators.asof_prior(left, right, "k", "t", "d", ["v"]).collect()}
+    got = {(r.k, r.t): r.v for r in asof.prior(left, right, "k", "t", "d", ["v"]).collect()}
     assert got == {("a", 5): 40.0, ("a", 1): None, ("b", 9): None}
 
 

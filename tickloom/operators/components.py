@@ -12,6 +12,13 @@ def _both(edges: DataFrame) -> DataFrame:
     return edges.select(F.inline(F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v")), F.struct(F.col("b").alias("u"), F.col("a").alias("v")))))
 
 
+def _stars(edges: DataFrame) -> bool:
+    """Whether every larger end (a) has one smaller end (b), which is no larger end itself: then each component is a star
+    around its smallest node."""
+    ends = edges.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
+    return ends.where("n > 1").isEmpty() and edges.join(ends.withColumnRenamed("a", "larger"), F.col("b") == F.col("larger"), "left_semi").isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, component (the smallest node reachable) of every node that has a link; edges has columns a and b.
 
@@ -21,8 +28,7 @@ def components(edges: DataFrame) -> DataFrame:
     back, so a node with very many links is no single task's work. Each round is checkpointed; an empty table of
     links gives an empty result."""
     edges = durable(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    print_sum = None
-    while True:
+    while not _stars(edges):
         pairs = _both(edges)
         least = pairs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = pairs.where("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b"))
@@ -30,8 +36,4 @@ def components(edges: DataFrame) -> DataFrame:
         linked = large.withColumnRenamed("a", "u").join(small, "u")
         edges = linked.select(F.inline(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct(F.col("u").alias("a"), F.col("m").alias("b"))))).where("a <> b").distinct()
         edges = durable(edges)
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b") % (1 << 31))).first()
-        if now == print_sum:
-            break
-        print_sum = now
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

@@ -85,14 +85,3 @@ def macd_context(values: Column, fast: int = 12, slow: int = 26, signal: int = 9
     """macd_dif, macd_dea and macd_hist for a rule's context: 0 where the series is too short, unlike means, which are null."""
     m = macd(values, fast, slow, signal)
     return {f"macd_{c}": F.coalesce(m[c], F.lit(0.0)) for c in ("dif", "dea", "hist")}
-
-
-def asof_prior(left: DataFrame, right: DataFrame, key: str, left_time: str, right_time: str, columns: list[str]) -> DataFrame:
-    """left with the columns of the last row of right that is strictly before it: both in one ordered window.
-
-    No range join: rows of both sides are sorted together once, and each left row takes the last right row passed."""
-    a = left.select("*", F.lit(None).cast(right.select(F.struct(*columns).alias("x")).schema["x"].dataType).alias("_r"), F.col(left_time).alias("_t"), F.lit(0).alias("_s"))
-    b = right.select(key, F.struct(*columns).alias("_r"), F.col(right_time).alias("_t"), F.lit(1).alias("_s"))
-    w = Window.partitionBy(key).orderBy("_t", "_s").rowsBetween(Window.unboundedPreceding, -1)
-    both = a.unionByName(b, allowMissingColumns=True).withColumn("_r", F.last("_r", ignorenulls=True).over(w)).where("_s = 0")
-    return both.select(*left.columns, *[F.col("_r")[c].alias(c) for c in columns])

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import market
-from ..operators import alerts, indicators, recurrence, state
+from ..operators import alerts, asof, indicators, recurrence, state
 from ..sources import articles as src
 
 QUERIES, ORACLES = {}, {}
@@ -269,7 +269,7 @@ def last_n_ticks(spark, sf_dir):
 def asof_prior_bar(spark, sf_dir):
     """Every tick with the last bar before its day."""
     t = src.ticks(_events(spark, sf_dir)).withColumn("d", F.to_date("ts"))
-    joined = indicators.asof_prior(t, _bars(spark, sf_dir), "ticker", "d", "trade_date", ["trade_date", "close"])
+    joined = asof.prior(t, _bars(spark, sf_dir), "ticker", "d", "trade_date", ["trade_date", "close"])
     return joined.select("event_id", F.col("close").alias("prior_close"), F.date_format("trade_date", "yyyy-MM-dd").alias("prior_day"))
 
 
