@@ -1,19 +1,31 @@
-"""Cutting the lineage of iterative operators."""
+"""Cutting the lineage of iterative operators, and folders that all executors see."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the session's ``spark.checkpoint.dir``. Where it is unset, a local session takes a temporary
+def shared(spark: SparkSession) -> str:
+    """The session's checkpoint folder, from ``spark.checkpoint.dir``. Where it is unset, a local session takes a temporary
     folder; on a cluster, whose executors don't share one, that is an error."""
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         folder = sc.getConf().get("spark.checkpoint.dir")
         if folder is None and not sc.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that the executors share")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
+    return sc.getCheckpointDir()
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """The path of a new folder for a table of this session."""
+    return f"{shared(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """A reliable checkpoint in the shared folder."""
+    shared(df.sparkSession)
     return df.checkpoint(eager=True)

@@ -106,13 +106,6 @@ def critical_counts(spark, sf_dir):
     return _proc(spark, sf_dir).groupBy("model").agg(F.count(F.lit(1)).alias("n"), F.count_if("is_critical").alias("critical"))
 
 
-@query(f"""WITH {ART} SELECT id, title, strftime(fetched_at, '%Y-%m-%d %H:%M:%S') AS at FROM art WHERE len(list_intersect(regexp_split_to_array(lower(coalesce(body, '')), '[^\\p{{L}}\\p{{N}}]+'), ['anea', 'keit'])) > 0 ORDER BY fetched_at DESC, id DESC LIMIT 10""")
-def fulltext_newest(spark, sf_dir):
-    """The ten newest articles with any of the tokens."""
-    a = src.articles(src.table(spark, sf_dir, "documents")).where(F.arrays_overlap(text.tokens(F.coalesce("body", F.lit(""))), F.array(F.lit("anea"), F.lit("keit"))))
-    return a.orderBy(F.col("fetched_at").desc(), F.col("id").desc()).limit(10).select("id", "title", _stamp("fetched_at").alias("at"))
-
-
 @query("SELECT event_id AS id, event_type AS kind, strftime(ts, '%Y-%m-%d %H:%M:%S') AS at FROM events WHERE value < 5 AND user_id % 3 <> 0 ORDER BY ts DESC, event_id DESC LIMIT 50")
 def open_dead_letters(spark, sf_dir):
     """The fifty newest dead letters that nobody resolved."""

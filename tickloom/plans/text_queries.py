@@ -203,19 +203,6 @@ def greedy_dedup(spark, sf_dir):
     return dedup.check_and_register(dedup.durable(rows.unionByName(again)))
 
 
-@query(f"WITH {ART} SELECT id FROM art WHERE len(list_intersect(regexp_split_to_array(lower(coalesce(body, '')), '[^\\p{{L}}\\p{{N}}]+'), ['anea', 'keit', 'que'])) > 0")
-def fulltext_or(spark, sf_dir):
-    """Articles with any of the tokens."""
-    return _articles(spark, sf_dir).where(F.arrays_overlap(text.tokens(F.coalesce("body", F.lit(""))), F.array(*map(F.lit, ("anea", "keit", "que"))))).select("id")
-
-
-@query(f"WITH {ART} SELECT id FROM art WHERE list_has_all(regexp_split_to_array(lower(coalesce(body, '')), '[^\\p{{L}}\\p{{N}}]+'), ['anea', 'the'])")
-def fulltext_and(spark, sf_dir):
-    """Articles with all of the tokens."""
-    t = text.tokens(F.coalesce("body", F.lit("")))
-    return _articles(spark, sf_dir).where(F.array_contains(t, "anea") & F.array_contains(t, "the")).select("id")
-
-
 @query("""WITH c AS (SELECT conv_id, turn, role, ceil(length(coalesce(text, '')) / 4.0) AS tokens FROM conversations)
     SELECT role, CAST(sum(tokens) AS BIGINT) AS tokens, round(sum(tokens * CASE WHEN role = 'user' THEN 0.0003 ELSE 0.0006 END) / 1000, 9) AS cost FROM c GROUP BY role""")
 def llm_cost(spark, sf_dir):
