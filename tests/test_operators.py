@@ -53,7 +53,7 @@ def test_matches(spark):
     patterns = [("nvda", True), ("茅台", False), ("ai", True), ("ai", True), ("aa", False)]
     texts = ["ENVDAQ", "(NVDA), nvda_x", "贵州茅台", "AI 2", "xaaay aAi", None, "中ai文"]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, t string")
-    got = {r.id: [(m["pattern"], m["start"], m["end"]) for m in r.m] for r in df.select("id", matching.find_all(patterns)("t").alias("m")).collect()}
+    got = {r.id: [(m["pattern"], m["start"], m["end"]) for m in r.m] for r in df.select("id", matching.find_all(matching.compiled(spark, patterns))("t").alias("m")).collect()}
     assert got == {0: [], 1: [(0, 1, 4), (0, 8, 11)], 2: [(1, 2, 3)], 3: [(2, 0, 1), (3, 0, 1)], 4: [(4, 1, 2), (4, 2, 3), (4, 6, 7)], 5: [], 6: [(2, 1, 2), (3, 1, 2)]}
 
 
