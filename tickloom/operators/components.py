@@ -15,8 +15,8 @@ def _both(edges: DataFrame) -> DataFrame:
 def _stars(edges: DataFrame) -> bool:
     """Whether every larger end (a) has one smaller end (b), which is no larger end itself: then each component is a star
     around its smallest node."""
-    ends = edges.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
-    return ends.where("n > 1").isEmpty() and edges.join(ends.withColumnRenamed("a", "larger"), F.col("b") == F.col("larger"), "left_semi").isEmpty()
+    ends = edges.select(F.inline(F.array(F.struct(F.col("a").alias("node"), F.lit(1).alias("larger"), F.lit(0).alias("smaller")), F.struct(F.col("b").alias("node"), F.lit(0).alias("larger"), F.lit(1).alias("smaller")))))
+    return ends.groupBy("node").agg(F.sum("larger").alias("n"), F.max("smaller").alias("smaller")).where("n > 1 OR (n > 0 AND smaller > 0)").isEmpty()
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import DataStreamWriter
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle
 
 from ..operators import alerts, store
 
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 TICK = "ticker string, epoch long, price double, prev_close double, volume long"
 
 
@@ -20,33 +21,61 @@ def tick_stream(spark: SparkSession, folder: str, files_per_trigger: int = 1) ->
     return spark.readStream.schema(TICK).option("maxFilesPerTrigger", files_per_trigger).json(folder)
 
 
-def with_cooldown(hits: DataFrame, keys: list[str], seconds: int) -> DataFrame:
-    """keys, epoch, fired, suppressed (hits held back so far) for a stream of hits.
+class Cooldown(StatefulProcessor):
+    """A key's last hit that fired, and how many were held back since, for as long as it can hold others back: a timer
+    of event time drops both when the watermark has passed the cooldown's end."""
 
-    State is two numbers a key, in Spark's state store, so a restart goes on where the checkpoint ends. Hits of one
-    micro-batch are taken in order of time; suppressed hits only count, and don't move the time of the last that fired."""
-    kinds = ", ".join(f"{k} {hits.schema[k].dataType.simpleString()}" for k in keys)
+    def __init__(self, keys: list[str], seconds: int):
+        self.keys, self.seconds = keys, seconds
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("cooldown", "last bigint, held bigint")
 
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, held = state.get if state.exists else (None, 0)
-        pdf = pd.concat(list(batches)).sort_values("epoch", kind="stable")
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        last, held = self.state.get() if self.state.exists() else (None, 0)
+        before = last
+        epochs = np.sort(np.concatenate([pdf["epoch"].to_numpy() for pdf in rows])).tolist()
         fired, counts = [], []
-        for t in pdf["epoch"].tolist():
-            fire = last is None or t - last >= seconds
-            last, held = (t, held) if fire else (last, held + 1)
+        for t in epochs:
+            fire = last is None or t - last >= self.seconds
+            last, held = (t, 0) if fire else (last, held + 1)
             fired.append(fire)
             counts.append(held)
-        state.update((last, held))
-        yield pd.DataFrame({**{k: v for k, v in zip(keys, key)}, "epoch": pdf["epoch"].to_numpy(), "fired": fired, "suppressed": counts})
-
-    return hits.groupBy(*keys).applyInPandasWithState(run, f"{kinds}, epoch bigint, fired boolean, suppressed bigint", "last bigint, held bigint", "append", GroupStateTimeout.NoTimeout)
+        if before is not None and before != last:
+            self.handle.deleteTimer((before + self.seconds) * 1000)
+        if before != last:
+            self.handle.registerTimer((last + self.seconds) * 1000)
+        self.state.update((last, held))
+        yield pd.DataFrame({**{k: [v] * len(epochs) for k, v in zip(self.keys, key)}, "epoch": epochs, "fired": fired, "suppressed": counts})
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.state.clear()
+        yield from ()
+
+    def close(self) -> None:
+        pass
+
+
+def with_cooldown(hits: DataFrame, keys: list[str], seconds: int, late: str = "1 hour") -> DataFrame:
+    """keys, epoch, fired, suppressed (hits held back since the last that fired) for a stream of hits.
+
+    State is two numbers a key, in Spark's state store, so a restart goes on where the checkpoint ends; it goes when the
+    watermark, ``late`` behind the newest hit, has passed the cooldown's end, so the store holds what came lately, not all
+    keys there ever were. Hits of one micro-batch are taken in order of time, and later ones than the watermark are
+    dropped; suppressed hits only count, and don't move the time of the last that fired. Timers need the RocksDB state store, which
+    the session is set to."""
+    hits.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    kinds = ", ".join(f"{k} {hits.schema[k].dataType.simpleString()}" for k in keys)
+    timed = hits.select(*keys, F.col("epoch").cast("bigint").alias("epoch"), F.timestamp_seconds("epoch").alias("at")).withWatermark("at", late)
+    return timed.groupBy(*keys).transformWithStateInPandas(Cooldown(keys, seconds), f"{kinds}, epoch bigint, fired boolean, suppressed bigint", "Append", "EventTime")
 
 
-def alert_stream(ticks: DataFrame, rules: list[alerts.Rule], cooldown_seconds: int) -> DataFrame:
+def alert_stream(ticks: DataFrame, rules: list[alerts.Rule], cooldown_seconds: int, late: str = "1 hour") -> DataFrame:
     """Alerts that fire on a stream of ticks."""
     pct = F.when(F.col("prev_close") == 0, 0.0).otherwise((F.col("price") - F.col("prev_close")) / F.col("prev_close") * 100)
     hits = alerts.evaluate(ticks.withColumn("pct_change", pct), rules).select("rule_id", "ticker", "epoch")
-    return with_cooldown(hits, ["rule_id", "ticker"], cooldown_seconds).where("fired")
+    return with_cooldown(hits, ["rule_id", "ticker"], cooldown_seconds, late).where("fired")
 
 
 def minute_bars(ticks: DataFrame, late: str = "10 minutes") -> DataFrame:
