@@ -39,6 +39,8 @@ NEAREST = 16
 STEP_ROWS = 512
 #: Members of an unresolved bucket that are compared with each other in one group; larger buckets are split in blocks.
 BLOCK = 2048
+#: Rows of buckets that a task compares, about, until there are so many tasks.
+TASK_ROWS, MOST_TASKS = 1_000, 20_000
 #: Ids up to which a set of chosen documents is broadcast as a filter of the scan (counted first); else it is joined.
 FILTER_IDS = 300_000
 
@@ -194,20 +196,21 @@ def confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     return rows.mapInArrow(run, "a bigint, b bigint")
 
 
-def across(members: DataFrame, threshold: float, most: int | None) -> DataFrame:
+def across(members: DataFrame, threshold: float, most: int | None, tasks: int) -> DataFrame:
     """Distinct pairs (a, b) of different components within a bucket that may reach the threshold.
 
     A pair that shares several buckets comes from its first shared band only. With ``most``, only so many of each member,
     the most similar by estimate, and a row of nulls where that left some out: links of these join most components, which
     leaves few pairs for a call without. members: key, id, component, n_shingles, sketch, blocks (into how many the
     bucket is split). A group is a bucket, or two blocks of one; groups lie sorted in their partition, and a task works on
-    as many at once as an Arrow batch holds."""
+    as many at once as an Arrow batch holds. The number of tasks is given, as rows are few bytes and much work, so that
+    sizes in bytes would put too many into one."""
     own = F.pmod(F.xxhash64("id"), F.col("blocks").cast("bigint")).cast("int")
     # a pair of blocks (i, j), i <= j, meets in one group
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(F.col("own"), o).alias("i"), F.greatest(F.col("own"), o).alias("j")))
     rows = members.withColumn("own", own).select("key", "own", "id", "component", "n_shingles", "sketch", F.inline(pairs))
     rows = rows.select(F.xxhash64("key", "i", "j").alias("group"), "key", F.when(F.col("i") != F.col("j"), F.col("own")).alias("own"), "id", "component", "n_shingles", "sketch")
-    rows = rows.repartition("group").sortWithinPartitions("group", "n_shingles")
+    rows = rows.repartition(tasks, "group").sortWithinPartitions("group", "n_shingles")
 
     def compare(t: pa.Table) -> pa.RecordBatch:
         group, n, ids, component, key = (t.column(c).to_numpy() for c in ("group", "n_shingles", "id", "component", "key"))
@@ -287,8 +290,9 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
         # buckets of three or more whose members are in different components; a bucket of two has been compared
         member = shared.where("n > 2").select("key", "id", "n").join(linked.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
         mixed = member.groupBy("key").agg(F.max("n").alias("n"), F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1")
-        mixed = mixed.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-        found = durable(across(member.drop("n").join(mixed, "key").join(sets, "id"), threshold, most))
+        mixed = durable(mixed.select("key", "n", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")))
+        met = mixed.agg(F.sum(F.col("n") * F.col("blocks"))).first()[0] or 0
+        found = durable(across(member.drop("n").join(mixed.drop("n"), "key").join(sets, "id"), threshold, most, min(MOST_TASKS, max(1, -(-met // TASK_ROWS)))))
         pairs = durable(found.where("a is not null").distinct().join(tested, ["a", "b"], "left_anti"))
         new = durable(confirmed(pairs, docs, percent))
         if not new.isEmpty():
