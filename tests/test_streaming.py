@@ -29,15 +29,16 @@ def test_ingest_keeps_first(spark, tmp_path):
     rows = spark.readStream.schema("url string, n int").option("maxFilesPerTrigger", 1).json(str(source))
     q = stream.ingest(rows, store, "url").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
     q.awaitTermination(120)
-    got = spark.read.parquet(store).groupBy("url").agg(F.count("*").alias("c")).collect()
+    got = stream.stored(spark, store, "url string, n int", "url").groupBy("url").agg(F.count("*").alias("c")).collect()
     assert {r.url: r.c for r in got} == {f"u{k}": 1 for k in range(4)}
 
 
 def test_dispatch_is_per_channel(spark):
-    taken, dead = {}, []
+    taken, dead, log = {}, [], []
     sinks = {"a": lambda df: taken.update(a=df.count()), "b": lambda df: 1 / 0}
     rows = spark.createDataFrame([("a",), ("a",), ("b",), ("c",)], "channel string")
-    stream.dispatch(sinks, lambda df: dead.extend(df.collect()))(rows, 3)
+    stream.dispatch(sinks, lambda df: dead.extend(df.collect()), lambda df: log.extend(df.collect()))(rows, 3)
+    assert [tuple(r) for r in log] == [(3, "a", True, 2, None), (3, "b", False, 1, "ZeroDivisionError: division by zero")]
     assert taken == {"a": 2} and [(r.channel, r.batch, r.error) for r in dead] == [("b", 3, "ZeroDivisionError: division by zero")]
     # without a place for them, failed rows fail the batch
     with pytest.raises(RuntimeError):
