@@ -51,4 +51,6 @@ def test_violations(spark):
 
 
 def test_signature():
-    assert messages.signature("1", "s") == messages.signature("1", "s") != messages.signature("2", "s")
+    # printf '' | openssl dgst -sha256 -hmac "$(printf '1599360473\nsecret')" -binary | base64
+    assert messages.signature("1599360473", "secret") == "q4jswNiMy51J5JuQV566yJat0/lQ/c+22kINzUgKsGU="
+    assert messages.signature("1", "s") != messages.signature("2", "s")
