@@ -55,6 +55,16 @@ def test_line_dedup_equals_sql(spark):
     assert lines.deduplicated(df.limit(0)).count() == 0
 
 
+def test_line_dedup_equals_sql_with_all_blanks(spark):
+    line = "a b c d e f g h i j"
+    rows = [(1, f"{line}\r\n\r\nshort\r\nk l m n o p q r s t\r", "en", "x"), (2, f"{line}\r\n\x0b\nshort\r\nother", "en", "x"), (3, f"\r\n\r\n\r\n{line}\r\n\x0c\n\r\nshort\r", "en", "x"),
+            (4, "a\x0bb\x0cc\rd\te f g h i j\nend", "en", "x"), (5, "a\x0bb\x0cc\rd\te f g h i j\n\x1c\n\x85", "en", "x"), (6, "\x1c\n\x85\nnew", "en", "x")]
+    df = spark.createDataFrame([(*r, 0) for r in rows], SCHEMA)
+    names, expected = sql("op3_line_dedup", rows)
+    assert sorted(map(tuple, cut(df).select(*names).collect())) == sorted(expected)
+    assert sum(r[names.index("n_removed")] for r in expected) > 5
+
+
 def test_line_dedup_equal_rows_are_one(spark):
     df = spark.createDataFrame([(1, "a b c d e f g h i j k"), (1, "a b c d e f g h i j k"), (None, "a b c d e f g h i j k")], "doc_id long, text string")
     assert sorted((r.doc_id or 0, r.text) for r in lines.deduplicated(df).collect()) == [(0, "a b c d e f g h i j k"), (1, ""), (1, "")]

@@ -42,8 +42,7 @@ def _op3_sql() -> str:
     """The same by brute force: all pairs of equal lines, and the runs of them in which both places go on line by line."""
     return rf"""
     WITH d AS (SELECT doc_id, coalesce(text, '') AS t, string_split(coalesce(text, ''), chr(10)) AS al FROM documents),
-    u AS (SELECT doc_id, no, al[no] AS x, len(regexp_extract_all(al[no], '[^ 	-
-]+')) AS n FROM (SELECT doc_id, al, unnest(range(1, len(al) + 1)) AS no FROM d)),
+    u AS (SELECT doc_id, no, al[no] AS x, len(regexp_extract_all(al[no], '[^\x20\x09-\x0D]+')) AS n FROM (SELECT doc_id, al, unnest(range(1, len(al) + 1)) AS no FROM d)),
     l AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY no) AS i FROM u WHERE n > 0),
     p AS (SELECT b.doc_id, b.i, b.no, b.n, a.doc_id AS other, b.i - a.i AS shift FROM l b JOIN l a ON a.x = b.x AND (a.doc_id < b.doc_id OR (a.doc_id = b.doc_id AND a.i < b.i))),
     k AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, other, shift ORDER BY i) AS island FROM p),
@@ -195,10 +194,7 @@ def _op13_sql() -> str:
     draw = lambda k: f"CAST('0x' || substr(h, {8 * k + 1}, 8) AS BIGINT)"
     join = lambda span: f"array_to_string(u[{span}], '')"
     return rf"""
-    WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^
-]*
-|[^
-]+') AS u, sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+    WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u, sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
     c AS (SELECT *, CAST(len(u) AS BIGINT) AS n, {draw(0)} % (len(u) + 1) AS x, {draw(1)} % (len(u) + 1) AS y,
         CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR {draw(2)} % 100 >= 100 THEN 'plain' WHEN {draw(3)} % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM d),
     p AS (SELECT *, {join("1:least(x, y)")} AS a, {join("least(x, y) + 1:greatest(x, y)")} AS b, {join("greatest(x, y) + 1:n")} AS e FROM c)
