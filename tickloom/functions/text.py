@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Features whose hashes are counted at once.
+COUNTED = 65_535
+
 
 def strip(text: Column) -> Column:
     """Without leading and trailing Unicode white space."""
@@ -28,9 +33,21 @@ def simhash(text: Column) -> Column:
     bytes of MD5) have it."""
     hashes = F.transform(features(text), lambda f: F.conv(F.substring(F.md5(f.cast("binary")), 17, 16), 16, -10).cast("bigint"))
 
+    # four counters of 16 bits in each of 16 numbers: one addition counts four bits of a hash
+    lanes = F.lit(0x0001000100010001)
+    right = lambda x, n: F.call_function("shiftrightunsigned", x, F.lit(n))
+
+    def counted(h: Column) -> Column:
+        start = F.struct(*[F.lit(0).cast("bigint").alias(f"c{k}") for k in range(16)])
+        add = lambda acc, x: F.struct(*[(acc[f"c{k}"] + right(x, k).bitwiseAND(lanes)).alias(f"c{k}") for k in range(16)])
+        return F.aggregate(h, start, add)
+
     def fold(h: Column) -> Column:
-        ones = lambda b: F.aggregate(h, F.lit(0), lambda n, x: n + F.getbit(x, b).cast("int"))
-        return F.aggregate(F.sequence(F.lit(0), F.lit(63)), F.lit(0).cast("bigint"), lambda acc, b: F.when(2 * ones(b) > F.size(h), acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), b))).otherwise(acc))
+        # no counter holds more features than this; more are counted in parts
+        parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(h) - 1) / COUNTED)), lambda i: counted(F.slice(h, (i * COUNTED + 1).cast("int"), COUNTED)))
+        ones = lambda p, b: F.aggregate(p, F.lit(0), lambda n, c: n + right(c[f"c{b % 16}"], b // 16 * 16).bitwiseAND(F.lit(0xFFFF)).cast("int"))
+        bits = lambda p: [F.when(2 * ones(p, b) > F.size(h), F.lit(1 << b if b < 63 else -(1 << 63))).otherwise(F.lit(0)) for b in range(64)]
+        return F.transform(F.array(parts), lambda p: reduce(lambda x, y: x.bitwiseOR(y), [b.cast("bigint") for b in bits(p)]))[0]
 
     return F.transform(F.array(hashes), fold)[0]
 

@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import asof
 from .messages import fixed, newest
 
 #: Texts of the replies; fixed values.
 WATCH_USAGE = "用法: /watch TICKER [...]"
 UNWATCH_USAGE = "用法: /unwatch TICKER [...]"
 UNCHANGED = "无变化"
+PAUSE_USAGE = "用法: /pause SOURCE [minutes=30]"
+DIGEST_USAGE = "用法: /digest now"
+HEALTHY = "OK (详情见 healthcheck endpoint)"
+UNKNOWN = "未知命令: /"
 NOTHING = "(空)"
 SECTIONS = ("美股", "A股", "宏观", "板块")
 #: How much of a summary a line shows, and how many lines a reply has; fixed values.
@@ -21,19 +28,27 @@ def history(asked: DataFrame, items: DataFrame, days: int, most: int) -> DataFra
     """asked (id, ticker, at, ...) with ``history``: what ``items`` (ticker, at, line) say of the ticker in the days before.
 
     Newest first, the ``most`` newest at most, as a prompt has room for so many; an empty array where there are none.
-    Rows meet by ticker and by the period of so many days they lie in, so a ticker with very many items is spread over as
-    many groups as it has periods, and only the newest lines of each row are ever collected. Ties of time go by the line.
-    Rows without a ticker or a time have no history."""
-    seconds = days * 86400
-    period = F.floor(F.unix_seconds(F.col("at").cast("timestamp")) / seconds)
-    past = items.select("ticker", F.col("at").alias("_at"), "line", period.alias("_period"))
-    span = F.make_dt_interval(days=F.lit(days))
-    near = asked.select("id", "ticker", "at", F.explode(F.array(period, period - 1)).alias("_period")).join(past, ["ticker", "_period"])
-    near = near.where((F.col("_at") < F.col("at")) & (F.col("_at") >= F.col("at") - span))
-    first = Window.partitionBy("id").orderBy(F.col("_at").desc(), "line")
-    top = near.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= most)
-    lines = top.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("_n", "line"))), lambda x: x["line"]).alias("history"))
-    return asked.join(lines, "id", "left").withColumn("history", F.coalesce("history", F.array().cast("array<string>")))
+    Every item knows the ``most`` up to itself of its period of so many days; a row takes the last item before it, and the
+    last before its period, by as-of joins. So a row costs two lists, however many items its ticker has, and a ticker is
+    spread over its periods and blocks. Ties of time go by the line. Rows without a ticker or a time have no history."""
+    span = days * asof.DAY
+    start = lambda at: at - F.pmod(at, F.lit(span))
+    timed = items.where("ticker IS NOT NULL AND at IS NOT NULL").select("ticker", asof.micros(F.col("at")).alias("_at"), "line").withColumn("_period", start(F.col("_at")))
+    order = Window.partitionBy("ticker", "_period").orderBy("_at", F.col("line").desc())
+    upto = F.collect_list(F.struct("_at", "line")).over(order.rowsBetween(-(most - 1), 0))
+    known = timed.select("ticker", "_at", F.struct(upto.alias("x")).alias("_list"), F.row_number().over(order).alias("_n"))
+
+    def last(rows: DataFrame, at: Column) -> DataFrame:
+        return asof.joined(rows, known, ["ticker"], at, F.col("_at"), F.col("_list"), F.col("_n"), asof.DAY, False)
+
+    at = lambda row: asof.micros(F.col(f"{row}.at"))
+    first = last(asked, asof.micros(F.col("at"))).select(F.col("_row.ticker").alias("ticker"), F.col("_row").alias("row"), F.col("_found.x").alias("new"))
+    both = last(first, start(at("row"))).select("_row.row", "_row.new", F.col("_found.x").alias("old"))
+    none = F.array().cast("array<struct<_at:bigint,line:string>>")
+    here = F.filter(F.coalesce("new", none), lambda x: x["_at"] >= start(at("row")))
+    lines = F.filter(F.concat(F.reverse(here), F.reverse(F.coalesce("old", none))), lambda x: x["_at"] >= at("row") - span)
+    found = F.when(F.col("row.ticker").isNotNull(), F.transform(F.slice(lines, 1, most), lambda x: x["line"]))
+    return both.select("row.*", F.coalesce(found, F.array().cast("array<string>")).alias("history"))
 
 
 def news_replies(items: DataFrame) -> DataFrame:
@@ -124,3 +139,27 @@ def unresolved(rules: DataFrame, holdings: DataFrame, watchlist: DataFrame, capi
 def price_move(pct: Column, least: float) -> Column:
     """Whether a move is critical in itself; an unknown one isn't."""
     return F.coalesce(F.abs(pct) >= least, F.lit(False))
+
+
+def dispatched(text: Column, handlers: dict[str, Callable[[Column], Column]]) -> Column:
+    """The reply to a line: that of its command's handler, which gets the array of its arguments. A line that is no
+    command has none, and an unknown command says so."""
+    words = F.filter(F.split(F.substring(F.trim(text), 2, 1 << 30), r"\s+"), lambda w: w != "")
+    name, args = F.get(words, F.lit(0)), F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0)))
+    out = F.when(~F.trim(text).startswith("/") | (F.size(words) == 0), F.lit(None).cast("string"))
+    for command, handler in handlers.items():
+        out = out.when(name == command, handler(args))
+    return out.otherwise(F.concat(F.lit(UNKNOWN), name))
+
+
+def pause_reply(args: Column) -> Column:
+    """A source, and for how many minutes; what isn't a number of minutes gets the usage."""
+    given = F.get(args, F.lit(1))
+    minutes = F.when(given.isNull(), F.lit(30)).otherwise(given.try_cast("int"))
+    known = (F.size(args) > 0) & minutes.isNotNull()
+    return F.when(known, F.concat(F.lit("已暂停 "), F.get(args, F.lit(0)), F.lit(" "), minutes.cast("string"), F.lit(" 分钟"))).otherwise(PAUSE_USAGE)
+
+
+def digest_reply(args: Column, sent: Column) -> Column:
+    """sent: how many items the digest that is sent now has."""
+    return F.when(F.get(args, F.lit(0)) == "now", F.concat(F.lit("已发送 digest, 含 "), sent.cast("string"), F.lit(" 条"))).otherwise(DIGEST_USAGE)

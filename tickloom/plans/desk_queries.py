@@ -208,3 +208,18 @@ def model_choice(spark, sf_dir):
     """Which client and model each configured name leads to, without the premium client."""
     name = F.concat(F.when(F.col("p_size") % 2 == 0, "claude-").otherwise("other-"), F.col("p_size").cast("string"))
     return src.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), enrich.chosen_model(name, False, "cheap").alias("c")).select("id", "c.client", "c.model")
+
+
+@query("""WITH e AS (SELECT event_id, user_id, '/' || event_type AS t FROM events), n AS (SELECT count(*) AS n FROM events WHERE event_type = 'view')
+    SELECT event_id, CASE event_id % 10 WHEN 0 THEN '今日 LLM 成本: ' || printf('%.2f', user_id / 4.0) || ' CNY' || chr(10) || '剩余预算: ' || printf('%.2f', greatest(0, 20 - user_id / 4.0)) || ' CNY' WHEN 1 THEN '已暂停 u' || user_id || ' 45 分钟' WHEN 2 THEN '已暂停 u' || user_id || ' 30 分钟'
+      WHEN 3 THEN '用法: /pause SOURCE [minutes=30]' WHEN 4 THEN '用法: /pause SOURCE [minutes=30]' WHEN 5 THEN '已发送 digest, 含 ' || n || ' 条' WHEN 6 THEN '用法: /digest now' WHEN 7 THEN 'OK (详情见 healthcheck endpoint)' WHEN 8 THEN '未知命令: ' || t END AS reply FROM e, n""")
+def command_replies(spark, sf_dir):
+    """Lines from the desk, each answered by its command: cost, pauses, digests, health, unknown ones, and what is no command."""
+    e = src.table(spark, sf_dir, "events")
+    u = F.col("user_id").cast("string")
+    forms = [F.lit("/cost"), F.concat(F.lit(" /pause  u"), u, F.lit(" 45 ")), F.concat(F.lit("/pause u"), u), F.lit("/pause"), F.concat(F.lit("/pause u"), u, F.lit(" soon")), F.lit("/digest now"), F.lit("/digest"), F.lit("/health x"), F.concat(F.lit("/"), "event_type", F.lit(" y")), F.lit("hello")]
+    line = F.element_at(F.array(*forms), (F.col("event_id") % 10 + 1).cast("int"))
+    cost = F.col("user_id") / 4.0
+    views = e.where("event_type = 'view'").agg(F.count(F.lit(1))).scalar()
+    handlers = {"cost": lambda args: desk.cost_reply(cost, F.greatest(F.lit(0.0), 20 - cost)), "pause": desk.pause_reply, "digest": lambda args: desk.digest_reply(args, views), "health": lambda args: F.lit(desk.HEALTHY)}
+    return e.select("event_id", desk.dispatched(line, handlers).alias("reply"))

@@ -317,7 +317,7 @@ def portfolio_pnl(spark, sf_dir):
 def sector_alerts(spark, sf_dir):
     """A rule over sectors, here nations."""
     n = src.table(spark, sf_dir, "nation")
-    s = src.table(spark, sf_dir, "customer").join(F.broadcast(n), F.col("c_nationkey") == F.col("n_nationkey")).groupBy(F.col("n_name").alias("sector")).agg(F.avg("c_acctbal").alias("value"), F.count(F.lit(1)).alias("n"))
+    s = src.table(spark, sf_dir, "customer").join(n, F.col("c_nationkey") == F.col("n_nationkey")).groupBy(F.col("n_name").alias("sector")).agg(F.avg("c_acctbal").alias("value"), F.count(F.lit(1)).alias("n"))
     return alerts.evaluate(s, [alerts.Rule("high", "threshold", "value > 4600 or n < 40")], key="sector").select("sector", F.round("value", 6).alias("value"))
 
 

@@ -38,6 +38,12 @@ def channel_failures(spark, sf_dir):
     return _until_last(_log(spark, sf_dir), 24).where("status = 'failed'").groupBy("channel").agg(F.count(F.lit(1)).alias("failures"))
 
 
+@query(f"WITH {LOG} SELECT count(*) AS failures FROM log WHERE status = 'failed' AND sent_at >= (SELECT max(sent_at) FROM log) - INTERVAL 24 HOUR")
+def failures_last_day(spark, sf_dir):
+    """Failures of all channels in the last day."""
+    return _until_last(_log(spark, sf_dir), 24).where("status = 'failed'").agg(F.count(F.lit(1)).alias("failures"))
+
+
 @query(f"WITH {LOG} SELECT channel, count(*) AS failures FROM log WHERE status = 'failed' GROUP BY channel HAVING count(*) >= 3")
 def failure_alerts(spark, sf_dir):
     return _log(spark, sf_dir).where("status = 'failed'").groupBy("channel").agg(F.count(F.lit(1)).alias("failures")).where("failures >= 3")
@@ -141,7 +147,7 @@ def news_for_ticker(spark, sf_dir):
     """The ten newest items tied to an entity, through its links."""
     o, c, n = (src.table(spark, sf_dir, t) for t in ("orders", "customer", "nation"))
     one = n.agg(F.min("n_name")).scalar()
-    j = o.join(c, o.o_custkey == c.c_custkey).join(F.broadcast(n.where(F.col("n_name") == one)), F.col("c_nationkey") == F.col("n_nationkey"))
+    j = o.join(c, o.o_custkey == c.c_custkey).join(n.where(F.col("n_name") == one), F.col("c_nationkey") == F.col("n_nationkey"))
     return j.orderBy(F.col("o_orderdate").desc(), "o_orderkey").limit(10).select(F.col("o_orderkey").alias("id"), F.col("c_name").alias("name"), F.col("o_totalprice").alias("price"))
 
 

@@ -32,9 +32,14 @@ def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _hour():
+    """What a response covers, so that none grows with a table."""
+    return F.floor(F.col("s") / 3600).alias("hour")
+
+
 def _arrays(items: DataFrame, *fields) -> DataFrame:
-    """A response for each ticker: its items as JSON."""
-    return items.groupBy("u").agg(F.collect_list(F.struct(*fields)).alias("items"))
+    """A response for each ticker and hour: its items as JSON."""
+    return items.groupBy("u", _hour()).agg(F.collect_list(F.struct(*fields)).alias("items"))
 
 
 def _shown(df: DataFrame) -> DataFrame:
@@ -108,7 +113,7 @@ def rss_items(spark, sf_dir):
     escaped = F.replace(F.replace("body", F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
     day = F.concat(F.lit("Mon, "), F.date_format(F.timestamp_seconds("s"), "dd MMM yyyy HH:mm:ss"), F.lit(" +0000"))
     item = F.concat(F.lit("<item><title>"), "head", F.lit("</title><link>https://k"), "link", F.lit("</link><description>"), escaped, F.lit("</description><pubDate>"), day, F.lit("</pubDate></item>"))
-    feeds = i.groupBy("u").agg(F.concat(F.lit("<rss><channel>"), F.array_join(F.collect_list(item), ""), F.lit("</channel></rss>")).alias("p"))
+    feeds = i.groupBy("u", _hour()).agg(F.concat(F.lit("<rss><channel>"), F.array_join(F.collect_list(item), ""), F.lit("</channel></rss>")).alias("p"))
     return _shown(payloads.rss(feeds, "p"))
 
 
@@ -155,7 +160,7 @@ def atom_items(spark, sf_dir):
     """Atom feeds, one for each owner."""
     escaped = F.replace(F.replace("body", F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
     entry = F.concat(F.lit("<entry><title>"), "head", F.lit("</title><updated>"), F.date_format(F.timestamp_seconds("s"), "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.lit("</updated><summary>"), escaped, F.lit('</summary><link href="https://s/'), F.col("i").cast("string"), F.lit('"/></entry>'))
-    feeds = _items(spark, sf_dir).groupBy("u").agg(F.concat(F.lit("<feed>"), F.array_join(F.collect_list(entry), ""), F.lit("</feed>")).alias("p"))
+    feeds = _items(spark, sf_dir).groupBy("u", _hour()).agg(F.concat(F.lit("<feed>"), F.array_join(F.collect_list(entry), ""), F.lit("</feed>")).alias("p"))
     found = src.atom_entries(feeds.withColumn("u", F.col("u").cast("string")), "p", "u")
     return _shown(found.select(F.col("u").alias("source"), F.lit("us").alias("market"), "url", F.coalesce("title", F.lit("")).alias("title"), "body", "published_at"))
 
@@ -165,7 +170,7 @@ def page_items(spark, sf_dir):
     """News links of HTML pages; refused pages have none."""
     href = F.concat(F.when(F.col("i") % 2 == 0, "https://t").otherwise(""), "link")
     a = F.concat(F.lit('<li><a class="big news-link" href="'), href, F.lit('" data-time="'), F.col("s").cast("string"), F.lit('"><span class="news-title"> '), "head", F.lit(" </span></a></li>"))
-    pages = _items(spark, sf_dir).groupBy("u").agg(F.array_join(F.collect_list(a), "\n").alias("html"))
+    pages = _items(spark, sf_dir).groupBy("u", _hour()).agg(F.array_join(F.collect_list(a), "\n").alias("html"))
     pages = pages.select(F.when(F.col("u") % 6 == 0, 403).otherwise(200).alias("status"), F.when(F.col("u") % 6 == 1, F.concat("html", F.lit("captcha"))).otherwise(F.col("html")).alias("html"))
     fine = pages.where(~src.page_blocked(F.col("status"), F.col("html")))
     return src.page_links(fine, "html", "https://base").select("title", "url", F.date_format("published_at", "yyyy-MM-dd HH:mm:ss").alias("published"))

@@ -76,5 +76,5 @@ def canonical_names(spark, sf_dir):
     """Names under their canonical ones."""
     n = src.table(spark, sf_dir, "nation")
     aliases = n.where("n_regionkey = 0").select(F.upper("n_name").alias("alias"), F.lit("South").alias("name"))
-    rows = src.table(spark, sf_dir, "customer").join(F.broadcast(n), F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("n_name").alias("name"))
+    rows = src.table(spark, sf_dir, "customer").join(n, F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("n_name").alias("name"))
     return store.canonical(rows, "name", aliases).groupBy("name").agg(F.count(F.lit(1)).alias("n"))

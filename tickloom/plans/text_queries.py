@@ -141,7 +141,7 @@ def route_markets(spark, sf_dir):
     df = df.select("id", "score_boost", F.explode(F.when(F.size("markets") == 0, F.array("article_market")).otherwise(F.col("markets"))).alias("market"))
     channels = spark.createDataFrame([("us", "push_us"), ("us", "mail_us"), ("us", "desk_alert"), ("cn", "push_cn")], "market string, channel string")
     channels = channels.where(~F.col("channel").endswith("_alert"))
-    return df.join(F.broadcast(channels), "market").select("id", "market", "channel", (F.col("score_boost") >= 70).alias("immediate"))
+    return df.join(channels, "market").select("id", "market", "channel", (F.col("score_boost") >= 70).alias("immediate"))
 
 
 @query(f"""WITH {ART} SELECT id, CASE WHEN hour(CASE WHEN market = 'us' THEN (fetched_at AT TIME ZONE 'UTC') AT TIME ZONE 'America/New_York' ELSE (fetched_at AT TIME ZONE 'UTC') AT TIME ZONE 'Asia/Shanghai' END) < 12 THEN 'morning_' ELSE 'evening_' END || market AS digest FROM art""")
@@ -228,6 +228,13 @@ def eval_accuracy(spark, sf_dir):
     return df.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg((F.col("quality") == said).cast("double")), 9).alias("accuracy"))
 
 
+@query(f"""WITH {HITS} SELECT id, CASE WHEN len(tickers) > 0 OR id % 5 = 0 THEN 'tier2' ELSE 'tier1' END AS tier FROM scored WHERE matched""")
+def matched_tiers(spark, sf_dir):
+    """The model tier of articles that the rules matched: 2 with a ticker of its own or from a first-party source."""
+    df = matching.verdicts(_articles(spark, sf_dir), WATCH).where("matched")
+    return df.select("id", F.when((F.size("tickers") > 0) | (F.col("id") % 5 == 0), "tier2").otherwise("tier1").alias("tier"))
+
+
 _MODES = (("rules", True, False), ("both", True, True), ("model", False, True))
 
 
