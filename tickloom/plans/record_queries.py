@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import indicators, messages, store
+from ..operators.durable import durable, new_folder
+from ..operators.records import Processed, Relations
 from ..sources import articles as src
+from ..sources.bars import DailyBars
 from .market_queries import BARS
 
 QUERIES, ORACLES = {}, {}
@@ -75,3 +79,42 @@ def model_messages(spark, sf_dir):
     sentiment = F.element_at(F.array(*map(F.lit, ("bullish", "bearish", "neutral"))), (d % 3 + 1).cast("int"))
     df = src.table(spark, sf_dir, "documents").select(d.alias("id"), F.lit("t").alias("title"), F.lit("s").alias("summary"), "source", F.lit("u").alias("url"), F.lit("us").alias("market"), t.alias("related_tickers"), s.alias("sectors"), sentiment.alias("sentiment"), F.when(d % 2 == 0, "high").otherwise("low").alias("magnitude"))
     return messages.from_model(df).select("id", F.array_join(F.transform("badges", lambda b: F.concat(b["text"], F.lit(":"), b["color"])), "|").alias("marks"))
+
+
+@query("""WITH p AS (SELECT doc_id AS id, source AS summary, CASE WHEN doc_id % 4 = 0 THEN doc_id % 10 / 10.0 ELSE 0.5 END AS score, CASE WHEN doc_id % 5 = 0 THEN 'sent' WHEN doc_id % 7 = 0 THEN 'failed' ELSE 'pending' END AS push_status FROM documents)
+    SELECT id, summary, score, score >= 0.5 AS is_critical, ['r' || id % 3] AS rule_hits, push_status FROM p""")
+def processed_rows(spark, sf_dir):
+    """Processed articles after an insert, a second insert of every fourth, and two rounds of push results."""
+    d, table = F.col("doc_id"), Processed(spark, new_folder(spark, "processed"))
+    rows = src.table(spark, sf_dir, "documents").select(d.alias("id"), d.alias("raw_id"), F.col("source").alias("summary"), F.lit(0.5).alias("score"), F.lit(True).alias("is_critical"), F.array(F.concat(F.lit("r"), d % 3)).alias("rule_hits"), F.lit("m").alias("model_used"))
+    table.insert(rows, 0)
+    score = F.col("id") % 10 / 10
+    table.insert(rows.where("id % 4 = 0").withColumns({"score": score, "is_critical": score >= 0.5}), 1)
+    status = lambda n, s: rows.where(F.col("id") % n == 0).select("id", F.lit(s).alias("push_status")).unionByName(spark.createDataFrame([(-1, s)], "id long, push_status string"))
+    table.mark(status(7, "failed"), 2)
+    table.mark(status(5, "sent"), 3)
+    return table.table.current().select("id", "summary", "score", "is_critical", "rule_hits", "push_status")
+
+
+@query("""WITH r AS (SELECT o_custkey AS subject_id, o_orderpriority AS predicate, o_orderkey % 50 AS object_id, o_orderkey % 20 AS source_news_id, max(o_totalprice) AS confidence, arg_max(o_orderdate, o_totalprice) AS valid_from FROM orders GROUP BY ALL),
+    v AS (SELECT subject_id, predicate, object_id, source_news_id, CASE WHEN subject_id % 3 = 0 THEN 1.0 ELSE confidence END AS confidence, valid_from FROM r) SELECT subject_id, predicate, object_id, source_news_id, confidence FROM v WHERE valid_from <= TIMESTAMP '1996-01-01'""")
+def relation_rows(spark, sf_dir):
+    """Relations with confidence and dates, a third of them inserted again, that hold at a time."""
+    o, table = src.table(spark, sf_dir, "orders"), Relations(spark, new_folder(spark, "relations"))
+    rows = o.select(F.col("o_custkey").alias("subject_id"), F.col("o_orderpriority").alias("predicate"), (F.col("o_orderkey") % 50).alias("object_id"), (F.col("o_orderkey") % 20).alias("source_news_id"), F.col("o_totalprice").alias("confidence"), F.col("o_orderdate").alias("valid_from"))
+    table.insert(rows, 0)
+    table.insert(table.table.current(1).where("subject_id % 3 = 0").withColumn("confidence", F.lit(1.0)), 1)
+    return table.valid(F.lit("1996-01-01").cast("timestamp")).select("subject_id", "predicate", "object_id", "source_news_id", "confidence")
+
+
+@query(f"""WITH {BARS}, k AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY trade_date DESC) AS k FROM bars WHERE ticker % 5 <> 0 OR ticker % 2 = 0)
+    SELECT CAST(ticker AS VARCHAR) AS ticker, CAST(trade_date AS VARCHAR) AS day, close FROM k WHERE k <= CASE WHEN ticker % 2 = 0 AND ticker % 5 = 0 THEN 3 ELSE 8 END""")
+def bars_loaded(spark, sf_dir):
+    """The last eight bars of every ticker: half of them held with three, the others fetched; for every fifth the fetch has nothing."""
+    every = src.daily_bars(src.table(spark, sf_dir, "events")).withColumn("ticker", F.col("ticker").cast("string"))
+    last = Window.partitionBy("ticker").orderBy(F.col("trade_date").desc())
+    numbered = durable(every.withColumn("_n", F.row_number().over(last)))
+    table = DailyBars(spark, new_folder(spark, "bars"))
+    table.table.upsert(numbered.where("_n <= 3 AND CAST(ticker AS INT) % 2 = 0"), 0)
+    fetch = lambda short: numbered.join(short, "ticker").where("_n <= fetch AND CAST(ticker AS INT) % 5 <> 0").drop("_n", "fetch")
+    return table.load(every.select("ticker"), 8, fetch, 1).select("ticker", F.date_format("trade_date", "yyyy-MM-dd").alias("day"), "close")
