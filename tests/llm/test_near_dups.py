@@ -112,3 +112,26 @@ def test_components(spark):
     got = {r.node: r.component for r in components(df).collect()}
     assert got == {**{i: 0 for i in range(41)}, **{i: 100 for i in (100, 101, 102, 200)}}
     assert components(df.limit(0)).count() == 0
+
+
+def test_measured_recall_at_the_threshold():
+    """Planted pairs of 0.85 to 0.87, of sets from 20 to 3,000 shingles: how many share a band and pass the estimate."""
+    rng = np.random.Generator(np.random.PCG64(12))
+    met = passed = pairs = 0
+    for _ in range(6000):
+        n = int(np.exp(rng.uniform(np.log(20), np.log(3000))))
+        union = int(round(n / rng.uniform(0.85, 0.87)))
+        if not 0.85 <= n / union <= 0.87:
+            continue
+        drawn = rng.integers(0, 1 << 63, union, dtype=np.uint64) * np.uint64(2) + rng.integers(0, 2, union, dtype=np.uint64)
+        side = rng.random(union - n) < 0.5
+        a, b = (np.unique(np.concatenate([drawn[:n], drawn[n:][s]])) for s in (side, ~side))
+        sa, sb = minhash.registers(a)[None], minhash.registers(b)[None]
+        (ka, fa), (kb, fb) = minhash.band_keys(sa), minhash.band_keys(sb)
+        sizes = np.array([len(a)]), np.array([len(b)])
+        pairs += 1
+        met += bool(((ka == kb) & fa & fb).any())
+        passed += bool(minhash.may_reach(sa, sb, *sizes, minhash.chances(*sizes), 0.85)[0])
+    assert pairs > 4000
+    print(f"recall at the threshold: {met} of {pairs} share a band, {passed} pass the estimate")
+    assert met == passed == pairs

@@ -19,7 +19,6 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -41,6 +40,8 @@ STEP_ROWS = 512
 BLOCK = 2048
 #: Rows of buckets that a task compares, about, until there are so many tasks.
 TASK_ROWS, MOST_TASKS = 1_000, 20_000
+#: Pairs that a task has found before it looks which of them it keeps.
+HELD_PAIRS = 200_000
 #: Ids up to which a set of chosen documents is broadcast as a filter of the scan (counted first); else it is joined.
 FILTER_IDS = 300_000
 
@@ -216,7 +217,21 @@ def across(members: DataFrame, threshold: float, most: int | None, tasks: int) -
         group, n, ids, component, key = (t.column(c).to_numpy() for c in ("group", "n_shingles", "id", "component", "key"))
         own = t.column("own").fill_null(-1).to_numpy()
         sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint16).reshape(-1, REGISTERS)
-        found, left, gap = [np.empty((0, 3), np.int64)], np.arange(len(group)), 0
+        found, left, gap, size, dropped = [np.empty((0, 3), np.int64)], np.arange(len(group)), 0, 0, False
+
+        def merged() -> tuple[np.ndarray, bool]:
+            """The distinct pairs found; with ``most``, those among the most similar ones of either end, and whether that
+            leaves any out. What falls out here is not among them when more are found."""
+            out = np.unique(np.concatenate(found), axis=0)
+            if not most or not len(out):
+                return out, False
+            ends, agree = np.concatenate([out[:, 0], out[:, 1]]), np.tile(out[:, 2], 2)
+            order = np.lexsort((-agree, ends))
+            first = np.flatnonzero(np.concatenate(([True], ends[order][1:] != ends[order][:-1])))
+            rank = np.arange(len(order)) - np.repeat(first, np.diff(np.append(first, len(order))))
+            keep = np.unique(order[rank < most] % len(out))
+            return out[keep], len(keep) < len(out)
+
         while len(left):
             # the row ``gap`` after: as sizes ascend, once it is of another group or too large, all further ones are
             gap += 1
@@ -238,13 +253,12 @@ def across(members: DataFrame, threshold: float, most: int | None, tasks: int) -
                 a, b, x, y = a[here], b[here], x[here], y[here]
                 agree = (a == b).sum(axis=1)
                 found.append(np.stack([np.maximum(ids[x], ids[y]), np.minimum(ids[x], ids[y]), agree], axis=1))
-        out = np.unique(np.concatenate(found), axis=0)
-        all_pairs = len(out)
-        if most:
-            ends = pd.DataFrame(np.concatenate([out, out]), columns=["a", "b", "agree"])
-            ends["end"] = np.concatenate([out[:, 0], out[:, 1]])
-            out = ends.sort_values("agree", ascending=False, kind="stable").groupby("end").head(most)[["a", "b"]].drop_duplicates().to_numpy()
-        more = [None] * (len(out) < all_pairs)
+                size += len(x)
+                if size > HELD_PAIRS:
+                    out, some = merged()
+                    found, size, dropped = [out], 0, dropped or some
+        out, some = merged()
+        more = [None] * (dropped or some)
         return pa.RecordBatch.from_arrays([pa.array([*out[:, 0].tolist(), *more], pa.int64()), pa.array([*out[:, 1].tolist(), *more], pa.int64())], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
