@@ -141,6 +141,10 @@ class PrefixEncoder:
             self._known[text] = ids
         return ids
 
+    def forget(self) -> None:
+        """Drops what is remembered of pre-tokens and borders."""
+        self._known, self._older, self._free = {}, {}, {}
+
     def encode(self, text: str) -> list[int]:
         ids: list[int] = []
         piece = self.piece
@@ -188,5 +192,7 @@ def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, id_col: str
                 if held >= FLUSH_BYTES or k + 1 == batch.num_rows:
                     yield pa.RecordBatch.from_arrays([batch.column("id").slice(first, k + 1 - first), pa.array(out[1], pa.int64()), pa.array(out[2], pa.binary()), pa.array(out[3], pa.binary())], ["id", "n_tokens", "token_ids", "decoded"])
                     out, held, first = ([], [], [], []), 0, k + 1
+        # workers go on to other stages, and would hold it beside what these need
+        encoder.forget()
 
     return rows.mapInArrow(run, schema).withColumnRenamed("id", id_col)
