@@ -1,8 +1,11 @@
 import random
 import re
 
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
+from tickloom import registry
 from tickloom.operators import matching
 
 
@@ -57,3 +60,24 @@ def test_no_patterns_and_no_rows(spark):
     df = spark.createDataFrame([(1, "us", "a", None)], "id long, market string, title string, body string")
     assert tuple(matching.verdicts(df, none).first()) == (1, "us", False, [], [], [], [], [], [], 0.0)
     assert matching.verdicts(df.where(F.lit(False)), none).count() == 0
+
+
+@pytest.mark.parametrize("name", ["rules_score", "route_markets", "rules_match_verdict"])
+def test_texts_are_matched_once(spark, name):
+    text = registry.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"(?:ArrowEvalPython|MapInArrow)\b", text)) == 1
+
+
+def test_texts_leave_arrow_in_parts(spark):
+    watch, _ = watchlist(10)
+    run = matching._verdicts_of(matching.compiled(spark, watch.patterns(), watch.tied()))
+    texts = ["x" * 700_000 + " T5", None, "", "y" * 3_000_000, "T7", *["t1 " * 1000] * 1000]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(["us"] * len(texts)), pa.array(texts)], ["id", "article_market", "text"])
+    parts = list(run(iter([batch.slice(0, 0), batch])))
+    at = 0
+    for p in parts:
+        assert p.num_rows == 1 or sum(len(t or "") for t in texts[at : at + p.num_rows]) <= matching.TEXT_BYTES
+        at += p.num_rows
+    got = pa.Table.from_batches(parts)
+    assert got["id"].to_pylist() == list(range(len(texts)))
+    assert got["tickers"].to_pylist() == [["T5"], [], [], [], ["T7"], *[["T1"]] * 1000]
