@@ -62,7 +62,7 @@ def test_no_patterns_and_no_rows(spark):
     assert matching.verdicts(df.where(F.lit(False)), none).count() == 0
 
 
-@pytest.mark.parametrize("name", ["rules_score", "route_markets", "rules_match_verdict"])
+@pytest.mark.parametrize("name", ["rules_score", "rules_messages", "route_markets", "rules_match_verdict"])
 def test_texts_are_matched_once(spark, name):
     text = registry.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert len(re.findall(r"(?:ArrowEvalPython|MapInArrow)\b", text)) == 1
