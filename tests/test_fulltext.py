@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -92,3 +93,28 @@ def test_a_search_opens_the_terms_folders_only(spark, tmp_path):
     plan = index.postings(["w17"])._jdf.queryExecution().toString()
     assert "PartitionFilters: [isnotnull(folder" in plan or "PartitionFilters: [folder" in plan or "(folder#" in plan
     assert "In(term" in plan or "EqualTo(term" in plan
+
+
+def test_words_are_counted_in_parts():
+    rnd = random.Random(5)
+    most = 1 << 17
+    texts = [[f"w{rnd.randrange(50)}" for _ in range(n)] for n in [0, 3, most + 5, 0, *[400] * 1000, 0]]
+    batch = pa.RecordBatch.from_arrays([pa.array([7 * i + 65_000 for i in range(len(texts))]), pa.array(texts, pa.list_(pa.string()))], ["id", "found"])
+    parts = list(fulltext._counted(iter([batch.slice(0, 0), batch.slice(1), batch.slice(0, 1)])))
+    assert len(parts) > 3 and all(sum(p["value"].to_pylist()) <= most or len(set(p["low"].to_pylist())) == 1 for p in parts)
+    got = {(r["term"], r["block"] << 16 | r["low"]): r["value"] for p in parts for r in p.to_pylist()}
+    assert got == {(w, 7 * i + 65_000): t.count(w) for i, t in enumerate(texts) for w in set(t)}
+
+
+def test_postings_are_merged_in_parts():
+    n, ids = 12, np.arange(fulltext.BLOCK)
+    at = np.arange(n + 1) * fulltext.BLOCK
+    packed = [fulltext.pack(np.tile(x, n), at, rising) for x, rising in ((ids, True), (ids % 200 + 1, False))]
+    postings = pa.RecordBatch.from_arrays([pa.array([f"t{i}" for i in range(n)]), pa.array([3] * n), pa.array([i % 2 for i in range(n)]), *packed], ["term", "block", "segment", "ids", "counts"])
+    length, last = np.where(ids % 5, 9, 0), ids % 2
+    parts = list(fulltext._live(postings, length, last))
+    assert len(parts) > 4 and all(sum(p["n"].to_pylist()) <= 1 << 17 for p in parts)
+    for i, r in enumerate(r for p in parts for r in p.to_pylist()):
+        want = ids[(ids % 5 > 0) & (ids % 2 == i % 2)]
+        assert (r["term"], r["block"], r["n"]) == (f"t{i}", 3, len(want))
+        assert (fulltext._one(r["ids"], True) == want).all() and (fulltext._one(r["counts"]) == want % 200 + 1).all()

@@ -9,7 +9,6 @@ so that a search opens a few of them and skips most of those."""
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,10 +18,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
+from .batches import bounds, ranges
 
 BLOCK, FOLDERS = 1 << 16, 32
-#: Numbers that are packed at a time.
-NUMBERS = 1 << 20
+#: Numbers that are packed or unpacked, or words that are counted, at a time; at least those of one list or text.
+NUMBERS = 1 << 17
 POSTINGS = "term string, block bigint, n int, ids binary, counts binary, segment int, folder int"
 DOCUMENTS = "block bigint, ids binary, lengths binary, segment int"
 
@@ -64,15 +64,6 @@ def _one(packed: bytes, rising: bool = False) -> np.ndarray:
     return unpack(pa.array([packed], pa.binary()), rising)[0]
 
 
-def _slices(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Ranges of lists that have about a million numbers each."""
-    a = 0
-    while a < len(offsets) - 1:
-        b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + NUMBERS, side="right")) - 1)
-        yield a, b
-        a = b
-
-
 def _block(id_: Column) -> tuple[Column, Column]:
     return F.shiftright(id_, 16).alias("block"), id_.bitwiseAND(BLOCK - 1).cast("int").alias("low")
 
@@ -87,7 +78,7 @@ def _packed(pairs: DataFrame, keys: list[str], first: str, second: str) -> DataF
             x = batch.column("x")
             values, offsets = x.flatten(), np.concatenate(([0], np.cumsum(pc.list_value_length(x).to_numpy(zero_copy_only=False)))).astype(np.int64)
             low, value = (values.field(k).to_numpy(zero_copy_only=False) for k in (0, 1))
-            for a, b in _slices(offsets):
+            for a, b in ranges(offsets, NUMBERS):
                 at, part = offsets[a : b + 1] - offsets[a], slice(offsets[a], offsets[b])
                 packed = (pa.array(np.diff(at).astype(np.int32)), pack(low[part], at, True), pack(value[part], at))
                 yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(a, b - a) for k in keys), *packed], [*keys, "n", first, second])
@@ -98,14 +89,17 @@ def _packed(pairs: DataFrame, keys: list[str], first: str, second: str) -> DataF
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each term of each text."""
     for batch in batches:
-        terms, ids, counts = [], [], []
-        for i, found in zip(batch.column("id").to_pylist(), batch.column("found")):
-            for term, n in Counter(found.as_py()).items():
-                terms.append(term)
-                ids.append(i)
-                counts.append(n)
-        at = np.array(ids, np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array(at >> 16), pa.array((at & BLOCK - 1).astype(np.int32)), pa.array(counts, pa.int32())], ["term", "block", "low", "value"])
+        ids, found = batch.column("id").to_numpy(), batch.column("found")
+        offsets = found.offsets.to_numpy().astype(np.int64)
+        for a, b in ranges(offsets, NUMBERS):
+            coded = found.values.slice(offsets[a], offsets[b] - offsets[a]).dictionary_encode()
+            n = len(coded.dictionary)
+            if n == 0:
+                continue
+            # a number for each text and term
+            both, counts = np.unique(np.repeat(np.arange(b - a), np.diff(offsets[a : b + 1])) * n + coded.indices.to_numpy(), return_counts=True)
+            at = ids[a + both // n]
+            yield pa.RecordBatch.from_arrays([coded.dictionary.take(pa.array(both % n)), pa.array(at >> 16), pa.array((at & BLOCK - 1).astype(np.int32)), pa.array(counts.astype(np.int32))], ["term", "block", "low", "value"])
 
 
 class Index:
@@ -171,8 +165,10 @@ class Index:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                lengths = [_latest(rows.as_py(), 0)[0] for rows in batch.column("rows")]
-                yield pa.RecordBatch.from_arrays([pa.array([int((x > 0).sum()) for x in lengths], pa.int64()), pa.array([int((x[x > 0] - 1).sum()) for x in lengths], pa.int64())], ["texts", "total"])
+                for rows in batch.column("rows"):
+                    length = _latest(rows.as_py(), 0)[0]
+                    length = length[length > 0] - 1
+                    yield pa.RecordBatch.from_arrays([pa.array([len(length)], pa.int64()), pa.array([int(length.sum())], pa.int64())], ["texts", "total"])
 
         return blocks.mapInArrow(run, "texts bigint, total bigint").agg(F.coalesce(F.sum("texts"), F.lit(0)).alias("texts"), F.coalesce(F.sum("total"), F.lit(0)).alias("total"))
 
@@ -199,26 +195,14 @@ class Index:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             last = length = None
 
-            def live(batch: pa.RecordBatch) -> pa.RecordBatch:
-                """Postings of one block; a term in several segments, or batches, may have several."""
-                ids, offsets = unpack(batch.column("ids"), True)
-                row = np.repeat(np.arange(batch.num_rows), np.diff(offsets))
-                segment = batch.column("segment").to_numpy(zero_copy_only=False)
-                on = (last[ids] == segment[row]) & (length[ids] > 0)
-                counts = unpack(batch.column("counts"))[0][on]
-                n = np.bincount(row[on], minlength=batch.num_rows)
-                at = np.concatenate(([0], np.cumsum(n)))
-                new = pa.RecordBatch.from_arrays([batch.column("term"), batch.column("block"), pa.array(n.astype(np.int32)), pack(ids[on], at, True), pack(counts, at)], ["term", "block", "n", "ids", "counts"])
-                return new.filter(pa.array(n > 0))
-
             for batch in batches:
                 heads = [*np.flatnonzero(batch.column("term").is_null().to_numpy(zero_copy_only=False)).tolist(), batch.num_rows]
                 if heads[0] > 0:
-                    yield live(batch.slice(0, heads[0]))
+                    yield from _live(batch.slice(0, heads[0]), length, last)
                 for a, b in zip(heads, heads[1:]):
                     length, last, _ = _latest(batch.column("rows")[a].as_py(), 0)
                     if b > a + 1:
-                        yield live(batch.slice(a + 1, b - a - 1))
+                        yield from _live(batch.slice(a + 1, b - a - 1), length, last)
 
         def left(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -232,6 +216,23 @@ class Index:
         return new
 
 
+def _live(postings: pa.RecordBatch, length: np.ndarray, last: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Postings of one block without the ids whose length or segment (as ``_latest`` has them) is another by now; a term in
+    several segments, or batches, may have several. A packed number is a byte at least, so that parts of so many bytes
+    have no more numbers."""
+    for a, b in ranges(bounds(postings.column("ids")), NUMBERS):
+        batch = postings.slice(a, b - a)
+        ids, offsets = unpack(batch.column("ids"), True)
+        row = np.repeat(np.arange(batch.num_rows), np.diff(offsets))
+        segment = batch.column("segment").to_numpy(zero_copy_only=False)
+        on = (last[ids] == segment[row]) & (length[ids] > 0)
+        counts = unpack(batch.column("counts"))[0][on]
+        n = np.bincount(row[on], minlength=batch.num_rows)
+        at = np.concatenate(([0], np.cumsum(n)))
+        new = pa.RecordBatch.from_arrays([batch.column("term"), batch.column("block"), pa.array(n.astype(np.int32)), pack(ids[on], at, True), pack(counts, at)], ["term", "block", "n", "ids", "counts"])
+        yield new.filter(pa.array(n > 0))
+
+
 def _latest(rows: list[dict], terms: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of a block: each id's length (plus one; 0 without) and segment as of its latest segment, and the terms' counts in that."""
     length, last, counts = np.zeros(BLOCK, np.int64), np.full(BLOCK, -1, np.int64), np.zeros((terms, BLOCK), np.int32)
