@@ -118,3 +118,11 @@ def test_postings_are_merged_in_parts():
         want = ids[(ids % 5 > 0) & (ids % 2 == i % 2)]
         assert (r["term"], r["block"], r["n"]) == (f"t{i}", 3, len(want))
         assert (fulltext._one(r["ids"], True) == want).all() and (fulltext._one(r["counts"]) == want % 200 + 1).all()
+
+
+def test_sizes_go_block_by_block():
+    one = lambda x, rising: fulltext.pack(np.array(x), np.array([0, len(x)]), rising)[0].as_py()
+    row = lambda segment, ids, lengths: {"segment": segment, "place": -1, "ids": one(ids, True), "values": one(lengths, False)}
+    blocks = [[row(0, [1, 5, 9], [4, 1, 3])], [row(0, [0, 65_535], [2, 2]), row(1, [0], [0])], [row(0, [7], [11])]]
+    batch = pa.RecordBatch.from_arrays([pa.array([0, 3, 4]), pa.array(blocks)], ["block", "rows"])
+    assert [tuple(p.to_pylist()[0].values()) for p in fulltext._sizes(iter([batch]))] == [(3, 5), (1, 1), (1, 10)]

@@ -102,6 +102,15 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([coded.dictionary.take(pa.array(both % n)), pa.array(at >> 16), pa.array((at & BLOCK - 1).astype(np.int32)), pa.array(counts.astype(np.int32))], ["term", "block", "low", "value"])
 
 
+def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each block: its texts and their terms; the lengths of one block are held at a time."""
+    for batch in batches:
+        for rows in batch.column("rows"):
+            length = _latest(rows.as_py(), 0)[0]
+            length = length[length > 0] - 1
+            yield pa.RecordBatch.from_arrays([pa.array([len(length)]), pa.array([int(length.sum())])], ["texts", "total"])
+
+
 class Index:
     """The index in a folder that all executors see."""
 
@@ -163,14 +172,7 @@ class Index:
         """One row: the texts there are (texts), and all their terms (total)."""
         blocks = self._read("documents", DOCUMENTS).groupBy("block").agg(F.sort_array(F.collect_list(F.struct("segment", F.lit(-1).alias("place"), "ids", F.col("lengths").alias("values")))).alias("rows"))
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for rows in batch.column("rows"):
-                    length = _latest(rows.as_py(), 0)[0]
-                    length = length[length > 0] - 1
-                    yield pa.RecordBatch.from_arrays([pa.array([len(length)], pa.int64()), pa.array([int(length.sum())], pa.int64())], ["texts", "total"])
-
-        return blocks.mapInArrow(run, "texts bigint, total bigint").agg(F.coalesce(F.sum("texts"), F.lit(0)).alias("texts"), F.coalesce(F.sum("total"), F.lit(0)).alias("total"))
+        return blocks.mapInArrow(_sizes, "texts bigint, total bigint").agg(F.coalesce(F.sum("texts"), F.lit(0)).alias("texts"), F.coalesce(F.sum("total"), F.lit(0)).alias("total"))
 
     def ranked(self, terms: list[str], k: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
         """id and score of the k texts that are best by BM25; ties to smaller ids."""
