@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -120,6 +121,20 @@ def test_postings_are_merged_in_parts():
         assert (fulltext._one(r["ids"], True) == want).all() and (fulltext._one(r["counts"]) == want % 200 + 1).all()
 
 
+def test_what_merging_holds_does_not_grow_with_its_batch():
+    ids, peaks = np.arange(fulltext.BLOCK), []
+    length, last = np.full(fulltext.BLOCK, 9), np.zeros(fulltext.BLOCK, np.int64)
+    for n in (4, 64):
+        packed = [fulltext.pack(np.tile(x, n), np.arange(n + 1) * fulltext.BLOCK, rising) for x, rising in ((ids, True), (ids % 200 + 1, False))]
+        postings = pa.RecordBatch.from_arrays([pa.array([f"t{i}" for i in range(n)]), pa.array([3] * n), pa.array([0] * n), *packed], ["term", "block", "segment", "ids", "counts"])
+        tracemalloc.start()
+        rows = sum(p.num_rows for p in fulltext._live(postings, length, last))
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+        assert rows == n
+    assert peaks[1] < 1.2 * peaks[0], peaks
+
+
 def test_sizes_go_block_by_block():
     one = lambda x, rising: fulltext.pack(np.array(x), np.array([0, len(x)]), rising)[0].as_py()
     row = lambda segment, ids, lengths: {"segment": segment, "place": -1, "ids": one(ids, True), "values": one(lengths, False)}
